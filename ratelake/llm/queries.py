@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
