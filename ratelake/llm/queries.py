@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.quality_rules import op1_quality_rules
+from ratelake.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
