@@ -5,11 +5,13 @@ from __future__ import annotations
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.quality_rules import op1_quality_rules
 from ratelake.llm.simhash import op6_simhash
+from ratelake.llm.token_output import op7_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op6_simhash": op6_simhash,
+    "op7_token_output": op7_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
