@@ -5,6 +5,7 @@ from __future__ import annotations
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.quality_rules import op1_quality_rules
 from ratelake.llm.simhash import op6_simhash
+from ratelake.llm.substring_dedup import op9_substring_dedup
 from ratelake.llm.token_output import op7_token_output
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
