@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ratelake.llm.decontamination import op10_decontamination
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.quality_rules import op1_quality_rules
 from ratelake.llm.simhash import op6_simhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
