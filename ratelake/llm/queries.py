@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ratelake.llm import chat_format
+from ratelake.llm.chat_format import op3_chat_format
 from ratelake.llm.decontamination import op10_decontamination
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.quality_rules import op1_quality_rules
@@ -12,10 +14,13 @@ from ratelake.llm.token_output import op7_token_output
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_chat_format": op3_chat_format,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.ORACLE_SQL,
+}
