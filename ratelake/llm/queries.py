@@ -10,11 +10,13 @@ from ratelake.llm.quality_rules import op1_quality_rules
 from ratelake.llm.simhash import op6_simhash
 from ratelake.llm.substring_dedup import op9_substring_dedup
 from ratelake.llm.token_output import op7_token_output
+from ratelake.llm.url_filter import op4_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op3_chat_format": op3_chat_format,
+    "op4_url_filter": op4_url_filter,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op9_substring_dedup": op9_substring_dedup,
