@@ -6,6 +6,7 @@ from ratelake.llm import chat_format
 from ratelake.llm.chat_format import op3_chat_format
 from ratelake.llm.decontamination import op10_decontamination
 from ratelake.llm.mixing import op2_mixing
+from ratelake.llm.ordinal_classifier import op5_quality_classifier
 from ratelake.llm.quality_rules import op1_quality_rules
 from ratelake.llm.simhash import op6_simhash
 from ratelake.llm.substring_dedup import op9_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
     "op9_substring_dedup": op9_substring_dedup,
