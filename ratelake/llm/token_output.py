@@ -14,7 +14,7 @@ the pieces' ids are gathered. Chunks with special tokens in their texts are enco
 bytes each if the vocabulary allows, in a written table between counting and coding.
 
 Defined cases: a null text is empty and becomes the end id alone; rows with a null ``doc_id`` come first; rows with
-equal ids stand next to each other, ordered by length and checksum of their ids; an empty table gives an empty token
+equal ids stand next to each other, ordered by length and bytes of their ids; an empty table gives an empty token
 table; other columns are ignored.
 """
 
@@ -27,14 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
 from ratelake.llm.common import shared_path, table
 
-#: Pieces that a worker remembers, at about 150 bytes each, and bytes of text encoded at once.
-CACHE_PIECES = 1_000_000
+#: Pieces that a worker remembers, at about 50 bytes each, and bytes of text encoded at once.
+CACHE_PIECES = 2_000_000
 CHUNK = 1 << 20
 END_ID = 2
 
@@ -74,11 +75,18 @@ class PieceEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their entries
         self.check = np.zeros(0, np.uint64)
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of sorted hashes; -1 where unknown."""
+        if not len(self.known):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.place[at], -1)
+
     def _learn(self, pieces: list[str], keys: np.ndarray, check: np.ndarray) -> None:
         """Plain pieces are encoded as lines of one text, others one by one."""
         odd = np.array([self.feed is None or p == " " or self._odd.search(p, p[0] == " ") is not None for p in pieces])
@@ -91,8 +99,10 @@ class PieceEncoder:
         rest = np.flatnonzero(odd)
         more = [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in rest.tolist()], add_special_tokens=False)] if len(rest) else []
         order = np.concatenate([plain, rest])
-        n = len(self.check)
-        self.known.update(zip(keys[order].tolist(), range(n, n + len(order))))
+        places = np.empty(len(order), np.int64)
+        places[order] = len(self.check) + np.arange(len(order))
+        between = np.searchsorted(self.known, keys)
+        self.known, self.place = np.insert(self.known, between, keys), np.insert(self.place, between, places)
         self.check = np.concatenate([self.check, check[order]])
         sizes = np.concatenate([sizes, np.array([len(x) for x in more], np.int64)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
@@ -134,16 +144,15 @@ class PieceEncoder:
         np.cumsum(tk._BYTES[c.data ^ 0xFF] * self._second.get(len(raw))[0][: len(raw)], out=second[1:])
         check = tk.span_hashes(second, start, end, self._second)
         unique, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        at = np.array([self.known.get(k, -1) for k in keys], np.int64)
-        if len(self.known) + np.count_nonzero(at < 0) > CACHE_PIECES and self.known:
+        at = self._find(unique)
+        if len(self.known) + np.count_nonzero(at < 0) > CACHE_PIECES and len(self.known):
             self.forget()
             at[:] = -1
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
             spans = zip(start[where[fresh]].tolist(), end[where[fresh]].tolist())
             self._learn([raw[i:j].decode() for i, j in spans], unique[fresh], check[where[fresh]])
-            at[fresh] = [self.known[keys[i]] for i in fresh.tolist()]
+            at = self._find(unique)
         at = at[which]
         if (self.check[at] != check).any():
             return self._whole(c)
@@ -250,16 +259,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     rank_of[by_rank] = np.arange(vocabulary, dtype=np.uint32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = 0
+        part = TaskContext.get().partitionId()
         for batch in batches:
             blocks = [np.frombuffer(b.as_buffer(), kind) for b in batch.column(1)]
             pairs = [encode_block(rank_of[b]) for b in blocks]
-            columns = [batch.column(0), pa.array([len(b) for b in blocks], pa.int64()), pa.array([zlib.crc32(b) for b in blocks], pa.int64()), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "check", "control", "data"])
-
-    coded = ids.mapInArrow(code, "doc_id long, n_tokens long, check long, control binary, data binary")
-    low = (1 << 33) - 1
-    placed = coded.orderBy("doc_id", "n_tokens", "check").withColumn("at", F.monotonically_increasing_id())
-    placed.select(F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit(low)).alias("row"), "doc_id", "n_tokens", "control", "data").write.option("compression", "none").parquet(f"{folder}/blocks")
+            rows = np.arange(row, row + len(blocks))
+            row += len(blocks)
+            columns = [pa.array(np.full(len(blocks), part)), pa.array(rows), batch.column(0), pa.array([len(b) for b in blocks], pa.int64()), pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())]
+            yield pa.record_batch(columns, names=["part", "row", "doc_id", "n_tokens", "control", "data"])
+
+    # Sorted before they are coded: the range sort samples its input, which would code everything twice.
+    placed = ids.orderBy("doc_id", F.octet_length("ids"), "ids").mapInArrow(code, "part long, row long, doc_id long, n_tokens long, control binary, data binary")
+    placed.write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(vocabulary)), "id": pa.array(by_rank.astype(np.int64))}), "rank long, id long").write.parquet(f"{folder}/ranks")
     return folder
 
