@@ -5,6 +5,7 @@ from __future__ import annotations
 from ratelake.llm import chat_format
 from ratelake.llm.chat_format import op3_chat_format
 from ratelake.llm.decontamination import op10_decontamination
+from ratelake.llm.line_dedup import op8_line_dedup
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.ordinal_classifier import op5_quality_classifier
 from ratelake.llm.quality_rules import op1_quality_rules
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash": op6_simhash,
     "op7_token_output": op7_token_output,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }

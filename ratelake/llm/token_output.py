@@ -14,7 +14,7 @@ the pieces' ids are gathered. Chunks with special tokens in their texts are enco
 bytes each if the vocabulary allows, in a written table between counting and coding.
 
 Defined cases: a null text is empty and becomes the end id alone; rows with a null ``doc_id`` come first; rows with
-equal ids stand next to each other, ordered by length and bytes of their ids; an empty table gives an empty token
+equal ids stand next to each other, ordered by length and hash of their ids; an empty table gives an empty token
 table; other columns are ignored.
 """
 
@@ -270,7 +270,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             yield pa.record_batch(columns, names=["part", "row", "doc_id", "n_tokens", "control", "data"])
 
     # Sorted before they are coded: the range sort samples its input, which would code everything twice.
-    placed = ids.orderBy("doc_id", F.octet_length("ids"), "ids").mapInArrow(code, "part long, row long, doc_id long, n_tokens long, control binary, data binary")
+    placed = ids.orderBy("doc_id", F.octet_length("ids"), F.xxhash64("ids")).mapInArrow(code, "part long, row long, doc_id long, n_tokens long, control binary, data binary")
     placed.write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame(pa.table({"rank": pa.array(np.arange(vocabulary)), "id": pa.array(by_rank.astype(np.int64))}), "rank long, id long").write.parquet(f"{folder}/ranks")
     return folder
