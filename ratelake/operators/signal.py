@@ -10,9 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RATE = 16_000
 TRIM_DB, FRAME, HOP = 30.0, 2048, 512
+_SAMPLES = T.ArrayType(T.FloatType())
 N_FFT, MEL_HOP, N_MELS, FLOOR = 400, 160, 80, 1e-10
 
 
@@ -97,18 +99,18 @@ def clips(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, samples array<float>")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(_SAMPLES)
 def trimmed(x: pd.Series) -> pd.Series:
     return x.map(lambda v: trim(np.asarray(v, np.float32)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(_SAMPLES)
 def mel_db_flat(x: pd.Series) -> pd.Series:
     """The mel spectrogram in dB, row after row."""
     return x.map(lambda v: mel_db(np.asarray(v, np.float32)).ravel().astype(np.float32))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(_SAMPLES)
 def half_round_trip(x: pd.Series) -> pd.Series:
     """Values as they come back from half precision."""
     return x.map(lambda v: np.asarray(v, np.float32).astype(np.float16).astype(np.float32))

@@ -1,4 +1,472 @@
-"""The catalogue of queries: name to plan, and name to SQL."""
+"""The catalogue of queries over the test tables, each with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Stand-ins: events are ratings (clip = user and type), documents with labels are rated clips, part is a score map,
+lineitem has clip pairs, embeddings are waveforms or frames.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratelake.functions import columns as C
+from ratelake.operators import arrays, existence, metrics, normalize, ranking, runs, sampling, scoring
+from ratelake.plans import manifest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+NAN = "'nan'::double"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def _clips(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, acr, source, system) of the events' clips."""
+    rated = t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("acr"))
+    path = C.join_path("event_type", F.col("user_id").cast("string"))
+    return rated.select(path.alias("path"), "acr", F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("system"))
+
+
+_CLIPS = "select event_type || '/' || user_id::varchar as path, avg(value) as acr, event_type as source, user_id::varchar as system from events group by user_id, event_type"
+
+
+def _split_sql(rows: str, group: str, key: str) -> str:
+    return f"""select * exclude (rn, n), case when rn <= n * 9 // 10 then 'train' else 'dev' end as split from (
+        select *, row_number() over (partition by {group} order by md5('42' || {key}::varchar), {key}) as rn, count(*) over (partition by {group}) as n from ({rows}))"""
+
+
+def _norm_sql(rows: str, group: str, value: str, fit_where: str = "split = 'train'") -> str:
+    return f"""select r.* exclude ({value}), case when s.m is null then {value} else ({value} - m) / sd end as {value} from ({rows}) r left join (
+        select {group} as g, avg({value}) as m, case when stddev_pop({value}) <= 1e-12 * abs(avg({value})) then 1.0::double else stddev_pop({value}) end as sd
+        from ({rows}) where {fit_where} group by {group}) s on r.{group} = s.g"""
+
+
+@query(f"select path, round(acr, 6) as acr, null::double as ccr, 'en' as language, system, split, source from ({_norm_sql(_split_sql(_CLIPS, 'source', 'path'), 'source', 'acr')})")
+def manifest_build(spark, sf):
+    clips = _clips(spark, sf)
+    made = clips.select("path", "acr", F.lit(None).cast("double").alias("ccr"), F.lit("en").alias("language"), "system", F.lit("train").alias("split"), "source")
+    return manifest.build({"events": made}, per_source_z=True).withColumn("acr", r6("acr"))
+
+
+@query("select user_id, event_type, round(avg(value), 6) as acr from events group by all")
+def utt_mean(spark, sf):
+    return t(spark, sf, "events").groupBy("user_id", "event_type").agg(r6(F.avg("value")).alias("acr"))
+
+
+@query("select doc_id, source from documents semi join labels using (doc_id)")
+def exists_semi(spark, sf):
+    return existence.existing(t(spark, sf, "documents").select("doc_id", "source"), t(spark, sf, "labels"), "doc_id")
+
+
+@query("select doc_id, source from documents anti join labels using (doc_id)")
+def missing_anti(spark, sf):
+    return existence.missing(t(spark, sf, "documents").select("doc_id", "source"), t(spark, sf, "labels"), "doc_id")
+
+
+@query("select source, count(*) filter (l.doc_id is not null) as n_kept, count(*) filter (l.doc_id is null) as n_missing from documents d left join (select distinct doc_id from labels) l using (doc_id) group by source")
+def missing_count(spark, sf):
+    return existence.kept_and_missing(t(spark, sf, "documents").select("doc_id", "source"), t(spark, sf, "labels"), "doc_id", "source")
+
+
+@query("select p_partkey, p_brand from part where starts_with(p_brand, 'Brand#1') or starts_with(p_brand, 'Brand#2')")
+def prefix_filter(spark, sf):
+    b = F.col("p_brand")
+    return t(spark, sf, "part").where(b.startswith("Brand#1") | b.startswith("Brand#2")).select("p_partkey", "p_brand")
+
+
+_PROJECTED = "select source || '/' || doc_id::varchar as path, quality::double as acr, null::double as ccr, lang as language, string_split(source, '-')[1] as system, 'train' as split, source from documents join labels using (doc_id)"
+
+
+def _projected(spark, sf):
+    rows = t(spark, sf, "documents").select("doc_id", "source", "lang").join(t(spark, sf, "labels"), "doc_id")
+    made = rows.select(C.join_path("source", F.col("doc_id").cast("string")).alias("path"), F.col("quality").cast("double").alias("acr"), F.col("lang").alias("language"), C.first_token(F.col("source"), "-").alias("system"), F.lit("train").alias("split"), "source")
+    return manifest.as_manifest(made)
+
+
+@query(_PROJECTED)
+def canonical_project(spark, sf):
+    return _projected(spark, sf)
+
+
+@query("select page_id, string_split(url, '/')[-1] as base, regexp_replace(string_split(url, '/')[-1], '(.)\\.[^.]*$', '\\1') as stem from pages")
+def basename_stem(spark, sf):
+    return t(spark, sf, "pages").select("page_id", C.base_name(F.col("url")).alias("base"), C.stem(F.col("url")).alias("stem"))
+
+
+@query("select doc_id, md5(source || '/' || doc_id::varchar) || '.npy' as cache_key from documents")
+def content_key(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", C.content_key(C.join_path("source", F.col("doc_id").cast("string"))).alias("cache_key"))
+
+
+@query("select doc_id, source from (select *, row_number() over (partition by source order by md5('42' || doc_id::varchar), doc_id) as rn from documents) where rn <= 25")
+def cap_per_source(spark, sf):
+    return sampling.cap(t(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 25)
+
+
+_ORDERS = "select o_orderkey, o_orderpriority, o_totalprice from orders"
+
+
+def _orders_split(spark, sf):
+    return sampling.split(t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_orderkey")
+
+
+@query(f"select o_orderkey, o_orderpriority, split from ({_split_sql(_ORDERS, 'o_orderpriority', 'o_orderkey')})")
+def split_90_10(spark, sf):
+    return _orders_split(spark, sf).select("o_orderkey", "o_orderpriority", "split")
+
+
+@query(f"select o_orderpriority, split, count(*) as n from ({_split_sql(_ORDERS, 'o_orderpriority', 'o_orderkey')}) group by all")
+def split_counts(spark, sf):
+    return _orders_split(spark, sf).groupBy("o_orderpriority", "split").agg(F.count("*").alias("n"))
+
+
+@query(f"select o_orderkey, o_orderpriority, round(o_totalprice, 6) as z, split from ({_norm_sql(_split_sql(_ORDERS, 'o_orderpriority', 'o_orderkey'), 'o_orderpriority', 'o_totalprice')})")
+def znorm_train_fit(spark, sf):
+    rows = _orders_split(spark, sf)
+    out = normalize.apply(rows, normalize.fit(rows.where("split = 'train'"), "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
+    return out.select("o_orderkey", "o_orderpriority", r6("o_totalprice").alias("z"), "split")
+
+
+_UNSEEN = "split = 'train' and o_orderpriority <> '1-URGENT'"
+
+
+@query(f"select o_orderkey, o_orderpriority, round(o_totalprice, 6) as z, split from ({_norm_sql(_split_sql(_ORDERS, 'o_orderpriority', 'o_orderkey'), 'o_orderpriority', 'o_totalprice', _UNSEEN)})")
+def znorm_unseen_source(spark, sf):
+    rows = _orders_split(spark, sf)
+    out = normalize.apply(rows, normalize.fit(rows.where(_UNSEEN), "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
+    return out.select("o_orderkey", "o_orderpriority", r6("o_totalprice").alias("z"), "split")
+
+
+@query("select doc_id, quality::double as acr, null::varchar as source from labels union all select doc_id, null::double, source from documents")
+def union_sources(spark, sf):
+    a = t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("acr"))
+    return a.unionByName(t(spark, sf, "documents").select("doc_id", "source"), allowMissingColumns=True)
+
+
+@query("select k as path, min(i) as input from (select l_partkey as k, 0 as i from lineitem union all select p_partkey, 1 from part) group by k")
+def dedupe_first(spark, sf):
+    return sampling.dedupe_first([t(spark, sf, "lineitem").select(F.col("l_partkey").alias("path")), t(spark, sf, "part").select(F.col("p_partkey").alias("path"))], "path")
+
+
+@query("select path, md5(path) || '.npy' as cache_key from (select source || '/' || doc_id::varchar as path, doc_id from documents) where doc_id % 3 <> 0")
+def resume_skip(spark, sf):
+    rows = t(spark, sf, "documents").select(C.join_path("source", F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    store = rows.where("doc_id % 3 = 0").select(C.content_key(F.col("path")).alias("cache_key"))
+    return existence.still_to_do(rows.select("path"), store).select("path", "cache_key")
+
+
+@query("select count(*) as n_different, count(*) = 0 as equal from ((select doc_id from documents except select doc_id from labels) union all (select doc_id from labels except select doc_id from documents))")
+def path_set_equal(spark, sf):
+    return sampling.same_set(t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels").select("doc_id"))
+
+
+@query("select source, count(*) as n from documents group by source")
+def value_counts(spark, sf):
+    return t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+
+
+_RATED = "select doc_id, source, n_chars / 1000.0::double as pred, quality::double as target, (row_number() over (order by doc_id) - 1) // 16 as batch_id from labels join documents using (doc_id)"
+
+
+def _rated(spark, sf):
+    rows = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return sampling.with_batches(rows.select("doc_id", "source", (F.col("n_chars") / 1000.0).alias("pred"), F.col("quality").cast("double").alias("target")), "doc_id", 16)
+
+
+@query(f"select doc_id, batch_id, source, dense_rank() over (partition by batch_id order by source) - 1 as source_id from ({_RATED})")
+def dense_source_id(spark, sf):
+    return sampling.dense_ids(_rated(spark, sf), "source", "batch_id").select("doc_id", "batch_id", "source", "source_id")
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1) // 16 as batch_id from labels")
+def batch_assign(spark, sf):
+    return sampling.with_batches(t(spark, sf, "labels").select("doc_id"), "doc_id", 16)
+
+
+_LINES = "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem"
+
+
+@query("select l_orderkey, l_linenumber, l_suppkey, l_partkey, p_retailprice as score from lineitem join part on l_partkey = p_partkey")
+def score_lookup(spark, sf):
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return scoring.lookup(rows, t(spark, sf, "part"), "l_partkey", "p_partkey", "p_retailprice", "score")
+
+
+_PAIRS = f"select x.*, a.p_retailprice - b.p_retailprice as diff from ({_LINES}) x join part a on a.p_partkey = l_partkey join part b on b.p_partkey = (l_partkey * 7 + l_linenumber) % (select count(*) from part)"
+
+
+def _pairs(spark, sf):
+    part = t(spark, sf, "part")
+    n = part.agg(F.count("*").alias("n_parts"))
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(F.broadcast(n))
+    rows = rows.withColumn("other", (F.col("l_partkey") * 7 + F.col("l_linenumber")) % F.col("n_parts")).drop("n_parts")
+    return scoring.pair_difference(rows, part, "l_partkey", "other", "p_partkey", "p_retailprice").drop("other")
+
+
+@query(f"select * replace (round(diff, 6) as diff) from ({_PAIRS})")
+def pair_difference(spark, sf):
+    return _pairs(spark, sf).withColumn("diff", r6("diff"))
+
+
+@query("select p_partkey, least(5.0::double, greatest(1.0::double, p_retailprice / 300.0::double)) as acr from part")
+def clamp_acr(spark, sf):
+    rows = t(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") / 300.0).alias("acr"))
+    return scoring.clamped(rows, "acr", *C.ACR_RANGE)
+
+
+@query(f"select * replace (round(least(3.0::double, greatest(-3.0::double, diff)), 6) as diff) from ({_PAIRS})")
+def clamp_ccr(spark, sf):
+    return scoring.clamped(_pairs(spark, sf), "diff", *C.CCR_RANGE).withColumn("diff", r6("diff"))
+
+
+@query("select p_partkey, round(1.0::double + (p_retailprice - mn) / (mx - mn) * 4.0::double, 6) as acr from part, (select min(p_retailprice) as mn, max(p_retailprice) as mx from part)")
+def rescale_acr(spark, sf):
+    rows = t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("acr"))
+    return scoring.rescaled(rows, "acr", *C.ACR_RANGE).withColumn("acr", r6("acr"))
+
+
+@query("select p_partkey, p_brand, case when mx = mn then 1.0::double else round(1.0::double + (v - mn) / (mx - mn) * 4.0::double, 6) end as acr from (select *, min(v) over (partition by p_brand) as mn, max(v) over (partition by p_brand) as mx from (select p_partkey, p_brand, case when p_brand = 'Brand#11' then 7.0::double else p_retailprice end as v from part))")
+def rescale_constant(spark, sf):
+    rows = t(spark, sf, "part").select("p_partkey", "p_brand", F.when(F.col("p_brand") == "Brand#11", 7.0).otherwise(F.col("p_retailprice")).alias("acr"))
+    return scoring.rescaled(rows, "acr", *C.ACR_RANGE, group=["p_brand"]).withColumn("acr", r6("acr"))
+
+
+@query(f"select 'acr-' || p_partkey::varchar as sample_id, round(least(5.0::double, greatest(1.0::double, p_retailprice / 300.0::double)), 6) as pred_score from part union all select 'ccr-' || l_orderkey::varchar || '-' || l_linenumber::varchar, round(least(3.0::double, greatest(-3.0::double, diff)), 6) from ({_PAIRS})")
+def stack_predictions(spark, sf):
+    acr = clamp_acr(spark, sf).select(F.concat(F.lit("acr-"), F.col("p_partkey").cast("string")).alias("sample_id"), r6("acr").alias("pred_score"))
+    ccr = clamp_ccr(spark, sf).select(F.concat_ws("-", F.lit("ccr"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("sample_id"), F.col("diff").alias("pred_score"))
+    return scoring.stacked(acr, ccr)
+
+
+@query("select l_returnflag, round(avg(power(l_quantity - l_discount * 100, 2)), 6) as mse from lineitem group by l_returnflag")
+def mse_by_group(spark, sf):
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(r6(F.avg(F.pow(F.col("l_quantity") - F.col("l_discount") * 100, 2))).alias("mse"))
+
+
+def _corr_sql(x: str, y: str) -> str:
+    return f"case when count(*) < 2 or var_pop({x}) * var_pop({y}) = 0 then {NAN} else round(covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})), 6) end"
+
+
+@query(f"select l_returnflag, {_corr_sql('l_quantity', 'l_extendedprice')} as lcc from lineitem group by l_returnflag")
+def pearson_by_group(spark, sf):
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(r6(metrics.pearson("l_quantity", "l_extendedprice")).alias("lcc"))
+
+
+def _metrics_sql(rows: str, group: str, p: str, q: str) -> str:
+    rank = lambda c: f"rank() over (partition by {group} order by {c}) + (count(*) over (partition by {group}, {c}) - 1) / 2.0::double"
+    return f"""select {group}, count(*) as n, {_corr_sql('rp', 'rq')} as srcc, {_corr_sql(p, q)} as lcc, case when count(*) < 2 then {NAN} else round(avg(power({p} - {q}, 2)), 6) end as mse
+        from (select *, {rank(p)} as rp, {rank(q)} as rq from ({rows}) where {p} is not null and {q} is not null) group by {group}"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in ("srcc", "lcc", "mse")})
+
+
+@query(_metrics_sql("select event_type, value, user_id::double as user_id from events", "event_type", "value", "user_id"))
+def spearman_by_group(spark, sf):
+    return _rounded(metrics.compute(t(spark, sf, "events").select("event_type", "value", "user_id"), ["event_type"], "value", "user_id"))
+
+
+@query(_metrics_sql("select l_returnflag, case when l_orderkey % 7 = 0 then null else l_quantity end as p, case when l_partkey % 11 = 0 then null else l_extendedprice / 1000.0::double end as q from lineitem", "l_returnflag", "p", "q"))
+def metrics_nan_pairs(spark, sf):
+    rows = t(spark, sf, "lineitem").select("l_returnflag", F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("p"), F.when(F.col("l_partkey") % 11 != 0, F.col("l_extendedprice") / 1000.0).alias("q"))
+    return _rounded(metrics.compute(rows, ["l_returnflag"], "p", "q"))
+
+
+@query(_metrics_sql("select s_suppkey, s_acctbal as p, s_nationkey::double as q from supplier", "s_suppkey", "p", "q"))
+def metrics_small_n(spark, sf):
+    return _rounded(metrics.compute(t(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("p"), F.col("s_nationkey").alias("q")), ["s_suppkey"], "p", "q"))
+
+
+@query("select event_type, count(*) as n, count(*) filter (event_id % 10 = 0) as n_missing, round(stddev_pop(value) filter (event_id % 10 <> 0), 6) as std, min(value) filter (event_id % 10 <> 0) as least, max(value) filter (event_id % 10 <> 0) as most from events group by event_type")
+def degeneracy_profile(spark, sf):
+    rows = t(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return metrics.profile(rows, ["event_type"], "value").withColumn("std", r6("std"))
+
+
+@query(f"select round(avg(m), 6) as epoch_loss, count(*) as n_batches from (select batch_id, avg(power(pred - target, 2)) as m from ({_RATED}) group by batch_id)")
+def batch_mean_of_means(spark, sf):
+    rows = _rated(spark, sf).withColumn("loss", F.pow(F.col("pred") - F.col("target"), 2))
+    return metrics.mean_of_batch_means(rows, "batch_id", "loss").withColumn("epoch_loss", r6("epoch_loss"))
+
+
+def _rank_sql(source: bool) -> str:
+    same = "and a.source = b.source" if source else ""
+    return f"""select batch_id, coalesce(n_pairs, 0) as n_pairs, round(coalesce(rank_loss, 0.0::double), 6) as rank_loss from (select distinct batch_id from ({_RATED})) left join (
+        select a.batch_id, count(*) as n_pairs, avg(greatest(0.0::double, -sign(a.target - b.target) * (a.pred - b.pred))) as rank_loss
+        from ({_RATED}) a join ({_RATED}) b on a.batch_id = b.batch_id {same} and a.doc_id < b.doc_id and a.target <> b.target group by a.batch_id) using (batch_id)"""
+
+
+@query(_rank_sql(True))
+def pair_rank_source(spark, sf):
+    return ranking.pair_rank(_rated(spark, sf), "batch_id", "doc_id", "pred", "target", "source").withColumn("rank_loss", r6("rank_loss"))
+
+
+@query(_rank_sql(False))
+def pair_rank_all(spark, sf):
+    return ranking.pair_rank(_rated(spark, sf), "batch_id", "doc_id", "pred", "target").withColumn("rank_loss", r6("rank_loss"))
+
+
+@query(f"select batch_id, round(mse + 0.5::double * s.rank_loss + 0.25::double * a.rank_loss, 5) as total_loss from (select batch_id, avg(power(pred - target, 2)) as mse from ({_RATED}) group by batch_id) join ({_rank_sql(True)}) s using (batch_id) join ({_rank_sql(False)}) a using (batch_id)")
+def mos_loss(spark, sf):
+    out = ranking.rating_loss(_rated(spark, sf), "batch_id", "doc_id", ("pred", "target"), ("pred", "target"), "source", alpha=0.5, weight=0.25)
+    return out.withColumn("total_loss", F.round("total_loss", 5))
+
+
+@query("select e as epoch, round(least(0.5::double, e * 0.05::double), 6) as weight from range(1, 31) r(e)")
+def ramp_schedule(spark, sf):
+    return spark.range(1, 31).select(F.col("id").alias("epoch"), r6(C.ramp(F.col("id"), 0.5, 10)).alias("weight"))
+
+
+@query("select e as epoch, round(0.001::double * power(0.95::double, e - 1), 9) as rate, 'epoch_' || lpad(e::varchar, 3, '0') as name from range(1, 31) r(e)")
+def lr_decay(spark, sf):
+    e = F.col("id")
+    return spark.range(1, 31).select(e.alias("epoch"), F.round(C.decayed_rate(e, 0.001, 0.95), 9).alias("rate"), C.epoch_name(e).alias("name"))
+
+
+def _history(spark, sf):
+    daily = t(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").cast("long").alias("epoch"))
+    return daily.agg(r6(metrics.pearson("value", "user_id")).alias("dev")).withColumn("dev", C.missing_as_null(F.col("dev")))
+
+
+_HISTORY = f"select event_type as run, day(ts)::bigint as epoch, nullif({_corr_sql('value', 'user_id')}, {NAN}) as dev from events group by all"
+_PROGRESS = f"""select *, epoch - coalesce(max(case when improved then epoch end) over (partition by run order by epoch), min(epoch) over (partition by run order by epoch) - 1) as no_improve from (
+    select *, coalesce(dev > greatest(-1.0::double, coalesce(max(dev) over (partition by run order by epoch rows between unbounded preceding and 1 preceding), -1.0::double)), false) as improved from ({_HISTORY}))"""
+
+
+def _stopped_sql(patience: int) -> str:
+    return f"select * from (select *, min(case when no_improve >= {patience} then epoch end) over (partition by run) as stop from ({_PROGRESS})) where stop is null or epoch <= stop"
+
+
+@query(f"select run, max(epoch) filter (improved) as best_epoch, max(dev) filter (improved) as best_dev from ({_PROGRESS}) group by run")
+def best_epoch(spark, sf):
+    return runs.best_epoch(_history(spark, sf))
+
+
+@query(f"select run, epoch, dev, improved, no_improve from ({_stopped_sql(3)})")
+def early_stop(spark, sf):
+    return runs.stopped(_history(spark, sf), 3).select("run", "epoch", "dev", "improved", "no_improve")
+
+
+@query(f"""select run, kind, epoch, 'epoch_' || lpad(epoch::varchar, 3, '0') as name from (
+    select run, 'last' as kind, max(epoch) as epoch from ({_stopped_sql(5)}) group by run union all
+    select run, 'best', coalesce(max(epoch) filter (improved), max(epoch)) from ({_stopped_sql(5)}) group by run union all
+    select run, 'periodic', epoch from ({_stopped_sql(5)}) where epoch % 2 = 0)""")
+def checkpoint_set(spark, sf):
+    return runs.checkpoints(_history(spark, sf), patience=5, every=2)
+
+
+@query(f"select run, epoch, dev from ({_HISTORY}) where dev is not null qualify row_number() over (partition by run order by dev desc, epoch) = 1")
+def run_compare(spark, sf):
+    return runs.compare(_history(spark, sf))
+
+
+_EMB = "select vec_id, i, x::double as x from (select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings)"
+
+
+def _long(df: DataFrame, value: Column) -> DataFrame:
+    return df.select("vec_id", F.posexplode(value).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("x").cast("double")).alias("x"))
+
+
+@query(f"select vec_id, i, round(case when p > 0 then x / p else x end, 6) as x from (select *, max(abs(x)) over (partition by vec_id) as p from ({_EMB}))")
+def peak_normalize(spark, sf):
+    return _long(t(spark, sf, "embeddings"), arrays.peak_normalized(F.col("embedding").cast("array<double>")))
+
+
+def _pad_sql(n: int) -> str:
+    return f"select vec_id, {n} as n, i, round(coalesce(list_extract(embedding, (i + 1)::int), 0.0::float)::double, 6) as x from embeddings, range({n}) r(i)"
+
+
+@query(f"{_pad_sql(100)} union all {_pad_sql(32)}")
+def pad_or_clip(spark, sf):
+    e = t(spark, sf, "embeddings")
+    parts = [_long(e, arrays.pad_or_clip(F.col("embedding"), n)).select("vec_id", F.lit(n).alias("n"), "i", "x") for n in (100, 32)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"select vec_id, round(sum(w * x) / sum(w), 6) as x, round(sum(w * i) / sum(w), 6) as at from (select *, exp(x - max(x) over (partition by vec_id)) as w from ({_EMB})) group by vec_id")
+def attn_pool(spark, sf):
+    frames = t(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x")).withColumn("x", F.col("x").cast("double")).withColumn("score", F.col("x"))
+    return arrays.attention_pool(frames, "vec_id", "score", ["x", "at"]).select("vec_id", r6("x").alias("x"), r6("at").alias("at"))
+
+
+@query(f"select vec_id, round(sum(x * ((i % 7)::double - 3.0::double) / 10.0::double) + 3.0::double, 6) as acr from ({_EMB}) group by vec_id")
+def linear_head(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", r6(arrays.head(F.col("embedding"), [(i % 7 - 3) / 10 for i in range(64)], 3.0)).alias("acr"))
+
+
+@query(f"select vec_id, i, round((x - m) / sqrt(v + 1e-5::double), 6) as x from (select *, avg(x) over (partition by vec_id) as m, var_pop(x) over (partition by vec_id) as v from ({_EMB}))")
+def layer_norm(spark, sf):
+    return _long(t(spark, sf, "embeddings"), arrays.layer_norm(F.col("embedding")))
+
+
+@query("select param, value from (values ('encoder.w', 1.0::double), ('head.w', 2.0::double), ('adapter.b', 3.0::double)) v(param, value) where not starts_with(param, 'encoder.')")
+def trainable_state(spark, sf):
+    from ratelake.operators.heads import trainable
+
+    return trainable(spark.createDataFrame([("encoder.w", 1.0), ("head.w", 2.0), ("adapter.b", 3.0)], "param string, value double"))
+
+
+@query("select c_custkey, case c_mktsegment when 'BUILDING' then 384 when 'MACHINERY' then 512 else 1024 end as size from customer")
+def default_lookup(spark, sf):
+    return t(spark, sf, "customer").select("c_custkey", C.default_lookup(F.col("c_mktsegment"), {"BUILDING": 384, "MACHINERY": 512}, C.DEFAULT_ENCODER_SIZE).alias("size"))
+
+
+@query("select vec_id, layer from (select vec_id, vec_id % 3 as layer, (vec_id // 3)::varchar as path from embeddings) qualify layer = max(layer) over (partition by path)")
+def last_layer(spark, sf):
+    rows = t(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("layer"), F.expr("cast(vec_id div 3 as string)").alias("path"))
+    return arrays.layer_of(rows, -1).select("vec_id", "layer")
+
+
+@query("select distinct path from (select l_partkey as path from lineitem union all select l_suppkey from lineitem)")
+def pair_paths(spark, sf):
+    return scoring.paths_of_pairs(t(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query()
+def half_round_trip(spark, sf):
+    from ratelake.operators.signal import half_round_trip as half
+
+    return t(spark, sf, "embeddings").select("vec_id", half("embedding").alias("x"))
+
+
+@query()
+def edge_trim(spark, sf):
+    from ratelake.operators.signal import trimmed
+
+    return t(spark, sf, "embeddings").select("vec_id", F.size(trimmed(F.concat(F.array_repeat(F.lit(0.0).cast("float"), 4096), F.flatten(F.array_repeat(F.col("embedding"), 64))))).alias("n"))
+
+
+@query()
+def mel_db(spark, sf):
+    from ratelake.operators.signal import mel_db_flat
+
+    return t(spark, sf, "embeddings").select("vec_id", mel_db_flat(F.flatten(F.array_repeat(F.col("embedding"), 16))).alias("mel"))
+
+
+@query()
+def model_forward(spark, sf):
+    from ratelake.operators import heads
+
+    clips = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("features"))
+    return heads.score_clips(clips, heads.make_weights(16, 8), 16)

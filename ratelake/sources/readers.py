@@ -12,16 +12,25 @@ from pyspark.sql import types as T
 
 from ratelake.functions.columns import missing_as_null
 
-LISTENER_RATINGS = T.StructType.fromDDL("system_id string, filename string, score double, session_id string, listener_info string")
+
+def _schema(ddl: str) -> T.StructType:
+    """name type, ... of plain types, without needing a session."""
+    out = T.StructType()
+    for part in ddl.split(","):
+        out.add(*part.split())
+    return out
+
+
+LISTENER_RATINGS = _schema("system_id string, filename string, score double, session_id string, listener_info string")
 #: Columns, in order, of the manifest, whose missing values are NULL inside and empty in CSV.
-MANIFEST = T.StructType.fromDDL("path string, acr double, ccr double, language string, system string, split string, source string")
+MANIFEST = _schema("path string, acr double, ccr double, language string, system string, split string, source string")
 UNKNOWN_SOURCE = "unknown"
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
     """CSV by an explicit schema, matched by name where there is a header; NaN and empty become NULL."""
     if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
+        schema = _schema(schema)
     if not header:
         df = spark.read.schema(schema).csv(path, header=False)
     else:
