@@ -146,7 +146,7 @@ def test_parsers(spark, tmp_path):
     corpus = tmp_path / "nisqa"
     (corpus / "deg").mkdir(parents=True)
     for n in "abc":
-        (corpus / "deg" / f"{n}.wav").write_bytes(b"")
+        (corpus / "deg" / f"{n}.wav").write_bytes(b"x")
     (corpus / "NISQA_corpus_con.csv").write_text("db,con,mos\nNISQA_TRAIN_SIM,1,3.0\n")
     (corpus / "NISQA_corpus_file.csv").write_text("db,filepath_deg,mos\nNISQA_TRAIN_SIM,deg/a.wav,3.1\nNISQA_VAL_LIVE,deg/b.wav,4.2\nNISQA_TEST_P501,deg/c.wav,2.0\n")
     found, counts = manifest.parse_nisqa(spark, str(corpus), readers.listing(spark, str(corpus)))
