@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratelake.llm import chat_format
+from ratelake.llm import chat_format, substring_dedup
 from ratelake.llm.chat_format import op3_chat_format
 from ratelake.llm.decontamination import op10_decontamination
 from ratelake.llm.line_dedup import op8_line_dedup
@@ -29,4 +29,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }

@@ -178,3 +178,15 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) as h from (select *, unnest(range(1, len(ws) - 48)) as i from w)),
+least as (select h, min(doc_id) as m from win group by h),
+gone as (select distinct doc_id, i + unnest(range(0, 50)) as p from win join least using (h) where m < doc_id),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, len(ws)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
