@@ -44,3 +44,15 @@ def n_words(text: Column) -> Column:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows, by counting no more than one beyond."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def hash_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """The ``most`` rows with the least hash of ``key`` (all, if there are fewer); the same at every run.
+
+    Rows far above the expected cut are filtered out first, so that few more than ``most`` reach the final sort.
+    """
+    n, bits = df.count(), 1 << 31
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits))
+    wanted = most + 6 * most**0.5 + 64
+    near = df.where(place < int(bits * min(1.0, wanted / n))) if n > most else df
+    return near.orderBy(place, key).limit(most)
