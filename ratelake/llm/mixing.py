@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import cut, n_words, table
+from ratelake.llm.common import cut, n_words, small_enough, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -28,6 +28,8 @@ BLOCK = 32
 MIN_BLOCKS = 4096
 SHARD_WORDS = 1 << 21
 SHARD_DOCS = 1 << 15
+#: Sources (about 100 bytes each) that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 1 << 16
 SEED = 20_24
 
 _SOURCE = ("__null", "__source")
@@ -140,7 +142,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
     block = max(1, min(block, total // MIN_BLOCKS))
     shards_of = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("__docs") / SHARD_DOCS), F.lit(1))
     sources = cut(quotas(sources, total // block).withColumn("__shards", shards_of))
-    placed = sized.join(sources.drop("__docs"), [*_SOURCE]).withColumn("shard", F.pmod("__hash", "__shards"))
+    # A join by source would deal a hot source to one task; broadcast, each row gets its shard in place.
+    side = sources.drop("__docs")
+    side = F.broadcast(side) if small_enough(side, MAX_BROADCAST) else side
+    placed = sized.join(side, [*_SOURCE]).withColumn("shard", F.pmod("__hash", "__shards"))
     shards = placed.groupBy(*_SOURCE, "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
     shards = shard_quotas(shards).select(*_SOURCE, "shard", "shard_size", "shard_quota")
     laid = placed.join(shards, [*_SOURCE, "shard"])
