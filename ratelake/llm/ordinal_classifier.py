@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
-from ratelake.llm.common import table
+from ratelake.llm.common import hash_sample, table
 
 DIMENSIONS = 1 << 16
 MAX_RATED = 16_000
@@ -77,7 +77,7 @@ def grade_of() -> Column:
 def rated_sample(labels: DataFrame, max_rated: int = MAX_RATED) -> DataFrame:
     """(doc_id, grade) of at most ``max_rated`` rated documents, by hash of the id."""
     rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade_of()).alias("grade"))
-    return rated.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(max_rated)
+    return hash_sample(rated, "doc_id", max_rated, seed=5)
 
 
 def rated_features(docs: DataFrame, rated: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
