@@ -396,3 +396,12 @@ def test_sql(spark):
         out = QUERIES[name](spark, SF)
         assert sorted(out.columns) == sorted(names)
         assert rows_of(out.select(*names)) == sorted(cursor.fetchall(), key=repr)
+
+
+def test_hash_sample(spark):
+    from ratelake.llm.common import hash_sample
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    for most in (1, 100, 5000, 9000):
+        got = {r.k for r in hash_sample(df, "k", most).collect()}
+        assert len(got) == min(most, 5000) and got == {r.k for r in hash_sample(df.repartition(5), "k", most).collect()}
