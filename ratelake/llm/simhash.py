@@ -11,6 +11,9 @@ two groups not yet joined within the batch at hand, so a group of thousands of c
 as it has members, not their square. Keys with more than HOT_ROWS entries are split into blocks, every pair of blocks
 being met once.
 
+The pipeline's stage takes candidates from bands of minima of the shingle hashes and a sketch of their bits, and joins
+two texts only if their shingle sets have a Jaccard similarity of SIMILAR or more.
+
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle of the whole sequence; equal fingerprints are one node, whatever number of rows has them; a row with a
 null ``doc_id`` belongs to the component of its fingerprint but never names one (its component_id is null if all its
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm.common import cut, table
 from ratelake.llm.components import connected_components
+from ratelake.llm.textkernel import mix
 
 #: Table entries under one key that one task compares with each other.
 HOT_ROWS = 1 << 16
@@ -38,6 +42,18 @@ BLOCK_PAIRS = 1 << 21
 #: Rows that a task holds before it compares them; more only if one key has more.
 BATCH_ROWS = 1 << 17
 
+#: Jaccard similarity of shingle sets from which two texts are near copies.
+SIMILAR = 0.8
+#: Minima by set, and how many make a band: at 0.8 a pair shares none of the 25 bands with probability 5e-5.
+MINIMA, BAND_ROWS = 128, 5
+#: Sketch bits in which a candidate pair may differ: 12.8 on average at 0.8, with a deviation of 3.4, so 5 of them above.
+SKETCH_BITS = 30
+#: Places apart under a band at which the first round looks for pairs.
+REACH = 4
+_RANDOM = np.random.default_rng(5)
+_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64)
+
 
 def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
     """XXH64 of each shingle of ``width`` lower-cased (A-Z) words, joined by spaces; repeats included."""
@@ -215,16 +231,162 @@ def op6_groups(docs: DataFrame) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, most: int = 22) -> DataFrame:
+def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, id, n, sketch, bands) of each document's set of shingles: a 128-bit hash, its size, a 128-bit sketch, its bands.
+
+    A sketch has a bit of each of 128 minima under different hashes; two differ in (1 - J) / 2 of the bits on average. A
+    band hashes BAND_ROWS of the minima. A text without a word has no band.
+    """
+    n_bands = MINIMA // BAND_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            ids, n, least = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64), np.full((rows, MINIMA), 2**64 - 1, np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                hashes = np.unique(shingle_hashes(text.as_py(), width))
+                ids[i], n[i] = np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.uint64), len(hashes)
+                for at in range(0, len(hashes), 1024):
+                    np.minimum(least[i], (hashes[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0), out=least[i])
+            sketch = np.packbits((least >> np.uint64(31)).astype(np.uint8) & 1, axis=1).view(np.int64)
+            bands = mix((mix(least[:, : n_bands * BAND_ROWS]).reshape(rows, n_bands, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=2) + np.arange(n_bands, dtype=np.uint64))
+            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, n_bands, 0))]).astype(np.int32)
+            pair = pa.array(np.arange(0, 2 * rows + 1, 2, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(pair, pa.array(x.view(np.int64).ravel())) for x in (ids, sketch)]
+            yield pa.record_batch([batch.column(0), lists[0], pa.array(n), lists[1], pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[n > 0].view(np.int64).ravel()))], names=["doc_id", "id", "n", "sketch", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id array<long>, n long, sketch array<long>, bands array<long>")
+
+
+def _candidates(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key, lo to hi - 1 places apart, of different components, that may have similarity SIMILAR.
+
+    Rows come sorted by key. With lo = 1 each row of a larger key is also paired with the one nearest to the key's
+    majority sketch, from which near copies of one text differ least.
+    """
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+
+    def test(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = comp[i] != comp[j]
+        i, j = i[differ], j[differ]
+        fit = (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= SKETCH_BITS)
+        a, b = node[i[fit]], node[j[fit]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    if lo == 1:
+        for at, many in zip(first[size > hi].tolist(), size[size > hi].tolist()):
+            own = sketch[at : at + many]
+            votes = np.unpackbits(own.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            middle = np.packbits(votes * 2 > many).view(np.uint64)
+            centre = at + int(np.bitwise_count(own ^ middle).sum(axis=1).argmin())
+            yield test(np.full(many, centre), np.arange(at, at + many))
+    left = np.flatnonzero(np.repeat(size, size) > lo)
+    last = np.repeat(first + size, size)
+    for d in range(lo, hi):
+        left = left[left + d < last[left]]
+        if not len(left):
+            break
+        yield test(left, left + d)
+
+
+def _met(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(a, b): the candidates of ``rows`` (key, cell, node, component, n, sketch) that are lo to hi - 1 places apart in their cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, cell, node, comp, n = (t[k].to_numpy().astype(np.int64) for k in ("key", "cell", "node", "component", "n"))
+            sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 2)
+            for a, b in _candidates(mix(key.view(np.uint64) + mix(cell.view(np.uint64))), node, comp, n, sketch, lo, hi):
+                if len(a):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < BATCH_ROWS:
+                continue
+            t = pa.Table.from_batches(held)
+            key, cell = t["key"].to_numpy(), t["cell"].to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole:
+                yield from compare(t.slice(0, whole))
+            held, count = t.slice(whole).to_batches(), len(t) - whole
+        if count:
+            yield from compare(pa.Table.from_batches(held))
+
+    dealt = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "node")
+    return dealt.select("key", "cell", "node", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``texts`` (node, text) have sets of shingles of Jaccard similarity SIMILAR or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in held:
+                if len(held) >= 64:
+                    del held[next(iter(held))]
+                held[node] = np.unique(shingle_hashes(text.as_py(), width))
+            return held[node]
+
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                x, y = of(a, batch.column(2)[i]), of(b, batch.column(3)[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    return full.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, component_id) of rows with an id: the smallest id reached by pairs of similarity SIMILAR or more.
+
+    Equal sets of shingles are one node; nodes that share a band are candidates. Each round verifies by their texts the
+    candidates some places apart under a band. Keys with two components or more go on, at a longer reach, until every
+    candidate pair has been tested or is of one component.
+    """
+    signed = cut(signatures(docs.where("doc_id is not null"), width))
+    named = cut(signed.groupBy("id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    rows = named.select(F.explode("bands").alias("key"), "node", F.col("node").alias("component"), "n", "sketch")
+    links = named.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    lo, reach = 1, REACH
+    while True:
+        counts = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("x"), F.max("component").alias("y"))
+        live = counts.where((F.col("count") > lo) & (F.col("x") < F.col("y"))).select("key", F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks"))
+        rows = cut(rows.join(live, "key").select("key", "node", "component", "n", "sketch", "blocks"))
+        if rows.isEmpty():
+            break
+        # A row of a hot key goes to the cells (own block, any block), each pair of blocks being one cell.
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.least(own, k) * F.col("blocks") + F.greatest(own, k)).cast("int"))
+        pairs = cut(_met(rows.withColumn("cell", F.explode(cells)), lo, lo + reach))
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        links = cut(links.unionByName(similar(pairs, cut(texts.join(needed, "node", "left_semi")), width)))
+        groups = connected_components(links)
+        rows = rows.drop("component", "blocks").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
+        lo, reach = lo + reach, 8 * reach
+    groups = connected_components(links)
+    classes = named.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+    return signed.select("doc_id", "id").join(classes, "id").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Keeps of each group of near copies the document with the smallest id; all columns stay.
 
-    Five-word shingles and 128 bits, met on eight 16-bit segments within 1 bit each. Two texts of similarity 0.8
-    (Jaccard) differ in about 19 of 128 bits, unrelated ones in about 64. Rows with a null id stay; rows that share
-    an id are one document.
+    Groups are joined by pairs whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more, by
+    their texts. Rows with a null id stay; rows that share an id are one document.
     """
-    fps = cut(fingerprints(docs, width=5, words=2))
-    groups = near_groups(fps, segments=(16,) * 8, radii=(1,) * 8, most=most)
-    copies = fps.join(groups, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    copies = similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
 
 

@@ -259,6 +259,29 @@ def test_op6_dense_group(spark, hot):
     assert components(range(len(fps)), [tuple(r) for r in links]) == components(range(len(fps)), near)
 
 
+def changed(words, rng, share):
+    """A copy in which ``share`` of the words, evenly spaced, are others."""
+    step = round(1 / share)
+    return " ".join(f"w{rng.randrange(10**6)}" if k % step == step // 2 else w for k, w in enumerate(words))
+
+
+def jaccard(x, y, width=5):
+    a, b = ({tuple(t.lower().split()[k : k + width]) for k in range(max(1, len(t.split()) - width + 1))} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_found(spark):
+    """Every pair of similarity 0.8 or more loses one, also those just above."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, changed(words, rng, 1 / 46))]
+    assert all(0.8 <= jaccard(rows[k][1], rows[k + 1][1]) < 0.85 for k in range(0, 600, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_near_copies(docs).orderBy("doc_id").collect()] == list(range(0, 600, 2))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(None, 3)]
