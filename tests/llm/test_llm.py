@@ -282,6 +282,22 @@ def test_near_copies_found(spark):
     assert [r.doc_id for r in simhash.drop_near_copies(docs).orderBy("doc_id").collect()] == list(range(0, 600, 2))
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 20])
+def test_near_copies_kept_below(spark, hot):
+    """Pairs below 0.8 stay apart, and a crowd of near copies gives the groups of all pairs."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, changed(words, rng, 1 / 34))]
+    assert all(0.65 <= jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(0, 200, 2))
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows += [(1000 + k, " ".join(w if rng.random() > 0.015 else "other" for w in base)) for k in range(80)]
+    near = [(i, j) for i, x in rows for j, y in rows if i < j and jaccard(x, y) >= 0.8]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), hot_rows=hot).collect()}
+    assert got == components([i for i, _ in rows], near)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(None, 3)]
