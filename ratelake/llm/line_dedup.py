@@ -14,7 +14,7 @@ split by Spark.
 
 Defined cases: null texts and lines without a word have no line here; lines shorter than MIN_CHARS characters are
 linked only if equal; a null ``doc_id`` comes last when the first document of a line is named; repeated rows count as
-copies; an empty table gives an empty result; other columns are ignored.
+copies; an empty table gives an empty result; other columns are ignored or carried along (``without_copies``).
 """
 
 from __future__ import annotations
@@ -140,5 +140,29 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return rows.join(linked, "line_id", "left").select("line_id", "doc_id", "line_no", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "line_id").alias("class_id"))
 
 
+def members(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """One row per line of each document: doc_id, line_no, line_id, class_id, n_links, copies, first_doc_id, first_line_no, kept.
+
+    The first place is that of the line's class. A line is kept if it stands there or has no ``doc_id``.
+    """
+    rated = cut(dedup(docs, edits))
+    first = rated.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("p"))
+    by = rated.join(first, "class_id").select("line_id", "class_id", "n_links", "copies", F.col("p.doc_id").alias("first_doc_id"), F.col("p.line_no").alias("first_line_no"))
+    places = lines(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), line_id("a", "b").alias("line_id"))
+    stays = F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
+    return places.join(by, "line_id").select("doc_id", "line_no", "line_id", "class_id", "n_links", "copies", "first_doc_id", "first_line_no", F.coalesce(stays, F.lit(False)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The documents, with all their columns, whose texts have no line that ``members`` does not keep."""
+    gone = members(docs, edits).where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "line_id")).alias("__gone"))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
+    # Of rows that share an id, each loses the lines that it has itself.
+    name = lambda x: F.lower(F.concat(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), x)), 16, "0")))
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", F.struct(i.cast("long").alias("line_no"), name(x).alias("line_id"))))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("text", text).select(*docs.columns)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"))
+    return members(table(spark, sf_dir, "documents"))

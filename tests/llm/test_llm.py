@@ -374,6 +374,21 @@ def test_op8(spark, docs, nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_op8_members(spark):
+    """Every place of a line has its class, and documents lose the lines that stand elsewhere before."""
+    one, near, two = "a line that is long enough to be linked", "a line that is long enough to be linkt!", "another line, quite different from it"
+    rows = [(1, f"{one}\nshort"), (2, f"{two}\n\n{near}"), (3, f"{one}\n{two}\nlast"), (4, None), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.members(docs).collect()
+    places = sorted((i or 0, k) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x)
+    assert sorted((r.doc_id or 0, r.line_no) for r in got) == places
+    at = {(r.doc_id, r.line_no): r for r in got}
+    assert len({at[p].class_id for p in [(1, 0), (2, 2), (3, 0), (None, 0)]}) == 1 and at[2, 2].line_id != at[1, 0].line_id
+    assert {p for p, r in at.items() if not r.kept} == {(2, 2), (3, 0), (3, 1)}
+    exp = {1: f"{one}\nshort", 2: f"{two}\n", 3: "last", 4: None, None: one}
+    assert {r.doc_id: r.text for r in line_dedup.without_copies(docs).collect()} == exp
+
+
 def test_op9(spark, docs, nothing):
     least = {}
     rows = [(i, (t or "").split()) for i, t in make_docs()]
