@@ -12,8 +12,8 @@ number of edits, all advanced together by shifts and masks for each character.
 Texts travel once, when lines are made distinct; index and probes are rows of numbers, and the join's hot keys are
 split by Spark.
 
-Defined cases: null texts and lines without a word have no line here; lines shorter than MIN_CHARS characters are
-linked only if equal; a null ``doc_id`` comes last when the first document of a line is named; repeated rows count as
+Defined cases: null texts and lines without a word have no line here; a pair whose shorter line has SHORT_CHARS
+to MIN_CHARS - 1 characters is linked within SHORT_EDITS, and lines below that only if equal; a null ``doc_id`` comes last when the first document of a line is named; repeated rows count as
 copies; an empty table gives an empty result; other columns are ignored or carried along (``without_copies``).
 """
 
@@ -30,6 +30,8 @@ from ratelake.llm.components import connected_components
 
 EDITS = 2
 MIN_CHARS = 24
+#: Lines from here to below MIN_CHARS characters are linked at SHORT_EDITS, to lines of MIN_CHARS too.
+SHORT_CHARS, SHORT_EDITS = 8, 1
 _LETTERS = "etanirso"
 #: Hashes of lines in candidate pairs (8 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 18
@@ -62,7 +64,7 @@ def _apart(x: str, y: str) -> Column:
     return functools.reduce(operator.add, [F.least(g, 256 - g) for g in gaps])
 
 
-def _keys(edits: int) -> tuple[Column, Column]:
+def _keys(edits: int, least: int = MIN_CHARS) -> tuple[Column, Column]:
     """Index keys of a line, and the keys it probes; a key is a 44-bit hash of (length, segment, substring).
 
     A probe (l, k, m) looks for segment k of lines shorter by l at its place moved by m. Edits left and right of the
@@ -76,7 +78,7 @@ def _keys(edits: int) -> tuple[Column, Column]:
         listed = ", ".join(f"named_struct('l', {less}, 'k', {k}, 'm', {m})" for less, k, m in triples)
         short, longer = f"((n - p.l) div {parts})", f"({parts} - (n - p.l) % {parts})"
         placed = f"transform(array({listed}), p -> named_struct('l', n - p.l, 'k', p.k, 's', cast({short} * p.k + greatest(p.k - {longer}, 0) + p.m as int), 'z', cast({short} + if(p.k >= {longer}, 1, 0) as int)))"
-        return F.expr(f"transform({placed}, q -> if(q.l >= {MIN_CHARS} and q.s >= 0 and q.s + q.z <= n, xxhash64(q.l, q.k, substring(line, q.s + 1, q.z)) & 17592186044415L, null))")
+        return F.expr(f"transform({placed}, q -> if(q.l >= {least} and q.s >= 0 and q.s + q.z <= n, xxhash64(q.l, q.k, substring(line, q.s + 1, q.z)) & 17592186044415L, null))")
 
     return keys(index), keys(probes)
 
@@ -101,11 +103,14 @@ def _distance(edits: int) -> Column:
     return F.expr(f"transform(array({run}), r -> case {' '.join(final)} end)[0]")
 
 
-def links(found: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b, c, d, distance): pairs of different lines, by their hashes (a, b) and (c, d), within ``edits`` edits."""
+def links(found: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, most: int | None = None) -> DataFrame:
+    """(a, b, c, d, distance): pairs of different lines, by their hashes (a, b) and (c, d), within ``edits`` edits.
+
+    Lines have ``least`` to ``most`` characters.
+    """
     distinct = found.select("a", "b", "line").groupBy("a", "b").agg(F.first("line").alias("line"))
-    long = distinct.withColumn("n", F.char_length("line")).where(F.col("n") >= MIN_CHARS)
-    index, probes = _keys(edits)
+    long = distinct.withColumn("n", F.char_length("line")).where(F.col("n").between(least, most) if most else F.col("n") >= least)
+    index, probes = _keys(edits, least)
     # Outer explodes, because for inner ones the optimizer adds a filter that computes all keys once more.
     signed = long.select("a", _letters(F.col("line")).alias("letters"), index.alias("index"), probes.alias("probes"))
     entry = signed.select("a", "letters", F.explode_outer("index").alias("key")).where("key is not null")
@@ -131,7 +136,10 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     class_id is the smallest line_id that the line reaches by links.
     """
     found = lines(docs)
-    pairs = cut(links(found, edits).select(line_id("a", "b").alias("a"), line_id("c", "d").alias("b")))
+    short = links(found, min(edits, SHORT_EDITS), SHORT_CHARS, MIN_CHARS - 1 + SHORT_EDITS)
+    # Two lines of MIN_CHARS characters come from both.
+    ends = F.array_sort(F.array(line_id("a", "b"), line_id("c", "d")))
+    pairs = cut(links(found, edits).unionByName(short).select(ends[0].alias("a"), ends[1].alias("b")).distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.groupBy(F.col("a").alias("line_id")).agg(F.count("*").alias("n_links"))
     groups = connected_components(pairs).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))

@@ -389,6 +389,20 @@ def test_op8_members(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_copies(docs).collect()} == exp
 
 
+def test_op8_short_lines(spark):
+    """Short lines are linked at one edit, also to a line of MIN_CHARS; shorter ones only if equal."""
+    rng = random.Random(6)
+    base = ["Are is anwh reenen.", "Der eingea erer.", "contact", "abcdefgh", "x" * 23] + ["".join(rng.choice("abcdef") for _ in range(rng.randint(5, 24))) for _ in range(30)]
+    lines = list(dict.fromkeys([*base, "Are, is anwh reenen.", "Der, eingea erer.", "x" * 24, *(x[:2] + "z" + x[3:] for x in base), *(x[1:] for x in base), *(x + "yy" for x in base)]))
+    found = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    reach = lambda x, y: -1 if (n := min(len(x), len(y))) < line_dedup.SHORT_CHARS else 1 if n < line_dedup.MIN_CHARS else 2
+    near = [(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines[:i]) if edit_distance(x, y) <= reach(x, y)]
+    got = {r.doc_id: r for r in line_dedup.dedup(found).collect()}
+    assert all(r.n_links == sum(i in p for p in near) for i, r in got.items())
+    exp = components(range(len(lines)), near)
+    assert len({(r.class_id, exp[i]) for i, r in got.items()}) == len({r.class_id for r in got.values()}) == len(set(exp.values()))
+
+
 def test_op9(spark, docs, nothing):
     least = {}
     rows = [(i, (t or "").split()) for i, t in make_docs()]
