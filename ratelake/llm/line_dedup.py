@@ -108,8 +108,9 @@ def links(found: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, most: in
 
     Lines have ``least`` to ``most`` characters.
     """
-    distinct = found.select("a", "b", "line").groupBy("a", "b").agg(F.first("line").alias("line"))
-    long = distinct.withColumn("n", F.char_length("line")).where(F.col("n").between(least, most) if most else F.col("n") >= least)
+    size = F.char_length("line")
+    found = found.where(size.between(least, most) if most else size >= least)
+    long = found.select("a", "b", "line").groupBy("a", "b").agg(F.first("line").alias("line")).withColumn("n", size)
     index, probes = _keys(edits, least)
     # Outer explodes, because for inner ones the optimizer adds a filter that computes all keys once more.
     signed = long.select("a", _letters(F.col("line")).alias("letters"), index.alias("index"), probes.alias("probes"))
