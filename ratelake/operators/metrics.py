@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import missing_as_null
+from ratelake.operators.shared import join_same
 
 
 def valid_pairs(df: DataFrame, pred: str, target: str) -> DataFrame:
@@ -19,18 +20,36 @@ def pearson(x: str, y: str) -> Column:
     return F.when((F.count("*") < 2) | (spread == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), spread))
 
 
-def average_rank(group: list[str], value: str) -> Column:
-    """Rank within the group; ties share the mean of their ranks."""
-    peers = F.count("*").over(Window.partitionBy(*group, value))
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (peers - 1) / 2.0
+#: Bins between a group's least and greatest value that are ranked apart from each other.
+BINS = 1024
+
+
+def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """(group, value, rank): one row per distinct value; ties share the mean of their ranks.
+
+    Ties are counted first. A group's distinct values fall into BINS equal ranges, each ranked in a task of its own and
+    shifted by the counts of the ranges below, so that a group that holds all rows is spread too.
+    """
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    ends = df.groupBy(*group).agg(F.min(value).alias("__least"), F.max(value).alias("__most"))
+    share = F.try_divide(F.col(value) - F.col("__least"), F.col("__most") - F.col("__least"))
+    bin_ = F.coalesce(F.when(~F.isnan(share), F.floor(share * BINS).cast("int")), F.lit(0))
+    placed = join_same(counts, ends, group).withColumn("__bin", bin_).drop("__least", "__most")
+    by_bin = placed.groupBy(*group, "__bin").agg(F.sum("__n").alias("__in"))
+    up = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS + 1 rows at most
+    below = by_bin.select(*group, "__bin", F.coalesce(F.sum("__in").over(up), F.lit(0)).alias("__below"))
+    within = F.sum("__n").over(Window.partitionBy(*group, "__bin").orderBy(value))
+    rank = F.col("__below") + F.col("__upto") - (F.col("__n") - 1) / 2.0
+    return join_same(placed.withColumn("__upto", within), below, [*group, "__bin"]).select(*group, value, rank.alias(name))
 
 
 def compute(df: DataFrame, group: list[str], pred: str, target: str) -> DataFrame:
     """(group, n, srcc, lcc, mse) over valid pairs; NaN where fewer than two."""
-    pairs = valid_pairs(df, pred, target)
-    ranked = pairs.withColumns({"__rp": average_rank(group, pred), "__rt": average_rank(group, target)})
-    mse = F.when(F.count("*") < 2, F.lit(float("nan"))).otherwise(F.avg(F.pow(F.col(pred) - F.col(target), 2)))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), pearson("__rp", "__rt").alias("srcc"), pearson(pred, target).alias("lcc"), mse.alias("mse"))
+    pairs = valid_pairs(df, pred, target).select(*group, F.col(pred).alias("__p"), F.col(target).alias("__t"))
+    ranked = join_same(pairs, average_ranks(pairs, group, "__p", "__rp"), [*group, "__p"])
+    ranked = join_same(ranked, average_ranks(pairs, group, "__t", "__rt"), [*group, "__t"])
+    mse = F.when(F.count("*") < 2, F.lit(float("nan"))).otherwise(F.avg(F.pow(F.col("__p") - F.col("__t"), 2)))
+    return ranked.groupBy(*group).agg(F.count("*").alias("n"), pearson("__rp", "__rt").alias("srcc"), pearson("__p", "__t").alias("lcc"), mse.alias("mse"))
 
 
 def profile(df: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratelake.operators.shared import cut
+
 #: A deviation this small against the mean is rounding, not spread.
 TOLERANCE = 1e-12
 
@@ -23,3 +25,12 @@ def apply(df: DataFrame, stats: DataFrame, group: str, value: str) -> DataFrame:
     joined = df.join(stats, df[group] == stats["__group"], "left")
     scaled = F.when(F.col("mean").isNull(), F.col(value)).otherwise((F.col(value) - F.col("mean")) / F.col("std"))
     return joined.withColumn(value, scaled).drop("__group", "mean", "std")
+
+
+def normalized(df: DataFrame, group: str, value: str, fit_where: str = "split = 'train'") -> DataFrame:
+    """``df`` with ``value`` normalised by the statistics of its rows that fulfil ``fit_where``.
+
+    What the rows stand on (caps, splits, parsing) is computed once, for the statistics and for the rows.
+    """
+    rows = cut(df)
+    return apply(rows, fit(rows.where(fit_where), group, value), group, value)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratelake.operators.shared import with_position
+
 SALT = "42"
 
 
@@ -60,19 +62,9 @@ def dedupe_first(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def with_batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Adds ``batch_id``: ``size`` rows each in key order; the last may be short.
-
-    Positions come from a range sort and the partitions' counts, not from one task's window.
-    """
-    low = (1 << 33) - 1
-    placed = df.orderBy(key).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__in"))
-    before = F.coalesce(F.sum("__in").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__part", before.alias("__before"))
-    joined = placed.withColumn("__part", part).join(counts, "__part")
-    position = F.col("__before") + F.col("__at").bitwiseAND(F.lit(low))
-    return joined.withColumn("batch_id", F.floor(position / size).cast("long")).drop("__at", "__part", "__before")
+    """Adds ``batch_id``: ``size`` rows each in key order; the last may be short."""
+    placed = with_position(df, key, name="__position")
+    return placed.withColumn("batch_id", F.floor(F.col("__position") / size).cast("long")).drop("__position")
 
 
 def dense_ids(df: DataFrame, value: str, batch: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelake.functions.columns import clamp, rescale
+from ratelake.operators.shared import join_same
 
 
 def lookup(rows: DataFrame, scores: DataFrame, key: str, score_key: str, score: str, out: str) -> DataFrame:
@@ -28,11 +29,11 @@ def clamped(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
 def rescaled(df: DataFrame, value: str, lo: float, hi: float, group: list[str] | None = None) -> DataFrame:
     """Maps the values (of each group) onto [lo, hi], keeping their order; constant values become ``lo``.
 
-    Without groups the extremes are one aggregated row that is joined to all rows.
+    The extremes are one aggregated row (of each group) that is joined to all rows.
     """
     if group:
-        w = Window.partitionBy(*group)
-        return df.withColumn(value, rescale(F.col(value), F.min(value).over(w), F.max(value).over(w), lo, hi))
+        joined = join_same(df, df.groupBy(*group).agg(F.min(value).alias("__least"), F.max(value).alias("__most")), group)
+        return joined.withColumn(value, rescale(F.col(value), F.col("__least"), F.col("__most"), lo, hi)).drop("__least", "__most")
     ends = df.agg(F.min(value).alias("__least"), F.max(value).alias("__most"))
     return df.join(F.broadcast(ends)).withColumn(value, rescale(F.col(value), F.col("__least"), F.col("__most"), lo, hi)).drop("__least", "__most")
 

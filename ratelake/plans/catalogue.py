@@ -142,8 +142,7 @@ def split_counts(spark, sf):
 
 @query(f"select o_orderkey, o_orderpriority, round(o_totalprice, 6) as z, split from ({_norm_sql(_split_sql(_ORDERS, 'o_orderpriority', 'o_orderkey'), 'o_orderpriority', 'o_totalprice')})")
 def znorm_train_fit(spark, sf):
-    rows = _orders_split(spark, sf)
-    out = normalize.apply(rows, normalize.fit(rows.where("split = 'train'"), "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
+    out = normalize.normalized(_orders_split(spark, sf), "o_orderpriority", "o_totalprice")
     return out.select("o_orderkey", "o_orderpriority", r6("o_totalprice").alias("z"), "split")
 
 
@@ -152,8 +151,7 @@ _UNSEEN = "split = 'train' and o_orderpriority <> '1-URGENT'"
 
 @query(f"select o_orderkey, o_orderpriority, round(o_totalprice, 6) as z, split from ({_norm_sql(_split_sql(_ORDERS, 'o_orderpriority', 'o_orderkey'), 'o_orderpriority', 'o_totalprice', _UNSEEN)})")
 def znorm_unseen_source(spark, sf):
-    rows = _orders_split(spark, sf)
-    out = normalize.apply(rows, normalize.fit(rows.where(_UNSEEN), "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
+    out = normalize.normalized(_orders_split(spark, sf), "o_orderpriority", "o_totalprice", _UNSEEN)
     return out.select("o_orderkey", "o_orderpriority", r6("o_totalprice").alias("z"), "split")
 
 

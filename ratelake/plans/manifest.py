@@ -71,7 +71,7 @@ def build(parts: dict[str, DataFrame], cap: int | None = None, per_source_z: boo
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), capped)
     whole = whole if respect_split else sampling.split(whole, "source", "path")
     if per_source_z:
-        whole = normalize.apply(whole, normalize.fit(whole.where("split = 'train'"), "source", "acr"), "source", "acr")
+        whole = normalize.normalized(whole, "source", "acr")
     return as_manifest(whole)
 
 

@@ -34,6 +34,35 @@ def test_metrics(spark):
     assert r.n == 3 and r.srcc == pytest.approx(1)
 
 
+@pytest.mark.parametrize("size", [1, 3, 2000])
+def test_ranks(spark, size):
+    """Average ranks against plain counting: ties, a null group, infinite and far values."""
+    rng = np.random.default_rng(size)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in np.round(rng.normal(size=size) * 20) * (1e9 if g == "b" else 1)]
+    rows += [("c", v) for v in (math.inf, -math.inf, 0.0, 0.0, 5.0)] if size == 3 else []
+    got = {(r.g, r.v): r.k for r in metrics.average_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", "k").collect()}
+    exp = {(g, v): sum(w < v for h, w in rows if h == g) + (sum(w == v for h, w in rows if h == g) + 1) / 2 for g, v in rows}
+    assert got == exp
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.enabled": "false"}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}, {"spark.sql.shuffle.partitions": "211"}])
+def test_batches_keep_rows(spark, conf):
+    """Wide rows: every row comes back once, in the batch of its place."""
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for n in (20_000,) if conf else (0, 20_000, 100_000, 400_000):
+            rows = spark.range(n).select((F.col("id") * 7919 % max(n, 1)).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 16).alias("payload"))
+            out = sampling.with_batches(rows, "k", 16)
+            assert out.columns == ["k", "payload", "batch_id"]
+            wrong, total, distinct = out.select(F.count_if(F.col("batch_id") != F.expr("k div 16")), F.count("*"), F.count_distinct("k")).first()
+            assert (wrong, total, distinct) == (0, n, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_normalise(spark):
     train = spark.createDataFrame([("n", 1.0), ("n", 3.0), ("n", 5.0), ("c", 0.1), ("c", 0.1), ("c", 0.1)], "source string, acr double")
     stats = normalize.fit(train, "source", "acr")
