@@ -352,6 +352,12 @@ def edit_distance(a, b):
     return p[-1]
 
 
+def reach(x, y):
+    """The edits within which two lines are linked."""
+    n = min(len(x), len(y))
+    return -1 if n < line_dedup.SHORT_CHARS else 1 if n < line_dedup.MIN_CHARS else 2
+
+
 def test_op8(spark, docs, nothing):
     rng = random.Random(3)
     lines = {"".join(rng.choice("abé ") for _ in range(rng.randint(24, 32))) for _ in range(30)}
@@ -366,12 +372,40 @@ def test_op8(spark, docs, nothing):
     found = line_dedup.lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
     text = {(r.a, r.b): r.line for r in found.collect()}
     got = {frozenset((text[r.a, r.b], text[r.c, r.d])): r.distance for r in line_dedup.links(found).collect()}
-    exp = {frozenset((x, y)): d for i, x in enumerate(lines) for y in lines[:i] if min(len(x), len(y)) >= line_dedup.MIN_CHARS and (d := edit_distance(x, y)) <= 2}
+    exp = {frozenset((x, y)): d for i, x in enumerate(lines) for y in lines[:i] if (d := edit_distance(x, y)) <= reach(x, y)}
     assert exp and got == exp
     out = line_dedup.dedup(docs).collect()
     every = [(x, i, k) for i, t in make_docs() for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     assert len(out) == len({x for x, _, _ in every}) and sum(r.copies for r in out) == len(every)
-    assert line_dedup.dedup(nothing).count() == 0
+    assert line_dedup.dedup(nothing).count() == 0 == line_dedup.members(nothing).count()
+
+
+def test_op8_brute_force(spark):
+    """n_links, class_id and copies of every place, with variants, ties, repeats, empty and very long lines."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("etanirsohd lu") for _ in range(n)) + "x" for n in (7, 8, 12, 22, 23, 24, 25, 60, 200, 3000)]
+    pool = []
+    for x in base:
+        for edits in (0, 1, 1, 2, 2, 3):
+            y = list(x)
+            for _ in range(edits):
+                i = rng.randrange(len(y))
+                y[i : i + rng.choice([0, 1, 1])] = rng.choice(["", "e", "q", "é"])
+            pool.append("".join(y))
+    rows = [(i if i % 11 else None, "\n".join(rng.choice([*pool, "", "  \t"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    places = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n")) if WORD.search(x)]
+    lines = sorted({x for _, _, x in places})
+    near = [(x, y) for i, x in enumerate(lines) for y in lines[:i] if edit_distance(x, y) <= reach(x, y)]
+    exp = components(lines, near)
+    found = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = {r.line: (r.a, r.b) for r in found.collect()}
+    name = {x: f"{text[x][0] % 2**64:016x}{text[x][1] % 2**64:016x}" for x in lines}
+    least = {c: min(name[x] for x in lines if exp[x] == c) for c in set(exp.values())}
+    want = [(i, k, name[x], least[exp[x]], sum(x in p for p in near), sum(x == y for _, _, y in places)) for i, k, x in places]
+    got = line_dedup.members(spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).repartition(5))
+    assert rows_of(got.select("doc_id", "line_no", "line_id", "class_id", "n_links", "copies")) == sorted(want, key=repr)
+    firsts = {c: min((i, k) for i, k, x in places if least[exp[x]] == c and i is not None) for c in {least[exp[x]] for i, _, x in places if i is not None}}
+    assert all(r.kept == (r.doc_id is None or (r.doc_id, r.line_no) == firsts[r.class_id]) for r in got.collect())
 
 
 def test_op8_members(spark):
@@ -395,7 +429,6 @@ def test_op8_short_lines(spark):
     base = ["Are is anwh reenen.", "Der eingea erer.", "contact", "abcdefgh", "x" * 23] + ["".join(rng.choice("abcdef") for _ in range(rng.randint(5, 24))) for _ in range(30)]
     lines = list(dict.fromkeys([*base, "Are, is anwh reenen.", "Der, eingea erer.", "x" * 24, *(x[:2] + "z" + x[3:] for x in base), *(x[1:] for x in base), *(x + "yy" for x in base)]))
     found = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    reach = lambda x, y: -1 if (n := min(len(x), len(y))) < line_dedup.SHORT_CHARS else 1 if n < line_dedup.MIN_CHARS else 2
     near = [(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines[:i]) if edit_distance(x, y) <= reach(x, y)]
     got = {r.doc_id: r for r in line_dedup.dedup(found).collect()}
     assert all(r.n_links == sum(i in p for p in near) for i, r in got.items())
