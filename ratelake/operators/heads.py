@@ -1,17 +1,20 @@
 """Forward pass of the rating model over encoder features; weights are data, training is out of scope.
 
-adapter (dense, layer norm) -> frames joined with the clip's mel vector -> bidirectional LSTM -> attention pooling ->
+adapter (dense, layer norm with gain and bias) -> frames joined with the clip's mel vector -> bidirectional LSTM -> attention pooling ->
 two scalar heads. The frozen encoder is replaced by its features, which come as a table.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ratelake.operators.signal import mel_db
+
 Weights = dict[str, np.ndarray]
 
 
@@ -19,13 +22,14 @@ def make_weights(hidden: int, projection: int = 16, mel: int = 0, seed: int = 0)
     """Seeded weights of the right shapes, for tests and demonstrations."""
     rng, width = np.random.default_rng(seed), projection + mel
     draw = lambda *shape: rng.normal(0, 0.3, shape)
-    out = {"adapter_w": draw(projection, hidden), "adapter_b": draw(projection), "pool_w": draw(2 * projection), "acr_w": draw(2 * projection), "acr_b": draw(1), "ccr_w": draw(2 * projection), "ccr_b": draw(1)}
+    out = {"adapter_w": draw(projection, hidden), "adapter_b": draw(projection), "norm_gain": 1 + draw(projection), "norm_bias": draw(projection), "pool_w": draw(2 * projection), "acr_w": draw(2 * projection), "acr_b": draw(1), "ccr_w": draw(2 * projection), "ccr_b": draw(1)}
     for d in ("forward", "backward"):
         out |= {f"{d}_x": draw(4 * projection, width), f"{d}_h": draw(4 * projection, projection), f"{d}_b": draw(4 * projection)}
     if mel:
         sizes = (1, 4, 8, 8)
         for i in range(3):
-            out |= {f"conv{i}_w": draw(sizes[i + 1], sizes[i], 3, 3), f"conv{i}_b": draw(sizes[i + 1])}
+            n = sizes[i + 1]
+            out |= {f"conv{i}_w": draw(n, sizes[i], 3, 3), f"conv{i}_b": draw(n), f"conv{i}_gain": 1 + draw(n), f"conv{i}_bias": draw(n), f"conv{i}_mean": draw(n), f"conv{i}_var": 1 + abs(draw(n))}
         out |= {"mel_w": draw(mel, sizes[3]), "mel_b": draw(mel)}
     return out
 
@@ -35,9 +39,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def adapter(x: np.ndarray, w: Weights) -> np.ndarray:
-    """Dense layer and layer norm (biased variance) of each frame; dropout is the identity here."""
+    """Dense layer and layer norm (biased variance, then gain and bias) of each frame; dropout is the identity here."""
     y = x @ w["adapter_w"].T + w["adapter_b"]
-    return (y - y.mean(-1, keepdims=True)) / np.sqrt(y.var(-1, keepdims=True) + 1e-5)
+    return (y - y.mean(-1, keepdims=True)) / np.sqrt(y.var(-1, keepdims=True) + 1e-5) * w["norm_gain"] + w["norm_bias"]
 
 
 def lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,12 +68,17 @@ def attention(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def mel_vector(spectrogram: np.ndarray, w: Weights) -> np.ndarray:
-    """Three convolutions (3x3, same size, ReLU), halved twice by max pooling, averaged, then a dense layer."""
+    """Three blocks of convolution (3x3, same size), batch norm by stored statistics and ReLU, then means and a dense layer.
+
+    The second and third block are halved by max pooling.
+    """
     x = spectrogram[None]
     for i in range(3):
         windows = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (1, 1), (1, 1))), (3, 3), axis=(1, 2))
-        x = np.maximum(0, np.einsum("oikl,ihwkl->ohw", w[f"conv{i}_w"], windows) + w[f"conv{i}_b"][:, None, None])
-        if i < 2:
+        x = np.einsum("oikl,ihwkl->ohw", w[f"conv{i}_w"], windows, optimize=True) + w[f"conv{i}_b"][:, None, None]
+        scale = w[f"conv{i}_gain"] / np.sqrt(w[f"conv{i}_var"] + 1e-5)
+        x = np.maximum(0, (x - w[f"conv{i}_mean"][:, None, None]) * scale[:, None, None] + w[f"conv{i}_bias"][:, None, None])
+        if i > 0:
             h, v = x.shape[1] // 2, x.shape[2] // 2
             x = x[:, : 2 * h, : 2 * v].reshape(len(x), h, 2, v, 2).max(axis=(2, 4))
     return x.mean(axis=(1, 2)) @ w["mel_w"].T + w["mel_b"]
@@ -87,15 +96,18 @@ def forward(features: np.ndarray, w: Weights, mel: np.ndarray | None = None) ->
 def score_clips(clips: DataFrame, weights: Weights, width: int) -> DataFrame:
     """(path, acr, ccr) of (path, features), features being frames of ``width`` values laid end to end.
 
-    Make paths distinct first: the forward pass is the costly step.
+    Where the weights have a mel branch, ``samples`` (16 kHz) are needed too. Make paths distinct first: the forward pass
+    is the costly step.
     """
+    with_mel = "mel_w" in weights
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            scores = [forward(np.asarray(v, np.float64).reshape(-1, width), weights) for v in f["features"]]
+            mels = (mel_db(np.asarray(v, np.float32)) for v in f["samples"]) if with_mel else itertools.repeat(None)
+            scores = [forward(np.asarray(v, np.float64).reshape(-1, width), weights, m) for v, m in zip(f["features"], mels)]
             yield pd.DataFrame({"path": f["path"], "acr": [a for a, _ in scores], "ccr": [c for _, c in scores]})
 
-    return clips.select("path", "features").mapInPandas(run, "path string, acr double, ccr double")
+    return clips.select("path", "features", *(["samples"] if with_mel else [])).mapInPandas(run, "path string, acr double, ccr double")
 
 
 def trainable(parameters: DataFrame, frozen: str = "encoder.") -> DataFrame:

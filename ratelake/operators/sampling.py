@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,23 @@ def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
     sides = a.distinct().withColumn("__side", F.lit(1)).unionByName(b.distinct().withColumn("__side", F.lit(2)))
     odd = sides.groupBy(*a.columns).agg(F.count("*").alias("__n")).agg(F.count_if(F.col("__n") == 1).alias("n_different"))
     return odd.withColumn("equal", F.col("n_different") == 0)
+
+
+def zipped(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of both sides at equal places in their orders, side by side; as many as the shorter side has."""
+    a, b = with_position(left, left_order, name="__left"), with_position(right, right_order, name="__right")
+    return a.join(b, a["__left"] == b["__right"]).drop("__left", "__right")
+
+
+def is_set(df: DataFrame, column: str, values: Iterable[str]) -> bool:
+    """Whether the distinct values of a column are just these; reads few more than there should be."""
+    wanted = set(values)
+    found = {r[0] for r in df.select(column).distinct().limit(len(wanted) + 1).collect()}
+    return found == wanted
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error if it has no rows."""
+    if df.isEmpty():
+        raise AssertionError(f"{what} is empty")
+    return df

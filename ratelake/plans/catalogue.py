@@ -441,25 +441,46 @@ def pair_paths(spark, sf):
     return scoring.paths_of_pairs(t(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
 
 
-@query()
+_HALF_STEP = "case when abs(x) < 6.103515625e-05 then 5.9604644775390625e-08 else power(2.0::double, floor(log2(abs(x))) - 10) end"
+
+
+@query(f"select vec_id, i, round(case when x = 0 then x else round_even(x / ({_HALF_STEP}), 0) * ({_HALF_STEP}) end, 6) as x from ({_EMB})")
 def half_round_trip(spark, sf):
     from ratelake.operators.signal import half_round_trip as half
 
-    return t(spark, sf, "embeddings").select("vec_id", half("embedding").alias("x"))
+    return _long(t(spark, sf, "embeddings"), half("embedding"))
 
 
-@query()
+_LOUDNESS = f"""
+with s as (select vec_id, list_concat(list_transform(range(4096), lambda z: 0.0::double), flatten(list_transform(range(64), lambda z: list_transform(embedding, lambda y: power(y::double, 2))))) as sq from embeddings),
+f as (select vec_id, k, list_sum(sq[greatest(k * 512 - 1024, 0) + 1 : least(k * 512 + 1024, 8192)]) / 2048 as m from s, range(17) r(k)),
+l as (select vec_id, k, 10 * log10(greatest(m, 1e-20)) > 10 * log10(greatest(max(m) over (partition by vec_id), 1e-20)) - 30 as loud from f)
+select vec_id, (least(8192, (max(k) + 1) * 512) - min(k) * 512)::integer as n from l where loud group by vec_id"""
+
+
+@query(_LOUDNESS)
 def edge_trim(spark, sf):
     from ratelake.operators.signal import trimmed
 
     return t(spark, sf, "embeddings").select("vec_id", F.size(trimmed(F.concat(F.array_repeat(F.lit(0.0).cast("float"), 4096), F.flatten(F.array_repeat(F.col("embedding"), 64))))).alias("n"))
 
 
-@query()
+# 64 samples, reflected by 16 at either end, in 5 frames of 32; 17 frequencies, 6 triangles between 8 borders.
+_MEL = """
+with p as (select vec_id, list_concat(list_reverse(embedding[2:17]), embedding, list_reverse(embedding[48:63])) as x from embeddings),
+w as (select vec_id, f, j, x[f * 16 + j + 1]::double * (0.5 - 0.5 * cos(2 * pi() * j / 32)) as v from p, range(5) a(f), range(32) b(j)),
+d as (select vec_id, f, k, power(sum(v * cos(2 * pi() * j * k / 32)), 2) + power(sum(v * sin(2 * pi() * j * k / 32)), 2) as e from w, range(17) c(k) group by all),
+b as (select m, 700 * (power(10, (2595 * log10(1 + 8000 / 700.0::double)) * m / 7 / 2595) - 1) as hz from range(8) r(m)),
+t as (select lo.m as m, k, greatest(0, least((k * 500 - lo.hz) / (mid.hz - lo.hz), (hi.hz - k * 500) / (hi.hz - mid.hz))) as h from b lo join b mid on mid.m = lo.m + 1 join b hi on hi.m = lo.m + 2, range(17) c(k))
+select vec_id, m * 5 + f as i, round(10 * log10(greatest(sum(e * h), 1e-10)), 6) as x from d join t using (k) group by vec_id, m, f"""
+
+
+@query(_MEL)
 def mel_db(spark, sf):
     from ratelake.operators.signal import mel_db_flat
 
-    return t(spark, sf, "embeddings").select("vec_id", mel_db_flat(F.flatten(F.array_repeat(F.col("embedding"), 16))).alias("mel"))
+    mel = t(spark, sf, "embeddings").select("vec_id", F.posexplode(mel_db_flat(n_fft=32, hop=16, n_mels=6)("embedding")).alias("i", "x"))
+    return mel.select("vec_id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 
 @query()
@@ -468,3 +489,66 @@ def model_forward(spark, sf):
 
     clips = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("features"))
     return heads.score_clips(clips, heads.make_weights(16, 8), 16)
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then len(embedding) end as n_feats, doc_id % 3 <> 0 as lacks, 1 as n_wave from documents d left join embeddings e on e.vec_id = d.doc_id and d.doc_id % 3 = 0 where doc_id < (select count(*) from embeddings)")
+def cached_or_not(spark, sf):
+    """Which features an item has, and the placeholder of its waveform, which nothing decodes."""
+    feats = t(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("n_feats"))
+    rows = t(spark, sf, "documents").select("doc_id").where(F.col("doc_id") < t(spark, sf, "embeddings").count())
+    return rows.join(feats, "doc_id", "left").select("doc_id", "n_feats", F.col("n_feats").isNull().alias("lacks"), F.size(F.array(F.lit(0.0))).alias("n_wave"))
+
+
+_WANTED = ("click", "purchase", "absent")
+
+
+@query(f"select path, source from ({_CLIPS}) where source in {_WANTED}")
+def source_gate(spark, sf):
+    """Sources that are both asked for and there."""
+    clips = _clips(spark, sf).select("path", "source")
+    there = [r[0] for r in clips.select("source").distinct().collect()]  # a handful of sources
+    parts = manifest.chosen({s: clips.where(F.col("source") == s) for s in sorted(there)}, _WANTED)
+    empty = clips.limit(0)
+    for part in parts.values():
+        empty = empty.unionByName(part)
+    return empty
+
+
+@query("select count(*) as n, count(distinct event_type) as n_types from events")
+def nonempty_required(spark, sf):
+    rows = sampling.required(t(spark, sf, "events"), "events")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("n_types"))
+
+
+@query("select doc_id, p_partkey from (select doc_id, row_number() over (order by doc_id) as k from labels) join (select p_partkey, row_number() over (order by p_partkey) as k from part) using (k)")
+def position_zip(spark, sf):
+    return sampling.zipped(t(spark, sf, "labels").select("doc_id"), t(spark, sf, "part").select("p_partkey"), "doc_id", "p_partkey")
+
+
+@query(f"select run, max(epoch) + 1 as next_epoch, arg_max(best, epoch) as best_dev from (select *, greatest(-1.0::double, coalesce(max(dev) over (partition by run order by epoch), -1.0::double)) as best from ({_HISTORY})) where epoch % 5 = 0 group by run")
+def resume_point(spark, sf):
+    """Where each run goes on after its last periodic checkpoint."""
+    return runs.resume_point(runs.with_progress(_history(spark, sf)).where("epoch % 5 = 0"))
+
+
+@query("select 's' || doc_id::varchar as sample_id, '/dev/acr/s' || doc_id::varchar || '.flac' as path from labels")
+def dev_rated(spark, sf):
+    return manifest.dev_acr(t(spark, sf, "labels").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("sample_id")), "/dev/acr")
+
+
+@query("select 's' || doc_id::varchar as sample_id, '/dev/ccr/s' || doc_id::varchar || '_a.flac' as path_a, '/dev/ccr/s' || doc_id::varchar || '_b.flac' as path_b from labels")
+def dev_compared(spark, sf):
+    return manifest.dev_ccr(t(spark, sf, "labels").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("sample_id")), "/dev/ccr")
+
+
+@query("select count(*) = 0 as equal from (select distinct r_name from region where r_name not in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))")
+def literal_set(spark, sf):
+    same = sampling.is_set(t(spark, sf, "region"), "r_name", ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+    return spark.range(1).select(F.lit(same).alias("equal"))
+
+
+@query(f"select path, round(avg(acr), 6) as acr from ({_CLIPS}) group by path")
+def batched_predictions(spark, sf):
+    """Predictions of all batches stay rows; collecting them is a projection."""
+    batched = sampling.with_batches(_clips(spark, sf).select("path", "acr"), "path", 16)
+    return batched.groupBy("path").agg(r6(F.avg("acr")).alias("acr"))

@@ -5,7 +5,9 @@ Order matters: cap before split before normalisation, whose statistics come from
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,13 @@ def parse_nisqa(spark: SparkSession, folder: str, listing: DataFrame, pattern: s
     return existence.existing(made, listing, "path"), counts
 
 
+def chosen(parts: dict[str, DataFrame], wanted: Iterable[str], folders: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The parts that are asked for and there; a source with a folder in ``folders`` is there if that folder is."""
+    asked = set(wanted)
+    there = lambda s: s not in (folders or {}) or Path(folders[s]).is_dir()
+    return {s: p for s, p in parts.items() if s in asked and there(s)}
+
+
 def build(parts: dict[str, DataFrame], cap: int | None = None, per_source_z: bool = False, respect_split: bool = False) -> DataFrame:
     """One manifest of several sources; requested sources that are absent are simply not in ``parts``."""
     ordered = [parts[s] for s in SOURCE_ORDER if s in parts] + [p for s, p in parts.items() if s not in SOURCE_ORDER]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,10 +31,10 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def zip_predictions(df: DataFrame, path: str, member: str = "predictions.csv") -> str:
     """One zip with one CSV member of a fixed name; for submissions, which are small, so the driver writes it."""
-    with tempfile.NamedTemporaryFile("w", suffix=".csv", delete=False) as f:
-        f.write("sample_id,pred_score\n")
-        for row in df.select("sample_id", "pred_score").toLocalIterator():
-            f.write(f"{row[0]},{row[1]}\n")
+    with tempfile.NamedTemporaryFile("w", suffix=".csv", newline="", delete=False) as f:
+        rows = csv.writer(f, lineterminator="\n")
+        rows.writerow(["sample_id", "pred_score"])
+        rows.writerows(df.select("sample_id", "pred_score").toLocalIterator())
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.write(f.name, member)
     Path(f.name).unlink()

@@ -149,16 +149,343 @@ def test_arrays(spark):
     assert r.p == [0.5, -1.0, 0.25] and list(r.l) == [1, -2, 0.5, 0, 0] and list(r.s) == [1, -2] and r.d == 0
 
 
-def test_forward(spark):
-    w = heads.make_weights(12, 8, mel=4)
+def mel_by_hand(spec, w):
+    """The mel branch by plain loops."""
+    x = spec[None]
+    for i in range(3):
+        out = np.zeros((len(w[f"conv{i}_b"]), *x.shape[1:]))
+        for o in range(len(out)):
+            for r in range(x.shape[1]):
+                for c in range(x.shape[2]):
+                    v = w[f"conv{i}_b"][o]
+                    for k in range(len(x)):
+                        for dr in (-1, 0, 1):
+                            for dc in (-1, 0, 1):
+                                if 0 <= r + dr < x.shape[1] and 0 <= c + dc < x.shape[2]:
+                                    v += w[f"conv{i}_w"][o, k, dr + 1, dc + 1] * x[k, r + dr, c + dc]
+                    v = (v - w[f"conv{i}_mean"][o]) / math.sqrt(w[f"conv{i}_var"][o] + 1e-5) * w[f"conv{i}_gain"][o] + w[f"conv{i}_bias"][o]
+                    out[o, r, c] = max(0.0, v)
+        x = out
+        if i:
+            x = np.array([[[ch[2 * r : 2 * r + 2, 2 * c : 2 * c + 2].max() for c in range(ch.shape[1] // 2)] for r in range(ch.shape[0] // 2)] for ch in x])
+    return w["mel_w"] @ x.mean(axis=(1, 2)) + w["mel_b"]
+
+
+def test_forward():
+    w = heads.make_weights(6, 4, mel=3, seed=2)
     rng = np.random.default_rng(1)
-    a, c = heads.forward(rng.normal(size=(20, 12)), w, rng.normal(size=(16, 40)))
-    assert np.isfinite([a, c]).all()
-    x = heads.adapter(rng.normal(size=(5, 12)), w)
-    assert np.allclose(x.mean(1), 0, atol=1e-9) and x.shape == (5, 8)
+    feats, spec = rng.normal(size=(5, 6)), rng.normal(size=(9, 12))
+    mel = heads.mel_vector(spec, w)
+    assert np.allclose(mel, mel_by_hand(spec, w))
+    frames = []
+    for f in feats:
+        y = w["adapter_w"] @ f + w["adapter_b"]
+        y = (y - y.mean()) / math.sqrt(((y - y.mean()) ** 2).mean() + 1e-5) * w["norm_gain"] + w["norm_bias"]
+        frames.append(np.concatenate([y, mel]))
+
+    def walk(order, d):
+        h, c, out = np.zeros(4), np.zeros(4), {}
+        sig = lambda v: 1 / (1 + np.exp(-v))
+        for t in order:
+            z = w[f"{d}_x"] @ frames[t] + w[f"{d}_h"] @ h + w[f"{d}_b"]
+            c = sig(z[4:8]) * c + sig(z[:4]) * np.tanh(z[8:12])
+            h = sig(z[12:]) * np.tanh(c)
+            out[t] = h
+        return out
+
+    ahead, back = walk(range(5), "forward"), walk(range(4, -1, -1), "backward")
+    states = np.array([np.concatenate([ahead[t], back[t]]) for t in range(5)])
+    share = np.exp(states @ w["pool_w"])
+    pooled = (share / share.sum()) @ states
+    exp = (pooled @ w["acr_w"] + w["acr_b"][0], pooled @ w["ccr_w"] + w["ccr_b"][0])
+    assert np.allclose(heads.forward(feats, w, spec), exp)
+    assert not np.allclose(heads.forward(feats, heads.make_weights(6, 4, seed=2)), exp)
     assert np.allclose(heads.attention(np.ones((4, 3)), np.zeros(3)), 1)
 
 
+def flac(channels, layout, depth=16, rate=16000, kinds=("fixed",)):
+    """A plain FLAC writer: blocks of 64 samples, subframes of the given kinds in turn."""
+    text = []
+    put = lambda v, n: text.append(format(v & ((1 << n) - 1), f"0{n}b") if n else "")
+    n = len(channels[0])
+    for number, start in enumerate(range(0, n, 64)):
+        block = [np.asarray(c[start : start + 64], np.int64) for c in channels]
+        put(0x3FFE, 14), put(0, 2), put(6, 4), put(5, 4), put(layout, 4), put({16: 4, 24: 6}[depth], 3), put(0, 1)
+        put(number, 8) if number < 128 else (put(0xC0 | number >> 6, 8), put(0x80 | number & 63, 8))
+        put(len(block[0]) - 1, 8), put(0, 8)
+        if layout == 8:
+            block[1] = block[0] - block[1]
+        elif layout == 9:
+            block[0] = block[0] - block[1]
+        elif layout == 10:
+            block = [(block[0] + block[1]) >> 1, block[0] - block[1]]
+        for k, x in enumerate(block):
+            own = depth + ((k == 1) if layout in (8, 10) else (k == 0) if layout == 9 else 0)
+            kind = kinds[number % len(kinds)]
+            if kind == "constant" and len(set(x.tolist())) > 1:
+                kind = "verbatim"
+            put(0, 1)
+            if kind == "constant":
+                put(0, 6), put(0, 1), put(int(x[0]), own)
+                continue
+            if kind == "verbatim":
+                put(1, 6), put(0, 1)
+                [put(int(v), own) for v in x]
+                continue
+            if kind == "wasted":
+                if (x & 1).any():
+                    put(1, 6), put(0, 1)
+                    [put(int(v), own) for v in x]
+                else:
+                    put(1, 6), put(1, 1), put(1, 1)
+                    [put(int(v) >> 1, own - 1) for v in x]
+                continue
+            order = 2 if kind == "fixed" else 3
+            if kind == "fixed":
+                put(8 + order, 6), put(0, 1)
+                [put(int(v), own) for v in x[:order]]
+                rest = [int(x[t] - 2 * x[t - 1] + x[t - 2]) for t in range(order, len(x))]
+            else:
+                weights, shift = (30, -17, 4), 4
+                put(31 + order, 6), put(0, 1)
+                [put(int(v), own) for v in x[:order]]
+                put(7 - 1, 4), put(shift, 5)
+                [put(v, 7) for v in weights]
+                rest = [int(x[t]) - (sum(v * int(x[t - 1 - i]) for i, v in enumerate(weights)) >> shift) for t in range(order, len(x))]
+            parts = 1 if len(x) % 4 == 0 and len(x) // 2 > order else 0
+            put(0, 2), put(parts, 4)
+            size = len(x) >> parts
+            for p in range(1 << parts):
+                own_rest = rest[max(0, p * size - order) : (p + 1) * size - order]
+                if p == 1 and number % 2:  # an escaped partition
+                    put(15, 4), put(30, 5)
+                    [put(v, 30) for v in own_rest]
+                    continue
+                put(6, 4)
+                for v in own_rest:
+                    z = 2 * v if v >= 0 else -2 * v - 1
+                    text.append("0" * (z >> 6) + "1"), put(z & 63, 6)
+        whole = "".join(text)
+        text[:] = [whole + "0" * (-len(whole) % 8)]
+        put(0, 16)
+    bits = "".join(text)
+    info = (64).to_bytes(2, "big") * 2 + bytes(6) + (rate << 44 | (len(channels) - 1) << 41 | (depth - 1) << 36 | n).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@pytest.mark.parametrize("layout", [0, 1, 8, 9, 10])
+@pytest.mark.parametrize("depth", [16, 24])
+def test_flac(layout, depth):
+    rng = np.random.default_rng(layout)
+    n = 64 * 130 + 17
+    base = (rng.normal(size=n).cumsum() * 20).astype(np.int64)
+    second = base + rng.integers(-9, 9, n)
+    base[64:128] = 5
+    second[64:128] = 7
+    base[192:256] &= ~1
+    channels = [base] if layout == 0 else [base, second]
+    x, rate = signal.decode(flac(channels, layout, depth, kinds=("fixed", "constant", "lpc", "wasted", "verbatim")))
+    assert rate == 16000 and len(x) == n
+    assert np.allclose(x, np.mean(channels, axis=0) / 2 ** (depth - 1), atol=1e-7)
+
+
+def test_wav_kinds():
+    import struct
+
+    x = np.linspace(-0.9, 0.9, 50)
+
+    def riff(form, data, extra=b""):
+        fmt = struct.pack("<HHIIHH", *form) + extra
+        body = b"WAVEfmt " + len(fmt).to_bytes(4, "little") + fmt + b"LIST" + (3).to_bytes(4, "little") + b"abc\0" + b"data" + len(data).to_bytes(4, "little") + data
+        return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+    for width in (4, 8):
+        y, rate = signal.decode(riff((3, 1, 8000, 8000 * width, width, 8 * width), x.astype(f"<f{width}").tobytes()))
+        assert rate == 8000 and np.allclose(y, x, atol=1e-6)
+    stereo = np.stack([x, -x / 2], axis=1)
+    y, _ = signal.decode(riff((0xFFFE, 2, 8000, 32000, 4, 16), (stereo * 32767).astype("<i2").tobytes(), bytes(8) + b"\x01\x00" + bytes(14)))
+    assert np.allclose(y, x / 4, atol=1e-4)
+    three = b"".join(int(v * (2**23 - 1)).to_bytes(3, "little", signed=True) for v in x)
+    assert np.allclose(signal.decode(riff((1, 1, 8000, 24000, 3, 24), three))[0], x, atol=1e-6)
+    for bad in (b"RIFF", b"OggS" + bytes(40), riff((6, 1, 8000, 8000, 1, 8), b"\0" * 4)):
+        with pytest.raises(ValueError):
+            signal.decode(bad)
+
+
+def test_mel():
+    """Filters and a spectrogram by plain sums."""
+    htk = lambda f: 2595 * math.log10(1 + f / 700)
+    slaney = lambda f: 3 * f / 200 if f < 1000 else 15 + 27 * math.log(f / 1000) / math.log(6.4)
+    for flag, scale in ((False, htk), (True, slaney)):
+        filters = signal.mel_filters(400, 80, slaney=flag)
+        grid = np.linspace(0, 8000, 80001)
+        mels = np.array([scale(f) for f in grid])
+        edges = np.interp(np.linspace(0, mels[-1], 82), mels, grid)
+        for m in (0, 7, 40, 79):
+            peak = 2 / (edges[m + 2] - edges[m]) if flag else 1.0
+            exp = [max(0.0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1]))) * peak for f in np.arange(201) * 40.0]
+            assert np.allclose(filters[m], exp, atol=2e-3 * peak)
+    x = np.random.default_rng(0).normal(size=200)
+    padded = np.concatenate([x[16:0:-1], x, x[-2:-18:-1]])
+    got = signal.mel_power(x, n_fft=32, hop=16, n_mels=6)
+    for f in (0, 3, got.shape[1] - 1):
+        own = padded[16 * f : 16 * f + 32] * [0.5 - 0.5 * math.cos(2 * math.pi * j / 32) for j in range(32)]
+        power = [abs(sum(v * np.exp(-2j * math.pi * j * k / 32) for j, v in enumerate(own))) ** 2 for k in range(17)]
+        assert np.allclose(got[:, f], signal.mel_filters(32, 6) @ power)
+    log = signal.log_mel(np.sin(np.arange(16000) / 5))
+    assert log.max() - log.min() <= 2 + 1e-6 and log.dtype == np.float32
+
+
+def test_items(spark, tmp_path):
+    """Stored features or computed ones, and no file opened where none is needed."""
+    from ratelake.plans import inference
+
+    gone = spark.createDataFrame([("/nonexistent/clip.wav", 3.0, float("nan"), None)], "path string, acr double, ccr double, source string")
+    store = inference.cache_keys(gone.select("path")).select("cache_key", F.array(F.lit(0.5), F.lit(0.25)).alias("features"))
+    r = one(inference.items(gone, store, load_waveform=False))
+    assert list(r.encoder_feats) == [0.5, 0.25] and list(r.waveform) == [0.0] and r.ccr is None and r.source == "unknown" and "input_features" not in r
+    (tmp_path / "a.wav").write_bytes(wav(np.sin(np.arange(8000) / 9) * 0.5, 16000))
+    files = readers.binary(spark, str(tmp_path))
+    rows = spark.createDataFrame([(f"{tmp_path}/a.wav", 4.0, 0.3)], "path string, acr double, ccr double")
+    r = one(inference.items(rows, files=files))
+    assert len(r.waveform) == 160000 and max(r.waveform) == 1 and len(r.input_features) == 80 * 3000 and r.acr == 4 and "encoder_feats" not in r
+    with pytest.raises(Exception, match="no file"):
+        inference.items(gone.drop("source"), files=files).collect()
+
+
+def test_predict(spark, tmp_path):
+    """Every clip is scored once; ranges, order and archives of two checkpoints."""
+    import zipfile
+
+    from ratelake.plans import inference
+
+    rng = np.random.default_rng(4)
+    feats = {f"/c{i}.wav": rng.normal(size=12) * 3 for i in range(8)}
+    store = inference.cache_keys(spark.createDataFrame([(p, v.tolist()) for p, v in feats.items()], "path string, features array<double>")).select("cache_key", "features")
+    rated = spark.createDataFrame([(f"r{i}", f"/c{i % 6}.wav") for i in range(9)], "sample_id string, path string")
+    compared = spark.createDataFrame([(f"p{i}", f"/c{i}.wav", f"/c{7 - i}.wav") for i in range(8)], "sample_id string, path_a string, path_b string")
+    w = heads.make_weights(4, 4)
+    raw = {p: heads.forward(np.float32(v).astype(float).reshape(-1, 4), w)[0] for p, v in feats.items()}
+    got = {r.sample_id: r.pred_score for r in inference.predict(rated, compared, store, w, 4).collect()}
+    exp = {f"r{i}": min(5.0, max(1.0, raw[f"/c{i % 6}.wav"])) for i in range(9)} | {f"p{i}": min(3.0, max(-3.0, raw[f"/c{i}.wav"] - raw[f"/c{7 - i}.wav"])) for i in range(8)}
+    assert got == pytest.approx(exp)
+    scaled = {r.sample_id: r.pred_score for r in inference.predict(rated, compared, store, w, 4, mode="rescale").collect()}
+    for kind, lo, hi in (("r", 1, 5), ("p", -3, 3)):
+        own = {k: v for k, v in scaled.items() if k[0] == kind}
+        assert min(own.values()) == pytest.approx(lo) and max(own.values()) == pytest.approx(hi)
+        values = {f"r{i}": raw[f"/c{i % 6}.wav"] for i in range(9)} | {f"p{i}": raw[f"/c{i}.wav"] - raw[f"/c{7 - i}.wav"] for i in range(8)}
+        order = sorted(own, key=values.get)
+        assert all(own[a] <= own[b] + 1e-9 for a, b in zip(order, order[1:]))
+    zips = inference.submissions(rated, compared, store, {"one": w, "two": heads.make_weights(4, 4, seed=1)}, 4, str(tmp_path))
+    assert all(len(zipfile.ZipFile(z).read("predictions.csv").decode().splitlines()) == 18 for z in zips.values()) and len(zips) == 2
+    with pytest.raises(AssertionError, match="rated clips is empty"):
+        inference.predict(rated.limit(0), compared, store, w, 4)
+
+
+def test_small_operators(spark):
+    a, b = spark.range(5).withColumnRenamed("id", "x"), spark.createDataFrame([("c",), ("a",), ("b",)], "y string")
+    assert {(r.x, r.y) for r in sampling.zipped(a, b, "x", "y").collect()} == {(0, "a"), (1, "b"), (2, "c")}
+    assert sampling.is_set(b, "y", "abc") and not sampling.is_set(b, "y", "ab") and not sampling.is_set(b, "y", "abcd")
+    with pytest.raises(AssertionError, match="dev is empty"):
+        sampling.required(a.limit(0), "dev")
+    parts = {"x": a, "y": b}
+    assert set(manifest.chosen(parts, ["x", "z"])) == {"x"} and not manifest.chosen(parts, ["x"], {"x": "/nonexistent"})
+    hyp = spark.createDataFrame([([[1.0], [2.0]], [9.0], [1.0, None, float("nan")], [2.0, 3.0])], "f array<array<double>>, v array<double>, m array<double>, x array<double>")
+    r = one(hyp.select(arrays.with_repeated(F.col("f"), F.col("v")).alias("f"), arrays.without_missing(F.col("m")).alias("m"), arrays.affine(F.col("x"), [[1, 1], [0, 2]], [0.5, 0]).alias("y")))
+    assert r.f == [[1, 9], [2, 9]] and r.m == [1] and r.y == [5.5, 6]
+    group = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    assert sorted((r.g or "", r.v) for r in scoring.rescaled(group, "v", 1.0, 5.0, ["g"]).collect()) == [("", 1.0), ("", 5.0), ("a", 1.0)]
+
+
+def test_corpora(tmp_path):
+    """Fetching with an offline ``get``: what is there stays, broken archives go."""
+    import zipfile
+
+    from ratelake.sources import corpora
+
+    calls = []
+
+    def get(url, dest):
+        calls.append(url)
+        if url == "fail":
+            raise OSError(url)
+        if url == "none":
+            return
+        if url == "broken":
+            open(dest, "w").write("no zip")
+            return
+        with zipfile.ZipFile(dest, "w") as z:
+            z.writestr(f"{url}/inner.csv", "x")
+
+    record = '{"files": [{"key": "a.zip", "links": {"self": "one"}}, {"key": "b.zip", "links": {"self": "two"}}]}'
+    files = corpora.record_files(record)
+    out = tmp_path / "r"
+    assert corpora.fetch_files(files, str(out), get) == ["a.zip", "b.zip"] and (out / "one" / "inner.csv").exists()
+    (out / "one" / "inner.csv").unlink()
+    assert corpora.fetch_files(files, str(out), get) == [] and (out / "one" / "inner.csv").exists() and len(calls) == 2
+    state = corpora.fetch_tolerant([("a.zip", "one"), ("b.zip", "broken"), ("c.csv", "fail"), ("d.csv", "none")], str(tmp_path / "t"), get)
+    assert state == {"a.zip": "fetched", "b.zip": "broken", "c.csv": "failed", "d.csv": "failed"} and not (tmp_path / "t" / "b.zip").exists()
+    assert corpora.fetch_tolerant([("a.zip", "one")], str(tmp_path / "t"), get) == {"a.zip": "there"}
+    assert corpora.fetch_once("three", str(tmp_path / "o"), "inner*.csv", get=get) and not (tmp_path / "o" / "corpus.zip").exists()
+    assert not corpora.fetch_once("three", str(tmp_path / "o"), "inner*.csv", get=get)
+    clone = lambda source, dest: (tmp_path / "l").mkdir()
+    assert corpora.clone_and_fetch("labels", "wav", str(tmp_path / "l"), "wav", get, clone) == (True, True)
+    assert corpora.clone_and_fetch("labels", "wav", str(tmp_path / "l"), "wav", get, clone) == (False, False)
+    assert corpora.first_copy(["x*/none", "o/**/*.csv"], str(tmp_path), str(tmp_path / "copy")).endswith("inner.csv") and corpora.first_copy(["none"], str(tmp_path), str(tmp_path)) is None
+    link = corpora.linked(str(tmp_path / "o"), str(tmp_path / "deep" / "link"))
+    assert corpora.linked("/elsewhere", link) == link and (tmp_path / "deep" / "link" / "three").is_dir()
+    (tmp_path / "c.yaml").write_text("model:\n  proj_dim: 256\ntraining:\n  lr: 1.0e-4\n  use: false\n")
+    pytest.importorskip("yaml")
+    assert corpora.config(str(tmp_path / "c.yaml")) == {"model": {"proj_dim": 256}, "training": {"lr": 1e-4, "use": False}}
+
+
+def test_fetch_and_extract(tmp_path):
+    import tarfile
+
+    (tmp_path / "a.txt").write_text("x" * 20000)
+    url = (tmp_path / "a.txt").as_uri()
+    assert readers.fetch(url, str(tmp_path / "b.txt")) and (tmp_path / "b.txt").read_text() == "x" * 20000
+    (tmp_path / "b.txt").write_text("kept")
+    readers.fetch(url, str(tmp_path / "b.txt"))
+    assert (tmp_path / "b.txt").read_text() == "kept"
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "a.txt", "in/a.txt")
+    assert readers.extract(str(tmp_path / "t.tar.gz"), str(tmp_path / "x")) == ["in/a.txt"] and (tmp_path / "x" / "in" / "a.txt").exists()
+    assert readers.extract(str(tmp_path / "a.txt"), str(tmp_path / "x")) == []
+
+
+def test_dev_set(spark, tmp_path):
+    """Embedded audio kept once, and the manifests of rated and compared clips."""
+    rows = spark.createDataFrame([("s1", (b"one", "f")), ("s2", (b"two", "g"))], "sample_id string, audio struct<bytes: binary, path: string>")
+    rows.write.parquet(str(tmp_path / "set"))
+    audio = readers.embedded_audio(spark, str(tmp_path / "set"))
+    for _ in range(2):
+        writers.save_clips(audio, str(tmp_path / "clips"))
+    assert sorted((r.sample_id, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "clips")).collect()) == [("s1", b"one"), ("s2", b"two")]
+    assert one(manifest.dev_acr(audio.where("sample_id = 's1'"), "/d")) == ("s1", "/d/s1.flac")
+    assert one(manifest.dev_ccr(audio.where("sample_id = 's2'"), "/d")) == ("s2", "/d/s2_a.flac", "/d/s2_b.flac")
+    writers.write_predictions(spark.createDataFrame([("a,b", 1.5)], "sample_id string, pred_score double"), str(tmp_path / "p"))
+    assert one(spark.read.csv(str(tmp_path / "p"), header=True)) == ("a,b", "1.5")
+    done = spark.createDataFrame([("r", 5, 0.4), ("r", 10, 0.6)], "run string, epoch long, best double")
+    assert one(runs.resume_point(done)) == ("r", 11, 0.6)
+
+
+def test_window_means(spark, tmp_path):
+    """A stream's means by window, late rows dropped with their state."""
+    from ratelake.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    text = {"1": "2024-01-01T01:00:00,a,1.0\n2024-01-01T02:00:00,a,3.0\n", "2": "2024-01-09T00:00:00,a,5.0\n", "3": "2024-01-01T03:00:00,a,99.0\n"}
+    out = []
+    for k in "123":
+        (tmp_path / "in" / f"{k}.csv").write_text("ts,key,value\n" + text[k])
+        stream = ingest.ratings(spark, str(tmp_path / "in"), "ts timestamp, key string, value double")
+        means = ingest.mean_by_window(stream, "ts", "key", "value")
+        query = means.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, _: out.extend((str(r.start.date()), r.mean, r.n) for r in df.collect())).start()
+        query.awaitTermination()
+    assert out == [("2024-01-01", 2.0, 2)]
+
+
 def test_parsers(spark, tmp_path):
     wavs = tmp_path / "wav"
     wavs.mkdir()
@@ -190,8 +517,8 @@ def test_sinks(spark, tmp_path):
     assert one(readers.manifest(spark, str(tmp_path / "m"))).source == "unknown"
     import zipfile
 
-    z = writers.zip_predictions(spark.createDataFrame([("a", 1.5)], "sample_id string, pred_score double"), str(tmp_path / "p.zip"))
-    assert zipfile.ZipFile(z).read("predictions.csv").decode() == "sample_id,pred_score\na,1.5\n"
+    z = writers.zip_predictions(spark.createDataFrame([('a,"b"', 1.5)], "sample_id string, pred_score double"), str(tmp_path / "p.zip"))
+    assert zipfile.ZipFile(z).read("predictions.csv").decode() == 'sample_id,pred_score\n"a,""b""",1.5\n'
     assert readers.valid_zip(z) and readers.extract(z, str(tmp_path / "x")) == ["predictions.csv"]
 
 
