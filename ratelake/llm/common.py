@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelake.operators.shared import cut, ensure_checkpoint_dir
+
+__all__ = ["WORD", "cut", "delete", "ensure_checkpoint_dir", "hash_sample", "n_words", "shared_path", "small_enough", "table"]
+
 #: Words are maximal runs of characters other than these (space, and tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,27 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ratelake-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared folder; later reads come from there and survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     uuid = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
