@@ -11,8 +11,8 @@ Examples of a conversation of n turns hold about n / 2 times its text; that is t
 together by a grouped collection, one conversation a row, and written by a streaming map whose batches are bounded.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first; null roles and texts are empty; repeated rows are
-turns of their own; rows with a null ``conv_id`` belong to no conversation and are left out; an empty table gives no
-example; other columns are ignored.
+turns of their own; rows with a null ``conv_id`` are one conversation of that id; an empty table gives no example; other
+columns are ignored. A conversation is a row by definition: its last example holds all of it.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def examples_of(turns: list[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
 def examples(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, text, loss_start, loss_end): all training examples."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.where("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -124,7 +124,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(examples(rows.unionByName(extra)))
 
 
-_PARTS = "select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null union all values (-7::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
+_PARTS = "select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
 ORACLE_SQL = f"""
 with t as ({_PARTS}),
 o as (
