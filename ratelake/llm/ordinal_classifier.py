@@ -6,11 +6,12 @@ of a text and their last three bytes (which catch glued-on symbols and casing),
 that go with a grade beyond chance in the sample get a weight.
 
 The model is fitted on a bounded sample: the MAX_RATED rated documents with the least hash of their id, found through
-a broadcast of their ids; about 2 KB of features each reach the driver. Every document is then scored in one pass. It
+a broadcast of their ids; about 2 KB of features each reach the driver, MAX_BYTES in all (documents beyond are left out
+of the sample, in order of another hash). Every document is then scored in one pass. It
 is kept if the tail probability P(grade >= 2) reaches THRESHOLD.
 
 Defined cases: a null or empty text has no feature and gets the model's prior; rows with a null ``doc_id`` are scored
-but not learnt from; of several ratings of a document the lowest counts; without ratings every document is of the
+but not learnt from; of several ratings of a document the lowest counts, of several texts one;  without ratings every document is of the
 middle grade's prior and is kept; an empty table gives an empty result; other columns are ignored or carried along.
 """
 
@@ -21,14 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
-from ratelake.llm.common import hash_sample, table
+from ratelake.llm.common import cut, hash_sample, table
 
 DIMENSIONS = 1 << 16
 MAX_RATED = 16_000
+#: Bytes of features that the driver collects at most.
+MAX_BYTES = 1 << 27
+SEED = 5
 GRADES = 3
 THRESHOLD = 0.5
 #: A cell gets a weight if its documents' mean grade lies so many standard errors from the overall mean.
@@ -77,7 +81,7 @@ def grade_of() -> Column:
 def rated_sample(labels: DataFrame, max_rated: int = MAX_RATED) -> DataFrame:
     """(doc_id, grade) of at most ``max_rated`` rated documents, by hash of the id."""
     rated = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade_of()).alias("grade"))
-    return hash_sample(rated, "doc_id", max_rated, seed=5)
+    return hash_sample(rated, "doc_id", max_rated, seed=SEED)
 
 
 def rated_features(docs: DataFrame, rated: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +95,12 @@ def rated_features(docs: DataFrame, rated: DataFrame) -> tuple[np.ndarray, np.nd
                 yield pa.record_batch([batch.column(1).slice(c.lo, c.hi - c.lo), batch.column(2).slice(c.lo, c.hi - c.lo), pa.array(blobs, pa.binary())], names=["doc_id", "grade", "cells"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id").select("text", "doc_id", "grade")
-    rows = own.mapInArrow(run, "doc_id long, grade int, cells binary").orderBy("doc_id", "cells").collect()  # the sample's rows only
+    # One row for each rated id, whatever number of rows share it, and in order of the sample's hash what fits the budget.
+    found = own.mapInArrow(run, "doc_id long, grade int, cells binary").groupBy("doc_id", "grade").agg(F.min("cells").alias("cells"))
+    found = cut(found.withColumn("place", F.xxhash64(F.lit(SEED), "doc_id")))
+    upto = F.sum(F.octet_length("cells")).over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # the sample's rows only
+    fitting = found.select("doc_id", "place", F.octet_length("cells").alias("size"), upto.alias("upto")).where(F.col("upto") <= MAX_BYTES)
+    rows = found.join(F.broadcast(fitting.select("doc_id")), "doc_id").orderBy("doc_id").select("grade", "cells").collect()
     cells = [np.frombuffer(r["cells"], "<u4").astype(np.int64) for r in rows]
     at = np.concatenate([[0], np.cumsum([len(x) for x in cells])]).astype(np.int64)
     return np.array([r["grade"] for r in rows], np.int64), np.concatenate([*cells, np.zeros(0, np.int64)]), at
