@@ -20,14 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelake.llm.common import cut, n_words, small_enough, table
+from ratelake.operators.shared import with_position
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Words in a block; smaller only where all words make fewer than MIN_BLOCKS blocks.
 BLOCK = 32
 MIN_BLOCKS = 4096
-SHARD_WORDS = 1 << 21
-SHARD_DOCS = 1 << 15
+SHARD_WORDS = 1 << 20
+SHARD_DOCS = 1 << 12
+#: Shards of a source whose quotas are set together.
+GROUP = 1 << 12
 #: Sources (about 100 bytes each) that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1 << 16
 SEED = 20_24
@@ -50,25 +53,10 @@ def order_hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
-def ranked(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Adds ``rank`` from 0 in the given order, by a range sort and the partitions' counts."""
-    low = (1 << 33) - 1
-    placed = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
-    parts = placed.groupBy(F.shiftright("__at", 33).alias("p")).count().orderBy("p").collect()  # one row per partition
-    before, offsets = 0, []
-    for p, n in parts:
-        offsets.append((p, before))
-        before += n
-    offset = F.lit(0).cast("long")
-    for p, n in offsets[1:]:
-        offset = F.when(F.shiftright("__at", 33) == p, F.lit(n).cast("long")).otherwise(offset)
-    return placed.withColumn("rank", F.col("__at").bitwiseAND(F.lit(low)) + offset).drop("__at")
-
-
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """Adds ``target`` to (__null, __source, source_size): shares by weight, filled up to ``repeats`` times the size."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = ranked(sources, *_SOURCE).withColumn("__weight", weight).withColumn("__cap", F.col("source_size") * float(repeats))
+    sources = with_position(sources, *_SOURCE, name="rank").withColumn("__weight", weight).withColumn("__cap", F.col("source_size") * float(repeats))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, capped = None, -1
     while True:  # each round caps at least one more source, in practice many at once
@@ -116,17 +104,29 @@ def quotas(sources: DataFrame, blocks: int) -> DataFrame:
     return start.join(moved, [*_SOURCE], "left").withColumn("quota", F.col("__q") + change).drop("__q", "__moved")
 
 
-def shard_quotas(shards: DataFrame) -> DataFrame:
-    """Adds ``shard_quota`` to the shards of each source: its quota by highest shard size / (2k + 1)."""
-    by_source = Window.partitionBy(*_SOURCE)
-    share = F.when(F.col("source_size") > 0, F.col("quota") * F.col("shard_size") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = shards.withColumn("__q", F.floor(share + 0.5)).withColumn("__extra", F.col("quota") - F.sum("__q").over(by_source))
-    seat = start.select(*_SOURCE, "shard", "shard_size", "__extra", F.explode(_seats("__q", F.col("__extra"), 2)).alias("__seat"))
+def _shared_out(parts: DataFrame, whole: list[str], part: str, size: str, total: str, quota: str, out: str) -> DataFrame:
+    """Adds ``out``: of each whole's ``quota`` the seats of its parts, by highest size / (2k + 1)."""
+    by_whole = Window.partitionBy(*whole)
+    share = F.when(F.col(total) > 0, F.col(quota) * F.col(size) / F.col(total)).otherwise(F.lit(0.0))
+    start = parts.withColumn("__q", F.floor(share + 0.5)).withColumn("__extra", F.col(quota) - F.sum("__q").over(by_whole))
+    seat = start.select(*whole, part, size, "__extra", F.explode(_seats("__q", F.col("__extra"), 2)).alias("__seat"))
     sign = F.signum(F.col("__extra").cast("double"))
-    place = F.row_number().over(by_source.orderBy((_quotient("shard_size") * -sign), "shard", "__seat"))
+    place = F.row_number().over(by_whole.orderBy((_quotient(size) * -sign), part, "__seat"))
     moved = seat.withColumn("__place", place).where(F.col("__place") <= F.abs("__extra"))
-    moved = moved.groupBy(*_SOURCE, "shard").agg(F.sum(sign.cast("long")).alias("__moved"))
-    return start.join(moved, [*_SOURCE, "shard"], "left").withColumn("shard_quota", F.col("__q") + F.coalesce("__moved", F.lit(0))).drop("__q", "__moved", "__extra")
+    moved = moved.groupBy(*whole, part).agg(F.sum(sign.cast("long")).alias("__moved"))
+    return start.join(moved, [*whole, part], "left").withColumn(out, F.col("__q") + F.coalesce("__moved", F.lit(0))).drop("__q", "__moved", "__extra")
+
+
+def shard_quotas(shards: DataFrame) -> DataFrame:
+    """Adds ``shard_quota``: each source's quota goes to its groups of GROUP shards and theirs to the shards.
+
+    Both by highest size / (2k + 1), so that no task sees more than GROUP shards, or groups, of a source.
+    """
+    grouped = shards.withColumn("__group", F.floor(F.col("shard") / GROUP))
+    groups = grouped.groupBy(*_SOURCE, "__group").agg(F.sum("shard_size").alias("__group_size"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
+    groups = _shared_out(groups, [*_SOURCE], "__group", "__group_size", "source_size", "quota", "__group_quota").select(*_SOURCE, "__group", "__group_size", "__group_quota")
+    whole = [*_SOURCE, "__group"]
+    return _shared_out(grouped.join(groups, whole), whole, "shard", "shard_size", "__group_size", "__group_quota", "shard_quota").drop("__group", "__group_size", "__group_quota")
 
 
 def _overlap(start: Column, end: Column, lo: Column, hi: Column) -> Column:
@@ -168,12 +168,13 @@ def apply_mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     Only the document at either end of a shard's run is taken in part. Equal rows are taken alike.
     """
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    chosen = mix(docs, seed=seed, **options).select(F.col("doc_id").alias("__id"), "__hash", copies.alias("__copies"))
-    chosen = chosen.groupBy("__id", "__hash").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
-    keyed = docs.withColumn("__hash", order_hash(seed)).withColumn("__id", F.col("doc_id").cast("long"))
-    joined = keyed.join(chosen, keyed["__hash"].eqNullSafe(chosen["__hash"]) & keyed["__id"].eqNullSafe(chosen["__id"]))
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[keyed[c] for c in docs.columns])
+    chosen = mix(docs, seed=seed, **options).groupBy("doc_id", "source", "__hash").agg(F.max(copies).alias("copies")).where("copies > 0")
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("__hash").alias("order"), "copies")
+    # The document's own columns stay in one struct, so that none can clash with what is joined.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", order_hash(seed).alias("hash"))
+    same = F.col("hash").eqNullSafe(F.col("order")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
+    joined = keyed.join(chosen, same)
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
