@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.functions import columns as C
-from ratelake.operators import arrays, existence, metrics, normalize, ranking, runs, sampling, scoring
+from ratelake.operators import arrays, existence, heads, metrics, normalize, ranking, runs, sampling, scoring
 from ratelake.plans import manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,9 +420,7 @@ def layer_norm(spark, sf):
 
 @query("select param, value from (values ('encoder.w', 1.0::double), ('head.w', 2.0::double), ('adapter.b', 3.0::double)) v(param, value) where not starts_with(param, 'encoder.')")
 def trainable_state(spark, sf):
-    from ratelake.operators.heads import trainable
-
-    return trainable(spark.createDataFrame([("encoder.w", 1.0), ("head.w", 2.0), ("adapter.b", 3.0)], "param string, value double"))
+    return heads.trainable(spark.createDataFrame([("encoder.w", 1.0), ("head.w", 2.0), ("adapter.b", 3.0)], "param string, value double"))
 
 
 @query("select c_custkey, case c_mktsegment when 'BUILDING' then 384 when 'MACHINERY' then 512 else 1024 end as size from customer")
@@ -483,12 +481,33 @@ def mel_db(spark, sf):
     return mel.select("vec_id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 
-@query()
-def model_forward(spark, sf):
-    from ratelake.operators import heads
+_WEIGHTS = heads.make_weights(16, 8)
+
 
+def _forward_sql(w: heads.Weights, width: int, frames: int, n: int) -> str:
+    """The forward pass over lists, its recurrence written out step by step."""
+    names = ("adapter_w", "adapter_b", "norm_gain", "norm_bias", "pool_w", "acr_w", "ccr_w", *(f"{d}_{k}" for d in ("forward", "backward") for k in "xhb"))
+    given = ", ".join(f"{w[k].tolist()}::double{'[]' * w[k].ndim} as {k}" for k in names)
+    sql = f"""with w as (select {given}),
+    a as (select vec_id, list_transform(range({frames}), lambda f: list_transform(adapter_w, lambda r, i: list_dot_product(r, embedding[f * {width} + 1 : f * {width} + {width}]::double[]) + adapter_b[i])) as y from embeddings, w),
+    x as (select vec_id, list_transform(y, lambda v: list_transform(v, lambda u, i: (u - list_avg(v)) / sqrt(list_var_pop(v) + 1e-5) * norm_gain[i] + norm_bias[i])) as x from a, w)"""
+    for d, order in (("forward", range(1, frames + 1)), ("backward", range(frames, 0, -1))):
+        before = f"(select vec_id, x, list_transform(range({n}), lambda j: 0.0::double) as h, list_transform(range({n}), lambda j: 0.0::double) as c from x)"
+        for t in order:
+            sql += f""",
+    {d}z{t} as (select vec_id, x, c, list_transform({d}_x, lambda r, i: list_dot_product(r, x[{t}]) + list_dot_product({d}_h[i], h) + {d}_b[i]) as z from {before}, w),
+    {d}c{t} as (select vec_id, x, z, list_transform(range(1, {n + 1}), lambda j: c[j] / (1 + exp(-z[{n} + j])) + tanh(z[{2 * n} + j]) / (1 + exp(-z[j]))) as c from {d}z{t}),
+    {d}h{t} as (select vec_id, x, c, list_transform(range(1, {n + 1}), lambda j: tanh(c[j]) / (1 + exp(-z[{3 * n} + j]))) as h from {d}c{t})"""
+            before = f"{d}h{t}"
+    parts = " union all ".join(f"select a.vec_id, list_concat(a.h, b.h) as h from forwardh{t} a join backwardh{t} b using (vec_id)" for t in range(1, frames + 1))
+    heads_ = ", ".join(f"round(sum(e * list_dot_product(h, {k}_w)) / sum(e) + {w[f'{k}_b'][0]}::double, 6) as {k}" for k in ("acr", "ccr"))
+    return f"{sql} select vec_id::varchar as path, {heads_} from (select vec_id, h, exp(list_dot_product(h, pool_w)) as e, acr_w, ccr_w from ({parts}), w) group by vec_id"
+
+
+@query(_forward_sql(_WEIGHTS, 16, 4, 8))
+def model_forward(spark, sf):
     clips = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("features"))
-    return heads.score_clips(clips, heads.make_weights(16, 8), 16)
+    return heads.score_clips(clips, _WEIGHTS, 16).select("path", r6("acr").alias("acr"), r6("ccr").alias("ccr"))
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then len(embedding) end as n_feats, doc_id % 3 <> 0 as lacks, 1 as n_wave from documents d left join embeddings e on e.vec_id = d.doc_id and d.doc_id % 3 = 0 where doc_id < (select count(*) from embeddings)")
