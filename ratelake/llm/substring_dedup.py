@@ -3,11 +3,12 @@
 A window is WINDOW consecutive words. Every window has an anchor: the least hash among the shorter word n-grams inside
 it. Equal windows have equal anchors, so a window occurs at most as often as its anchor, and consecutive windows mostly
 share one, so there are about 13 times fewer anchors than windows. Each task counts its anchors in a sparse count-min
-sketch (two rows of cells); the merged sketch overestimates how often an anchor, and so a window, occurs. Cells counted
-twice or more make two bit maps of a bounded size (MAX_CELLS), which are broadcast. In a second pass only windows
-whose anchor is estimated repeated are grouped exactly, by 64-bit hash: the least doc_id of each (pre-aggregated), and
-a join back (whose hot keys are split). No repeated window is ever lost; a false estimate only costs a grouped row.
-Beyond about MAX_CELLS / 4 anchors the estimates lose their edge and more windows are grouped; the result is the same.
+sketch (two rows of cells); the merged sketch overestimates how often an anchor, and so a window, occurs. Its size follows
+the input: eight cells for each anchor expected. Up to MAX_CELLS, cells counted twice or more make two bit maps which
+are broadcast; a larger sketch stays dealt by cells to the tasks, and anchors are looked up by a shuffle. In a second pass
+only windows whose anchor is estimated repeated are grouped exactly, by 64-bit hash: the least doc_id of each
+(pre-aggregated), and a join back whose hot keys Spark splits. No repeated window is ever lost; a false estimate only
+costs a grouped row.
 
 Two different windows share a 64-bit hash once in about n * n / 4e19 for n grouped windows.
 
@@ -124,12 +125,54 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag.alias("tag"))
 
 
-def repeated_windows(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
-    """(doc_id, tag, places): first words of the windows that also start in a document with a smaller id."""
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = MIN_CELLS
-    while cells < max_cells and cells < 8 * (bytes_ / 6 * 2 / (size - size // 2 + 2)):
-        cells *= 2
+def _runs(docs: DataFrame, size: int, cells: int) -> DataFrame:
+    """(one, two, doc_id, tag, place, n): runs of windows that share an anchor, with its cells in the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+            for c in tk.chunks(batch.column("text")):
+                text, place, _, anchor = windows(c, size)
+                if len(anchor):
+                    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+                    row = text[first] + c.lo
+                    columns = [*_cells(anchor[first], cells), ids[row], tags[row], place[first], np.diff(np.concatenate([first, [len(anchor)]]))]
+                    yield pa.record_batch([pa.array(x) for x in columns], names=["one", "two", "doc_id", "tag", "place", "n"])
+
+    return _keyed(docs).where("doc_id is not null").mapInArrow(run, "one long, two long, doc_id long, tag long, place long, n long")
+
+
+def _shuffled_candidates(docs: DataFrame, size: int, cells: int) -> DataFrame:
+    """What ``_mapped_candidates`` gives, from a sketch whose cells are dealt to tasks, of any number."""
+    runs = _runs(docs, size, cells)
+    for row in ("one", "two"):
+        # Keyed by the complement, so that the counts are dealt anew and Spark can split a hot cell's runs in the join.
+        repeated = runs.groupBy(row).agg(F.count("*").alias("n")).where("n >= 2").select(F.bitwise_not(row).alias("key"))
+        runs = runs.withColumn("key", F.bitwise_not(row)).join(repeated, "key", "left_semi").drop("key")
+    by_doc = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "n")).alias("runs"))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags, own = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy(), batch.column("runs")
+            for c in tk.chunks(batch.column("text")):
+                text, place, hashes, _ = windows(c, size)
+                first, chosen = np.searchsorted(text, np.arange(c.hi - c.lo + 1)), np.zeros(len(text) + 1, np.int64)
+                for i in range(c.hi - c.lo):
+                    parts = own[c.lo + i].values
+                    at = parts.field("place").to_numpy() + first[i]
+                    np.add.at(chosen, at, 1)
+                    np.add.at(chosen, at + parts.field("n").to_numpy(), -1)
+                hit = np.flatnonzero(np.cumsum(chosen)[:-1] > 0)
+                row = text[hit] + c.lo
+                yield pa.record_batch([pa.array(hashes[hit].view(np.int64)), pa.array(ids[row]), pa.array(place[hit] << 32 | tags[row])], names=["hash", "doc_id", "at"])
+
+    # Rows of equal id and text have one list of runs, which serves them all.
+    joined = _keyed(docs).join(by_doc.withColumn("runs", F.array_distinct("runs")), ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs")
+    return joined.mapInArrow(candidates, "hash long, doc_id long, at long")
+
+
+def _mapped_candidates(docs: DataFrame, size: int, cells: int) -> DataFrame:
+    """(hash, doc_id, at): windows whose anchor is estimated repeated, by the broadcast bit maps of the sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, cells))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +186,19 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_C
                 row = text[hit] + c.lo
                 yield pa.record_batch([pa.array(hashes[hit].view(np.int64)), pa.array(ids[row]), pa.array(place[hit] << 32 | tags[row])], names=["hash", "doc_id", "at"])
 
-    found = _keyed(docs).where("doc_id is not null").mapInArrow(candidates, "hash long, doc_id long, at long")
-    least = found.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    later = found.join(least, "hash").where("doc_id > least")
+    return _keyed(docs).where("doc_id is not null").mapInArrow(candidates, "hash long, doc_id long, at long")
+
+
+def repeated_windows(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
+    """(doc_id, tag, places): first words of the windows that also start in a document with a smaller id."""
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = MIN_CELLS
+    while cells < 8 * (bytes_ / 6 * 2 / (size - size // 2 + 2)):
+        cells *= 2
+    found = (_mapped_candidates if cells <= max_cells else _shuffled_candidates)(docs, size, cells)
+    least = found.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    # Keyed by the complement, so that ``least`` is dealt anew and Spark can split a hot window's rows in the join.
+    later = found.withColumn("key", F.bitwise_not("hash")).join(least.select(F.bitwise_not("hash").alias("key"), "least"), "key").where("doc_id > least")
     tag, place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32).cast("int")
     return later.select("doc_id", tag.alias("tag"), place.alias("place")).groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
 
