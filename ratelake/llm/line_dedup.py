@@ -233,13 +233,14 @@ def members(docs: DataFrame, reaches: Sequence[tuple[int, int, int]] = REACHES)
 
 def without_copies(docs: DataFrame, reaches: Sequence[tuple[int, int, int]] = REACHES) -> DataFrame:
     """The documents, with all their columns, whose texts have no line that ``members`` does not keep."""
-    gone = members(docs, reaches).where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("line_no", "line_id")).alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
+    gone = members(docs, reaches).where("not kept").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("line_no", "line_id")).alias("gone"))
+    # The document's own columns stay in one struct, so that none can clash with what is joined.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Of rows that share an id, each loses the lines that it has itself.
     name = lambda x: F.lower(F.concat(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), x)), 16, "0")))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", F.struct(i.cast("long").alias("line_no"), name(x).alias("line_id"))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", F.struct(i.cast("long").alias("line_no"), name(x).alias("line_id"))))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return keyed.join(gone, F.col("doc_id") == F.col("id"), "left").select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
