@@ -91,6 +91,24 @@ def test_op1(spark, docs, labels, nothing):
     assert all(r.llr == 0 for r in quality_rules.score(docs, labels.where("false")).collect())
 
 
+def test_op1_repeated_ids(spark, labels):
+    """An id that many rows share sets the threshold once."""
+    rng = random.Random(21)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(80))
+    rows = [(i % 40, text()) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = quality_rules.trusted_sample(labels)
+    ratios = quality_rules.log_ratios(df, sample)
+    held = {r.doc_id for r in sample.where("not trusted").collect()}
+    lowest = {}
+    for i, t in rows:
+        if i in held:
+            llr = float(quality_rules.judge(pa.array([t]), ratios, 0.0)["llr"][0])
+            lowest[i] = min(llr, lowest.get(i, llr))
+    scores = np.array(sorted(lowest.values()))
+    assert quality_rules.threshold_of(df, sample, ratios) == pytest.approx(2 * np.quantile(scores, quality_rules.LOW) - np.median(scores))
+
+
 def test_op1_ratio(docs, labels):
     """Log ratios from plain counting of hashed n-grams."""
     sample = quality_rules.trusted_sample(labels)
@@ -135,6 +153,41 @@ def test_op2(spark, docs, nothing):
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def test_op2_clashing_names(spark, docs):
+    """Columns of any name come back as they were."""
+    odd = docs.selectExpr("*", "doc_id * 3 as __hash", "'x' as __id", "doc_id as copy", "doc_id as copies", "1 as row", "2 as shard")
+    mixed = mixing.apply_mix(odd)
+    assert mixed.columns == odd.columns
+    assert all(r["__hash"] == 3 * r.doc_id and r.copies == r.copy == r.doc_id and (r.row, r.shard) == (1, 2) for r in mixed.where("doc_id is not null").collect())
+
+
+def test_op2_many_partitions(spark):
+    """Places in an order from thousands of sorted partitions."""
+    from ratelake.operators.shared import with_position
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = with_position(spark.range(5000).select((F.col("id") * 7 % 5000).alias("k")), "k", name="rank")
+        assert got.where("k <> rank").count() == 0 and got.count() == 5000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_op2_shards(spark, monkeypatch):
+    """Every shard's quota against seat by seat, group by group."""
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 1000) for _ in range(11)]
+    df = spark.createDataFrame([(False, "a", i, n, sum(sizes), 77) for i, n in enumerate(sizes)], "__null boolean, __source string, shard long, shard_size long, source_size long, quota long")
+    got = [r.shard_quota for r in mixing.shard_quotas(df).orderBy("shard").collect()]
+    groups = [sizes[i : i + 4] for i in range(0, 11, 4)]
+    exp = [q for g, n in zip(groups, sainte_lague([sum(g) for g in groups], 77)) for q in sainte_lague(g, n)]
+    assert got == exp
+
+
 def sainte_lague(targets, n):
     seats = [0] * len(targets)
     for _ in range(n):
@@ -159,17 +212,17 @@ def test_op3(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat_format.examples(df)
     got = {r.conv_id: r for r in chat_format.digest(made).collect()}
-    for c in range(30):
+    for c in [*range(30), None]:
         turns = sorted((k, r or "", t or "") for i, k, r, t in rows if i == c)
         loss = "".join(t for _, r, t in turns if r == "assistant")
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        own = made.where(F.col("conv_id") == c).orderBy("example").collect()
+        own = made.where(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("example").collect()
         assert sum(len(r.text) for r in own) == got[c].formatted_chars
         for r in own:
             back = chat_format.read_turns(r.text)
             assert back == [(a, b) for _, a, b in turns][: len(back)]
-    assert None not in got and chat_format.examples(df.where("false")).count() == 0
+    assert len(got) == 31 and chat_format.examples(df.where("false")).count() == 0
 
 
 def test_op4(spark):
@@ -184,9 +237,60 @@ def test_op4(spark):
 
 
 def test_op4_segments():
-    s = url_filter.Segmenter({"cheap": -3.0, "pills": -3.0, "che": -4.0, "ap": -4.0})
+    """Viterbi against all ways to split."""
+    s = url_filter.Segmenter({"cheap": -3.0, "pills": -3.0, "che": -4.0, "ap": -4.0, "p": -5.0, "ill": -2.5, "s": -4.0})
     assert s.split("cheappills") == ["cheap", "pills"]
     assert "".join(s.split("zzzcheapq" * 9)) == "zzzcheapq" * 9
+    cost = lambda words: sum(s.words.get(w, s.floor - np.log(10) * len(w)) for w in words)
+
+    def ways(x):
+        yield [x]
+        for k in range(1, len(x)):
+            for rest in ways(x[k:]):
+                yield [x[:k], *rest]
+
+    for name in ("cheappills", "pillsche", "apillsx", "qcheapz", "s"):
+        assert cost(s.split(name)) == pytest.approx(max(map(cost, ways(name))))
+
+
+def test_op4_words():
+    html = "<html><script>var casino = '</p>';</script><!-- poker --><p>F\u00fcr <b>Caf\u00e9</b> x <style>bingo{}</style>\u5b57 WORDS</p>"
+    assert url_filter.visible_words(html) == ["fur", "cafe", "words"]
+
+
+def test_op4_most_frequent(spark):
+    rng = random.Random(2)
+    counts = {f"w{i}": rng.randrange(1, 9) for i in range(60)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    for size in (0, 1, 7, 30, 60, 99):
+        exp = sorted(counts, key=lambda w: (-counts[w], w))[:size]
+        assert url_filter.most_frequent(df, size) == {w: counts[w] for w in exp}
+
+
+def test_op4_model(spark):
+    """Odds against plain counting; names that were not learnt from, written in one; no word decides alone."""
+    hosts = [f"{p}{a}{b}.example.{t}" for p in ("", "www.") for a in ("tion", "thth", "ther") for b in ("her", "on", "ing") for t in ("com", "org")]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/{i}", "<p>tion thth ther her on ing the and for with her own words</p>") for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    names = url_filter.training_names()
+    train = [x for x in names if sum(map(ord, "".join(x[1]))) % 5]
+    held = sorted({x for x in names if not sum(map(ord, "".join(x[1]))) % 5 and len(x[1]) > 1})
+    words = url_filter.vocabulary(pages, train)
+    urls = url_filter.with_parts(pages)
+    odds = url_filter.train(urls, words, train)
+    s = url_filter.Segmenter(words)
+    score = lambda host: odds[url_filter.buckets(*s.tokens(host, "/en/7"))].sum()
+    verdicts = [(unwanted, score(f"www.{''.join(w)}.example.com") >= url_filter.THRESHOLD) for unwanted, w in held]
+    blocked = [u for u, v in verdicts if v]
+    assert sum(blocked) / len(blocked) > 0.95 and sum(blocked) / sum(u for u, _ in verdicts) > 0.9
+    assert score("casinomuseumlibrary.example.com") < url_filter.THRESHOLD <= score("casinojackpot.example.com")
+    first = url_filter.corpus_counts(urls, words, np.zeros(url_filter.BUCKETS))
+    exp = np.zeros(url_filter.BUCKETS)
+    for i, h in enumerate(hosts):
+        for b in url_filter.buckets(*s.tokens(h, f"/en/{i}")):
+            exp[b] += 1
+    assert (first[0] == exp).all() and not first[1].any()
+    u, w = np.array([3.0, 0, 1, 0]), np.array([1.0, 2, 0, 0])
+    assert np.allclose(url_filter.log_odds(u, w), [np.log((3.5 / 5.5) / (1.5 / 4.5)), np.log((0.5 / 5.5) / (2.5 / 4.5)), np.log((1.5 / 5.5) / (0.5 / 4.5)), 0])
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
@@ -205,6 +309,41 @@ def test_op5(spark, nothing):
     assert ordinal_classifier.train(docs, labels.where("false")).weights.sum() == 0
 
 
+def test_op5_bounded(spark, monkeypatch):
+    """Repeated ids are learnt from once, and features beyond the budget are left out."""
+    rows = [(i % 20, " ".join(WORDS[: 3 + i % 20])) for i in range(600)] + [(30, " ".join(f"w{k}" for k in range(3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rated = spark.createDataFrame([(i, i % 3) for i in range(31)], "doc_id long, grade int")
+    grades, cells, at = ordinal_classifier.rated_features(df, rated)
+    assert len(grades) == 21 and len(at) == 22 and at[-1] == len(cells)
+    monkeypatch.setattr(ordinal_classifier, "MAX_BYTES", 2000)
+    grades, cells, at = ordinal_classifier.rated_features(df, rated)
+    assert 0 < len(grades) < 21 and 4 * len(cells) <= 2000
+
+
+def test_op5_gradient():
+    """The fitted model has a higher likelihood than its neighbours on data whose cells are all telling."""
+    rng = np.random.default_rng(3)
+    grades = np.repeat([0, 1, 2], 1000)
+    rows = [np.array([int(g) if rng.random() < 0.7 else int(rng.integers(3))]) for g in grades]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = ordinal_classifier.fit(grades, np.concatenate(rows), at)
+
+    def likelihood(weights, cuts):
+        tail = ordinal_classifier.OrdinalModel(weights, cuts).tail(np.array([weights[r].sum() for r in rows]))
+        above = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], axis=1)
+        p = above[np.arange(len(rows)), grades] - above[np.arange(len(rows)), grades + 1]
+        return np.log(np.maximum(p, 1e-12)).mean() - ordinal_classifier._DECAY / 2 * (weights**2).sum()
+
+    best = likelihood(model.weights, model.cuts)
+    assert model.weights[0] < model.weights[1] < model.weights[2] and best > likelihood(np.zeros_like(model.weights), model.cuts)
+    for k in (0, 1, 2):
+        for step in (-0.5, 0.5):
+            other = model.weights.copy()
+            other[k] += step
+            assert likelihood(other, model.cuts) < best
+
+
 def test_op5_tails():
     model = ordinal_classifier.OrdinalModel(np.zeros(4), np.array([-1.0, 1.0]))
     tail = model.tail(np.array([0.0, 5.0]))
@@ -235,12 +374,19 @@ def components(nodes, near):
 
 
 def test_op6(spark, docs, nothing):
-    got = {r.doc_id: r for r in simhash.op6_groups(docs).collect() if r.doc_id is not None}
-    fp = {i: fingerprint(t) for i, t in make_docs() if i is not None}
+    got = {r.doc_id: r for r in simhash.op6_groups(docs).collect()}
+    fp = {i: fingerprint(t) for i, t in make_docs()}
     assert {i: int(r.fingerprint, 16) for i, r in got.items()} == fp
+    null, ids = max(fp, key=lambda i: i or 0) + 1, {i for i in fp if i is not None}
+    fp = {null if i is None else i: x for i, x in fp.items()}
     near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
-    assert {i: r.component_id for i, r in got.items()} == components(list(fp), near)
+    exp = components(list(fp), near)
+    assert {i: r.component_id for i, r in got.items() if i in ids} == {i: exp[i] for i in ids}
     assert simhash.op6_groups(nothing).count() == 0
+    # Fingerprints 0x00 and 0xff are only linked by 0x0f, which has no id.
+    fps = spark.createDataFrame([(2, [0xFF]), (1, [0]), (None, [0x0F]), (None, [0x7FFFFFFF00000000])], "doc_id long, fp array<long>")
+    bridged = simhash.near_groups(fps, (21, 21, 22), (1, 1, 0), 4).collect()
+    assert {(r.fp[0], r.component_id) for r in bridged} == {(0, 1), (0x0F, 1), (0xFF, 1), (0x7FFFFFFF00000000, None)}
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns and not {60, 61, 62, 63, 64} & {r.doc_id for r in kept.select("doc_id").collect()}
 
@@ -298,6 +444,23 @@ def test_near_copies_kept_below(spark, hot):
     assert got == components([i for i, _ in rows], near)
 
 
+def test_odd_sketches():
+    """Pairs of similarity 0.8 and more always pass, such of 0.6 hardly ever."""
+    rng = np.random.default_rng(9)
+    passed = {0.8: 0, 0.6: 0}
+    for n in (1, 5, 40, 200, 3000):
+        for share in passed:
+            for _ in range(200):
+                both = max(1, round(n * 2 * share / (1 + share)))
+                own = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+                x, y = own[:n], np.concatenate([own[:both], own[n : 2 * n - both]])
+                j = both / (2 * n - both)
+                good = simhash.OddSketches(np.array([n, n]), [simhash.odd_sketch(z).tobytes() for z in (x, y)]).near(np.array([0]), np.array([1]))[0]
+                assert good or j < 0.8
+                passed[share] += good and n >= 200
+    assert passed[0.6] < 20
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(None, 3)]
@@ -336,6 +499,18 @@ def test_op7_pieces():
         assert got == exp
 
 
+def test_op7_other_tokenizer(spark):
+    """A tokenizer that cuts and normalises otherwise gives its own ids, and they come back whole."""
+    from tokenizers import Tokenizer
+
+    path = token_output.tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(i, x or "") for i, x in make_docs() if i is not None and i < 30]
+    folder = token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), shared_path(spark, "tokens"), path)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_output.read_tokens(spark, folder).collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in rows}
+
+
 def test_op7_codes():
     x = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(x) + 1):
@@ -453,19 +628,113 @@ def test_op9(spark, docs, nothing):
         exp.append((i, len(w), len(gone), kept))
     assert rows_of(substring_dedup.without_repeats(docs)) == sorted(exp, key=repr) and any(x[2] for x in exp)
     assert substring_dedup.without_repeats(nothing).count() == 0
+    windows = lambda most: sorted((r.doc_id, r.tag, *sorted(set(r.places))) for r in substring_dedup.repeated_windows(docs, max_cells=most).collect())
+    assert windows(1 << 28) == windows(1)  # a sketch dealt to tasks
 
 
 def test_op10(spark, docs, nothing):
     item = "If Maria buys 12 apples for 3 dollars each and gives Maria some of them to her brother how much money does she spend today"
-    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "a completely different question about rivers that nobody ever asked in this corpus")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, "a completely different question about rivers that nobody ever asked in this corpus"), (5, "What is the capital of France?"), (6, "12 3.5 1,000 17 99 2 3 4 5 6 7 8")], "item_id long, text string")
     swap = lambda **k: re.sub("|".join(k), lambda m: k[m[0]], item)
-    cases = {1: item, 2: swap(Maria="Johanna"), 3: item.replace("12", "99").replace("dollars", "euros"), 4: item.upper(), 5: "noise before. " + item + " and after", 6: item.replace("Maria", "Johanna", 1), 7: "nothing of the kind", 8: None, 9: ""}
-    df = spark.createDataFrame([(i, t, 0) for i, t in cases.items()] + [(None, item, 0), (1, item, 0)], "doc_id long, text string, item_id int")
-    got = {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()}
-    assert {(1, 1), (2, 1), (3, 1), (5, 1)} <= got and {i for _, i in got} == {1} and not {7, 8, 9, None} & {d for d, _ in got}
+    cases = {
+        1: item,
+        2: swap(Maria="Johanna"),
+        3: item.replace("12", "99").replace("dollars", "euros"),
+        4: item.upper(),
+        5: "noise before. " + item + " and after",
+        6: item.replace("Maria", "Johanna", 1),  # one name stands for two
+        7: "nothing of the kind",
+        8: None,
+        9: "",
+        10: swap(Maria="Mary Ann").replace("12", "two hundred"),  # slots of several words
+        11: item.replace("12", "\u0661\u0662"),  # other digits
+        12: item.replace("12", "3"),  # two numbers became one
+        13: "so, what is the capital of France? she said",
+        14: "so, what is the capital of Spain? she said",
+        15: "and 12 3.5 1,000 17 99 2 3 4 5 6 7 8 more",
+        16: "and 13 3.5 1,001 18 90 2 4 4 5 7 7 8 more",
+        17: "too short",
+        18: "this is too short to tell",
+        19: "x " * 40 + ". " + item[: len(item) * 2 // 3] + " and something else altogether",
+        20: item.replace("12", "99") + " . " + "y " * 5 + item.replace("12", "77"),  # two copies, each of its own numbers
+    }
+    df = spark.createDataFrame([(i, t, 0) for i, t in cases.items()] + [(None, item, 0), (None, "clean text", 0), (1, item, 0)], "doc_id long, text string, item_id int").withColumns({"raw": F.lit(1), "doc": F.lit(2)})
+    got = {(r.doc_id, r.item_id): r for r in decontamination.matches(df, bench).collect()}
+    exp = {(i, 1) for i in (1, 2, 3, 4, 5, 10, 11, 19, 20, None)} | {(13, 5), (15, 6), (17, 3)}
+    assert set(got) == exp
+    assert got[1, 1].coverage == got[5, 1].coverage == got[2, 1].coverage == got[10, 1].coverage == 1 and got[1, 1].n_slots == 4
     kept = decontamination.decontaminate(df, bench)
-    assert kept.columns == df.columns and {7, 8, 9, None} <= {r.doc_id for r in kept.collect()}
+    assert kept.columns == df.columns
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert left == {(i, t) for i, t in cases.items() if i not in {d for d, _ in exp}} | {(None, "clean text")}
     assert decontamination.matches(nothing, bench).count() == 0 and decontamination.matches(docs, bench).count() == 0
+    assert decontamination.matches(df, bench.where("false")).count() == 0
+
+
+def shape(raw):
+    """Templates by plain rules, for texts of one sentence without units and number words."""
+    return ["#number" if t[0].isdigit() else "#name" if t[0].isupper() and k else t.lower() for k, t in enumerate(raw)]
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_op10_brute_force(spark, monkeypatch, most):
+    """Documents with exchanged values, consistently or not, cut pieces and inserted words, against plain search."""
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST", most)
+    rng = random.Random(17)
+    names, plain = ["Anna", "Bela", "Carl", "Dora", "Emil"], [w for w in WORDS if w not in ("seven",)]
+    token = lambda: rng.choice(names) if (x := rng.random()) < 0.12 else str(rng.randrange(2, 9)) if x < 0.25 else rng.choice(plain)
+    items = [[rng.choice(plain), *(token() for _ in range(rng.randint(14, 30)))] for _ in range(12)]
+    items = [[t if k == 0 or not (t[0].isupper() and x[k - 1][0].isupper()) else "the" for k, t in enumerate(x)] for x in items]
+    texts = []
+    for k in range(150):
+        x = list(rng.choice(items))
+        kind = k % 5
+        if kind in (1, 2):  # one value for another, throughout or at one place
+            slots = [t for t in x if t[0].isdigit() or t[0].isupper()]
+            for old in dict.fromkeys(slots[:2]):
+                new = rng.choice(names) if old[0].isupper() else str(rng.randrange(20, 90))
+                places = [i for i, t in enumerate(x) if t == old and i]
+                for i in places if kind == 1 else places[:1]:
+                    x[i] = new
+        if kind == 3:
+            i = rng.randrange(len(x))
+            x = x[i:] if rng.random() < 0.5 else x[: i + 1]
+        if kind == 4:
+            x.insert(rng.randrange(1, len(x)), "inserted")
+        lead = [rng.choice(plain) for _ in range(rng.randint(1, 4))]
+        x = lead + x + [rng.choice(plain) for _ in range(rng.randint(0, 3))]
+        texts.append([t if i == 0 or not (t[0].isupper() and x[i - 1][0].isupper()) else "of" for i, t in enumerate(x)])
+
+    def one_to_one(pairs):
+        return len({(k, a) for k, a, _ in pairs}) == len({(k, b) for k, _, b in pairs}) == len(pairs)
+
+    def found(doc, item):
+        a, b, w = shape(doc), shape(item), decontamination.WINDOW
+        good = [i for i in range(len(b) - w + 1) if sum(x[0].islower() for x in item[i : i + w]) >= decontamination.MIN_LITERALS]
+        hard = not good
+        if hard:
+            a, b, good = [t.lower() for t in doc], [t.lower() for t in item], list(range(len(b) - w + 1))
+        parts = []
+        for shift in range(-len(b), len(a)):
+            same = [0 <= shift + j < len(a) and a[shift + j] == b[j] for j in range(len(b))]
+            whole = [i for i in range(len(b) - w + 1) if all(same[i : i + w])]
+            if not set(whole) & set(good):
+                continue
+            pairs = {(b[j], item[j].lower(), doc[shift + j].lower()) for j in range(whole[0], whole[-1] + w) if same[j] and b[j][0] == "#"}
+            if one_to_one(pairs):
+                parts.append((set(whole), pairs))
+        if not parts:
+            return False
+        n = max(len(x) for x, _ in parts)
+        if one_to_one(set().union(*(p for _, p in parts))):
+            n = max(n, len(set().union(*(x for x, _ in parts))))
+        return n / (len(b) - w + 1) >= decontamination.MIN_COVERAGE
+
+    exp = {(i, j) for i, d in enumerate(texts) for j, x in enumerate(items) if found(d, x)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()}
+    assert got == exp and 40 < len(exp) < 150
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
