@@ -11,13 +11,15 @@ two groups not yet joined within the batch at hand, so a group of thousands of c
 as it has members, not their square. Keys with more than HOT_ROWS entries are split into blocks, every pair of blocks
 being met once.
 
-The pipeline's stage takes candidates from bands of minima of the shingle hashes and a sketch of their bits, and joins
-two texts only if their shingle sets have a Jaccard similarity of SIMILAR or more.
+The pipeline's stage takes candidates from bands of minima of the shingle hashes and two sketches, and joins two texts
+only if their shingle sets have a Jaccard similarity of SIMILAR or more. The sketches only leave out pairs that lie five
+deviations and more below that. Crowds of texts under one band are compared by their sets in the task that holds them, and
+only links that make a forest leave it; the comparisons by sketches still grow with the square of a crowd.
 
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle of the whole sequence; equal fingerprints are one node, whatever number of rows has them; a row with a
-null ``doc_id`` belongs to the component of its fingerprint but never names one (its component_id is null if all its
-peers are null too); an empty table gives an empty result; other columns are ignored or carried along.
+null ``doc_id`` links others by its fingerprint but never names a component (whose id is null if all its rows' are); of
+rows that share an id and differ, a near copy of any joins the id; an empty table gives an empty result; other columns are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -31,16 +33,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelake.llm.common import cut, table
+from ratelake.llm import textkernel as tk
+from ratelake.llm.common import cut, small_enough, table
 from ratelake.llm.components import connected_components
 from ratelake.llm.textkernel import mix
 
-#: Table entries under one key that one task compares with each other.
-HOT_ROWS = 1 << 16
+#: Table entries under one key that one task compares with each other and with their probes (some 22 times as many).
+HOT_ROWS = 1 << 13
+#: Hot keys (16 bytes each) that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 1 << 18
 #: Fingerprint pairs compared at once.
 BLOCK_PAIRS = 1 << 21
-#: Rows that a task holds before it compares them; more only if one key has more.
+#: Rows and bytes that a task holds before it compares them; more only if one key has more.
 BATCH_ROWS = 1 << 17
+BATCH_BYTES = 1 << 25
 
 #: Jaccard similarity of shingle sets from which two texts are near copies.
 SIMILAR = 0.8
@@ -48,6 +54,12 @@ SIMILAR = 0.8
 MINIMA, BAND_ROWS = 128, 5
 #: Sketch bits in which a candidate pair may differ: 12.8 on average at 0.8, with a deviation of 3.4, so 5 of them above.
 SKETCH_BITS = 30
+#: Bits of an odd sketch at most; enough to tell 0.8 from 0.7 up to some 20,000 words.
+ODD_BITS = 4096
+#: Rows under one band that one task compares with each other.
+CROWD_ROWS = 1 << 10
+#: Rows signed at once, and ids of texts (8 bytes each) that are broadcast to fetch them.
+_SIGNED_ROWS, MAX_NODES = 2048, 1 << 20
 #: Places apart under a band at which the first round looks for pairs.
 REACH = 4
 _RANDOM = np.random.default_rng(5)
@@ -174,12 +186,12 @@ def hamming_links(nodes: DataFrame, segments: Sequence[int], radii: Sequence[int
     probe = nodes.select("node", "fp", F.explode(F.concat(*keys) if keys else F.array().cast("array<bigint>")).alias("key"), F.lit(False).alias("entry"))
     rows = entry.unionByName(probe)
     hot = entry.groupBy("key").count().where(F.col("count") > hot_rows)
-    # At most len(segments) * nodes / hot_rows keys can be hot, so they fit a broadcast.
     hot_keys = cut(hot.select("key", F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks")))
     if hot_keys.isEmpty():
         rows = rows.withColumn("cell", F.lit(0))
     else:  # a row goes to the cells (own block, any block), each pair of blocks being one cell
-        rows = rows.join(F.broadcast(hot_keys), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        side = F.broadcast(hot_keys) if small_enough(hot_keys, MAX_BROADCAST) else hot_keys
+        rows = rows.join(side, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.least(own, k) * F.col("blocks") + F.greatest(own, k)).cast("int"))
         rows = rows.withColumn("cell", F.explode(cells))
@@ -214,13 +226,13 @@ def hamming_links(nodes: DataFrame, segments: Sequence[int], radii: Sequence[int
 
 
 def near_groups(fps: DataFrame, segments: Sequence[int], radii: Sequence[int], most: int) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint: the smallest doc_id that it can reach by links."""
-    # Fingerprints stand for their smallest doc_id; one that only has rows with null ids links nothing.
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    named = cut(classes.where("node is not null"))
-    groups = connected_components(hamming_links(named, segments, radii, most))
-    joined = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return joined.unionByName(classes.where("node is null").select("fp", F.col("node").alias("component_id")))
+    """(fp, component_id) for each distinct fingerprint of one word: the smallest doc_id that it can reach by links."""
+    # Fingerprints are nodes themselves, so those that only rows without an id have link others too.
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.get("fp", F.lit(0))))
+    groups = connected_components(hamming_links(classes, segments, radii, most))
+    joined = classes.join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return joined.join(least, "component").select("fp", "component_id")
 
 
 def op6_groups(docs: DataFrame) -> DataFrame:
@@ -231,34 +243,107 @@ def op6_groups(docs: DataFrame) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, id, n, sketch, bands) of each document's set of shingles: a 128-bit hash, its size, a 128-bit sketch, its bands.
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of how many of the distinct ``hashes`` fall to each bit; 2 to 4 bits for each hash, 64 to ODD_BITS.
 
-    A sketch has a bit of each of 128 minima under different hashes; two differ in (1 - J) / 2 of the bits on average. A
-    band hashes BAND_ROWS of the minima. A text without a word has no band.
+    Two sets' sketches differ in few bits more or less than the sets differ by elements, up to about ODD_BITS.
     """
-    n_bands = MINIMA // BAND_ROWS
+    bits = min(ODD_BITS, max(64, 1 << int(2 * len(hashes) - 1).bit_length())) if len(hashes) else 64
+    odd = np.bincount((tk.mix(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.num_rows
-            ids, n, least = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64), np.full((rows, MINIMA), 2**64 - 1, np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                hashes = np.unique(shingle_hashes(text.as_py(), width))
-                ids[i], n[i] = np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.uint64), len(hashes)
-                for at in range(0, len(hashes), 1024):
-                    np.minimum(least[i], (hashes[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0), out=least[i])
-            sketch = np.packbits((least >> np.uint64(31)).astype(np.uint8) & 1, axis=1).view(np.int64)
-            bands = mix((mix(least[:, : n_bands * BAND_ROWS]).reshape(rows, n_bands, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=2) + np.arange(n_bands, dtype=np.uint64))
-            ends = np.concatenate([[0], np.cumsum(np.where(n > 0, n_bands, 0))]).astype(np.int32)
-            pair = pa.array(np.arange(0, 2 * rows + 1, 2, dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(pair, pa.array(x.view(np.int64).ravel())) for x in (ids, sketch)]
-            yield pa.record_batch([batch.column(0), lists[0], pa.array(n), lists[1], pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[n > 0].view(np.int64).ravel()))], names=["doc_id", "id", "n", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id array<long>, n long, sketch array<long>, bands array<long>")
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """The sketches (rows of bytes) that ``size`` bytes would have given."""
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
-def _candidates(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def may_be_similar(elements: np.ndarray, size: int, differ: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets may have similarity SIMILAR: their elements together, bytes of a sketch, bits that differ.
+
+    Six deviations of margin, so that a pair at SIMILAR is left out once in a thousand million times.
+    """
+    bits, apart = 8.0 * size, elements * (1 - SIMILAR) / (1 + SIMILAR)
+    one, two = (1 - 2 / bits) ** apart, (1 - 4 / bits) ** apart
+    spread = np.maximum(bits + bits * (bits - 1) * two - bits * bits * one * one, 0.0) / 4
+    return differ <= bits / 2 * (1 - one) + 6 * np.sqrt(spread) + 2
+
+
+class OddSketches:
+    """Odd sketches of rows, compared in pairs at the size of the smaller one."""
+
+    def __init__(self, n: np.ndarray, sketches: Sequence[bytes]) -> None:
+        self.n, self.bytes = n, np.array([len(x) for x in sketches], np.int64)
+        self.sketches, self.at = sketches, {}
+
+    def _matrix(self, size: int) -> np.ndarray:
+        """All sketches of ``size`` bytes and more, at ``size``."""
+        if size not in self.at:
+            out = np.zeros((len(self.n), size), np.uint8)
+            for own in np.unique(self.bytes[self.bytes >= size]).tolist():
+                rows = np.flatnonzero(self.bytes == own)
+                whole = np.frombuffer(b"".join([self.sketches[r] for r in rows.tolist()]), np.uint8).reshape(-1, own)
+                out[rows] = folded(whole, size)
+            self.at[size] = out.view(np.uint64)
+        return self.at[size]
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows may be similar."""
+        out, sizes = np.zeros(len(i), bool), np.minimum(self.bytes[i], self.bytes[j])
+        for size in np.unique(sizes).tolist():
+            rows, matrix = np.flatnonzero(sizes == size), self._matrix(size)
+            for lo in range(0, len(rows), max(1, (1 << 22) // size)):
+                own = rows[lo : lo + max(1, (1 << 22) // size)]
+                differ = np.bitwise_count(matrix[i[own]] ^ matrix[j[own]]).sum(axis=1, dtype=np.int64)
+                out[own] = may_be_similar((self.n[i[own]] + self.n[j[own]]).astype(np.float64), size, differ)
+        return out
+
+
+def signatures(docs: DataFrame, width: int = 5, with_sets: bool = False) -> DataFrame:
+    """(doc_id, id, n, sketch, odd, bands) of each document's set of shingles.
+
+    ``id`` is a 128-bit hash of the set and ``n`` its size. ``sketch`` has a bit of each of 128 minima under different
+    hashes; two differ in (1 - J) / 2 of the bits on average. ``odd`` is the finer ``odd_sketch``. A band hashes
+    BAND_ROWS of the minima. A text without a word has no band. With ``sets`` come the shingles' hashes themselves, cut to
+    32 bits and sorted.
+    """
+    n_bands = MINIMA // BAND_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.release()
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SIGNED_ROWS):
+                yield signed(whole.slice(start, _SIGNED_ROWS))
+
+    def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.num_rows
+        ids, n, least, odd = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64), np.full((rows, MINIMA), 2**64 - 1, np.uint64), []
+        sets: list[bytes] = []
+        for i, text in enumerate(batch.column(1)):
+            hashes = np.unique(shingle_hashes(text.as_py(), width))
+            ids[i], n[i] = np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.uint64), len(hashes)
+            odd.append(odd_sketch(hashes).tobytes())
+            if with_sets:
+                sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
+            for at in range(0, len(hashes), 1024):
+                np.minimum(least[i], (hashes[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0), out=least[i])
+        sketch = np.packbits((least >> np.uint64(31)).astype(np.uint8) & 1, axis=1).view(np.int64)
+        bands = mix((mix(least[:, : n_bands * BAND_ROWS]).reshape(rows, n_bands, BAND_ROWS) * _FACTORS[:BAND_ROWS]).sum(axis=2) + np.arange(n_bands, dtype=np.uint64))
+        ends = np.concatenate([[0], np.cumsum(np.where(n > 0, n_bands, 0))]).astype(np.int32)
+        pair = pa.array(np.arange(0, 2 * rows + 1, 2, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(pair, pa.array(x.view(np.int64).ravel())) for x in (ids, sketch)]
+        columns = [batch.column(0), lists[0], pa.array(n), lists[1], pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[n > 0].view(np.int64).ravel()))]
+        more = [pa.array(sets, pa.binary())] if with_sets else []
+        return pa.record_batch([*columns, *more], names=["doc_id", "id", "n", "sketch", "odd", "bands", *(["sets"] if with_sets else [])])
+
+    kinds = "doc_id long, id array<long>, n long, sketch array<long>, odd binary, bands array<long>" + (", sets binary" if with_sets else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
+
+
+def _candidates(key: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one key, lo to hi - 1 places apart, of different components, that may have similarity SIMILAR.
 
     Rows come sorted by key. With lo = 1 each row of a larger key is also paired with the one nearest to the key's
@@ -271,8 +356,7 @@ def _candidates(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarr
         differ = comp[i] != comp[j]
         i, j = i[differ], j[differ]
         fit = (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= SKETCH_BITS)
-        a, b = node[i[fit]], node[j[fit]]
-        return np.minimum(a, b), np.maximum(a, b)
+        return i[fit], j[fit]
 
     if lo == 1:
         for at, many in zip(first[size > hi].tolist(), size[size > hi].tolist()):
@@ -290,23 +374,60 @@ def _candidates(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarr
         yield test(left, left + d)
 
 
+def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], comp: np.ndarray, odd: OddSketches, sets: Sequence[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Of the pairs whose sets are similar, those that join two groups not yet joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    left, right = [], []
+    for i, j in pairs:
+        close = odd.near(i, j) if len(i) else np.zeros(0, bool)
+        for a, b in zip(i[close].tolist(), j[close].tolist()):
+            x, y = root(int(comp[a])), root(int(comp[b]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= SIMILAR * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                parent[max(x, y)] = min(x, y)
+                left.append(a)
+                right.append(b)
+    return left, right
+
+
 def _met(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(a, b): the candidates of ``rows`` (key, cell, node, component, n, sketch) that are lo to hi - 1 places apart in their cells."""
+    """(a, b): the candidates of ``rows`` (key, cell, node, component, n, sketch) that are lo to hi - 1 places apart in their cells.
+
+    If the rows have their ``sets`` (and ``odd``), similarity is computed, and a task gives only links that join two groups not yet
+    joined within the batch at hand: a crowd of similar texts gives a forest, one of texts that are not similar nothing.
+    """
+    exact = "sets" in rows.columns
+    names = ["key", "cell", "node", "component", "n", "sketch", *(["odd", "sets"] if exact else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.release()
+
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, cell, node, comp, n = (t[k].to_numpy().astype(np.int64) for k in ("key", "cell", "node", "component", "n"))
             sketch = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 2)
-            for a, b in _candidates(mix(key.view(np.uint64) + mix(cell.view(np.uint64))), node, comp, n, sketch, lo, hi):
-                if len(a):
-                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            pairs = _candidates(mix(key.view(np.uint64) + mix(cell.view(np.uint64))), comp, n, sketch, lo, hi)
+            if exact:
+                odd = OddSketches(n, [x.as_buffer().to_pybytes() for x in t["odd"]])
+                pairs = iter([_forest(pairs, comp, odd, [np.frombuffer(x.as_buffer(), "<u4") for x in t["sets"]])])
+            for i, j in pairs:
+                if len(i):
+                    a, b = node[i], node[j]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count < BATCH_ROWS:
+            if count < BATCH_ROWS and sum(x.nbytes for x in held) < BATCH_BYTES:
                 continue
             t = pa.Table.from_batches(held)
             key, cell = t["key"].to_numpy(), t["cell"].to_numpy()
@@ -319,7 +440,29 @@ def _met(rows: DataFrame, lo: int, hi: int) -> DataFrame:
             yield from compare(pa.Table.from_batches(held))
 
     dealt = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "node")
-    return dealt.select("key", "cell", "node", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select(*names).mapInArrow(run, "a long, b long").distinct()
+
+
+def likely(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may be similar by the odd sketches in ``named`` (node, n, odd)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([batch.column(k).to_numpy() for k in ("n", "n2")])
+            odd = OddSketches(n, batch.column("odd").to_pylist() + batch.column("odd2").to_pylist())
+            at = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(odd.near(at, at + batch.num_rows)))
+
+    left = named.select(F.col("node").alias("a"), "n", "odd")
+    right = named.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("odd").alias("odd2"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "n2", "odd", "odd2").mapInArrow(run, "a long, b long")
+
+
+def _picked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The different ``texts`` (node, text) of some nodes; named by few enough ids, they are picked where they are read."""
+    nodes = cut(nodes)
+    side = F.broadcast(nodes) if small_enough(nodes, MAX_NODES) else nodes
+    return texts.join(side, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("__tag")).agg(F.first("text").alias("text"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
@@ -343,11 +486,12 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
                 good[i] = both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    own = cut(_picked(texts, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
+    full = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
     return full.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = CROWD_ROWS) -> DataFrame:
     """(doc_id, component_id) of rows with an id: the smallest id reached by pairs of similarity SIMILAR or more.
 
     Equal sets of shingles are one node; nodes that share a band are candidates. Each round verifies by their texts the
@@ -355,10 +499,10 @@ def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = HOT_ROWS) ->
     candidate pair has been tested or is of one component.
     """
     signed = cut(signatures(docs.where("doc_id is not null"), width))
-    named = cut(signed.groupBy("id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    named = cut(signed.groupBy("id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.first("bands").alias("bands")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     rows = named.select(F.explode("bands").alias("key"), "node", F.col("node").alias("component"), "n", "sketch")
-    links = named.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links = groups = crowd = None
     lo, reach = 1, REACH
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -369,15 +513,26 @@ def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = HOT_ROWS) ->
         # A row of a hot key goes to the cells (own block, any block), each pair of blocks being one cell.
         own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (F.least(own, k) * F.col("blocks") + F.greatest(own, k)).cast("int"))
-        pairs = cut(_met(rows.withColumn("cell", F.explode(cells)), lo, lo + reach))
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        links = cut(links.unionByName(similar(pairs, cut(texts.join(needed, "node", "left_semi")), width)))
-        groups = connected_components(links)
-        rows = rows.drop("component", "blocks").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
+        dealt = rows.withColumn("cell", F.explode(cells))
+        if lo == 1:  # a few pairs for each row
+            pairs = cut(likely(_met(dealt, lo, lo + reach), named))
+        else:  # crowds; their texts' sets are few beside all rows
+            if crowd is None:
+                own = _picked(texts, rows.select("node").distinct()).withColumnRenamed("node", "doc_id")
+                full = signatures(own, width, with_sets=True).groupBy(F.col("doc_id").alias("node"), "sketch").agg(F.first("odd").alias("odd"), F.first("sets").alias("sets"))
+                crowd = cut(full)
+            pairs = cut(_met(dealt.join(crowd, ["node", "sketch"]), lo, lo + reach))
+        found = None if pairs.isEmpty() else cut(similar(pairs, texts, width))
+        rows = rows.drop("blocks")
+        if found is not None and not found.isEmpty():
+            links = found if links is None else cut(links.unionByName(found))
+            groups = connected_components(links)
+            rows = rows.drop("component").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
         lo, reach = lo + reach, 8 * reach
-    groups = connected_components(links)
-    classes = named.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
-    return signed.select("doc_id", "id").join(classes, "id").select("doc_id", "component_id")
+    classes = named.select("id", "node", F.col("node").alias("component_id"))
+    if groups is not None:
+        classes = named.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+    return signed.select("doc_id", "id").join(classes.select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -7,19 +7,41 @@ All arrays are as long as a chunk (a quarter of a megabyte, or one longer text),
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 18
+#: Just below a power of two, as tables of powers are doubled to hold one more.
+CHUNK = (1 << 18) - 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+#: What a worker process remembers between tasks, to be cleared when it starts on something else.
+CACHES: list[dict] = []
+
+
+def release(keep: dict | None = None) -> None:
+    """Gives free memory, and that of other operators' caches in this process, back to the machine.
+
+    A worker process serves one operator after the other; what numpy, Arrow and the caches of the one before hold
+    would add to what this one needs.
+    """
+    for cache in CACHES:
+        if cache is not keep:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its free memory
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -68,10 +90,12 @@ class Chunk:
     data: np.ndarray
     offsets: np.ndarray
 
-    def prefix(self) -> np.ndarray:
+    def prefix(self, flip: int = 0, powers: _Powers = POWERS) -> np.ndarray:
         n = len(self.data)
         out = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * POWERS.get(n)[0][:n], out=out[1:])
+        terms = _BYTES[self.data ^ np.uint8(flip) if flip else self.data]
+        terms *= powers.get(n)[0][:n]
+        np.cumsum(terms, out=out[1:])
         return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
