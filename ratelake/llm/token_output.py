@@ -48,6 +48,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Growing:
+    """An array that is appended to without copying it each time."""
+
+    def __init__(self, kind: type, first: int = 0) -> None:
+        self.held, self.size = np.zeros(1 << 16, kind), first
+
+    def append(self, values: np.ndarray) -> None:
+        to = self.size + len(values)
+        if to > len(self.held):
+            held = np.zeros(max(to, len(self.held) * 3 // 2), self.held.dtype)
+            held[: self.size] = self.held[: self.size]
+            self.held = held
+        self.held[self.size : to] = values
+        self.size = to
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
 class PieceEncoder:
     """Encodes texts piece by piece; equal to encoding them whole.
 
@@ -86,9 +106,7 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their entries
-        self.check = np.zeros(0, np.uint64)
-        self.bounds = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.check, self.bounds, self.ids = _Growing(np.uint64), _Growing(np.int64, first=1), _Growing(np.uint32)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Entries of sorted hashes; -1 where unknown."""
@@ -110,13 +128,14 @@ class PieceEncoder:
         more = self._batch([pieces[i] for i in rest.tolist()]) if len(rest) else []
         order = np.concatenate([plain, rest])
         places = np.empty(len(order), np.int64)
-        places[order] = len(self.check) + np.arange(len(order))
+        places[order] = self.check.size + np.arange(len(order))
         between = np.searchsorted(self.known, keys)
         self.known, self.place = np.insert(self.known, between, keys), np.insert(self.place, between, places)
-        self.check = np.concatenate([self.check, check[order]])
+        self.check.append(check[order])
         sizes = np.concatenate([sizes, np.array([len(x) for x in more], np.int64)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.delete(ids, feeds), np.array([i for x in more for i in x], np.uint32)])
+        self.bounds.append(self.bounds.values[-1] + np.cumsum(sizes))
+        self.ids.append(np.delete(ids, feeds))
+        self.ids.append(np.array([i for x in more for i in x], np.uint32))
 
     def _cuts(self, c: tk.Chunk) -> np.ndarray:
         """Where pieces start."""
@@ -162,11 +181,12 @@ class PieceEncoder:
             self._learn([raw[i:j].decode() for i, j in spans], unique[fresh], check[where[fresh]])
             at = self._find(unique)
         at = at[which]
-        if (self.check[at] != check).any():
+        if (self.check.values[at] != check).any():
             return self._whole(c)
-        sizes = self.bounds[at + 1] - self.bounds[at]
+        bounds = self.bounds.values
+        sizes = bounds[at + 1] - bounds[at]
         ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.bounds[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        ids = self.ids.values[np.repeat(bounds[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
         upto = np.concatenate([[0], ends])[np.searchsorted(start, c.offsets)]
         if np.max(end - start) > 1 << 16:  # don't keep long pieces
             self.forget()
