@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ratelake.llm import chat_format, substring_dedup
+from ratelake.llm import chat_format, fill_middle, substring_dedup
 from ratelake.llm.chat_format import op3_chat_format
 from ratelake.llm.decontamination import op10_decontamination
+from ratelake.llm.fill_middle import op12_fill_middle
 from ratelake.llm.line_dedup import op8_line_dedup
 from ratelake.llm.mixing import op2_mixing
 from ratelake.llm.ordinal_classifier import op5_quality_classifier
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_fill_middle": fill_middle.ORACLE_SQL,
 }
