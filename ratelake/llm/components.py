@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
     roots = links.select(F.col("v").alias("node")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.join(links.select(F.col("u").alias("node")), "node", "left_anti").withColumn("component", F.col("node")))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b), in order, join two groups not yet joined."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep

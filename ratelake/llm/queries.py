@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ratelake.llm import chat_format, fill_middle, substring_dedup
+from ratelake.llm import chat_format, fill_middle, ngram_join, substring_dedup
 from ratelake.llm.chat_format import op3_chat_format
 from ratelake.llm.decontamination import op10_decontamination
 from ratelake.llm.fill_middle import op12_fill_middle
 from ratelake.llm.line_dedup import op8_line_dedup
 from ratelake.llm.mixing import op2_mixing
+from ratelake.llm.ngram_join import op13_jaccard_join
 from ratelake.llm.ordinal_classifier import op5_quality_classifier
 from ratelake.llm.quality_rules import op1_quality_rules
 from ratelake.llm.simhash import op6_simhash
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
     "op12_fill_middle": op12_fill_middle,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
     "op12_fill_middle": fill_middle.ORACLE_SQL,
+    "op13_jaccard_join": ngram_join.ORACLE_SQL,
 }
