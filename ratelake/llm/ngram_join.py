@@ -332,7 +332,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         links = links.unionByName(ends.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
     groups = connected_components(links)
     out = named.join(F.broadcast(groups) if small_enough(groups, MAX_BROADCAST) else groups, "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
