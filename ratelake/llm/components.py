@@ -33,8 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.join(links.select(F.col("u").alias("node")), "node", "left_anti").withColumn("component", F.col("node")))
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the links (a, b), in order, join two groups not yet joined."""
+def rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every end of the links (a, b) but the least of each component, and that least one."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     up = list(range(len(nodes)))
 
@@ -43,10 +43,9 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             up[x] = x = up[up[x]]
         return x
 
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist())):
+    for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist()):
         x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep[i] = True
-    return keep
+        up[max(x, y)] = min(x, y)
+    roots = np.array([root(x) for x in range(len(nodes))], np.int64)
+    other = np.flatnonzero(roots != np.arange(len(nodes)))
+    return nodes[other], nodes[roots[other]]

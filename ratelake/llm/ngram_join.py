@@ -13,7 +13,7 @@ neighbours under a signature are chained into clusters. All of a cluster's sets
 bounded size: first in blocks, each with the cluster's representative; where a cluster has several blocks and is not one
 group by then, the sets outside its largest group meet all others, block by block. A crowd of copies of one text thus costs
 a comparison for each of its blocks; only sets that share signatures without being similar are met in all pairs of blocks.
-A task gives the links that make a forest. Sets are made anew from the texts of clusters alone; they are never kept for
+A task gives each set's least partner in reach. Sets are made anew from the texts of clusters alone; they are never kept for
 all documents.
 
 Defined cases: null texts and such without a word have an empty set, linked with nothing; fewer words than a shingle are
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
 from ratelake.llm.common import cut, small_enough, table
-from ratelake.llm.components import connected_components, spanning
+from ratelake.llm.components import connected_components, rooted
 
 WIDTH, PERCENT = 3, 90
 #: Cells of a part, of which all but one make a signature.
@@ -156,28 +156,30 @@ def _chained(rows: DataFrame) -> DataFrame:
     """Links (a, b) that connect all nodes under each key of ``rows`` (key, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links with null keys; the nodes at either end of the partition with theirs."""
-        last = None
+        """Links of each node under a key with the first one there, with null keys; the nodes at either end of the partition with theirs."""
+        first = last = None
         out = lambda a, b, key: pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64())], names=["a", "b", "key"])
         for batch in batches:
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(key):
                 continue
-            if last is None:
+            if first is None:
                 yield out([node[0]], [node[0]], [key[0]])
             else:
-                key, node = np.concatenate([last[0], key]), np.concatenate([last[1], node])
-            at = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
-            pairs = np.unique(np.stack([node[at], node[at + 1]], axis=1), axis=0)
+                key, node = np.concatenate([first[0], key]), np.concatenate([first[1], node])
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            at = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pairs = np.unique(np.stack([node, node[at]], axis=1)[node != node[at]], axis=0)
             yield out(pairs[:, 0], pairs[:, 1], [None] * len(pairs))
-            last = key[-1:], node[-1:]
+            first, last = (key[at[-1:]], node[at[-1:]]), (key[-1:], node[-1:])
         if last is not None:
             yield out(last[1], last[1], last[0])
 
     found = cut(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long").distinct())
     ends = found.where("key is not null").select("key", "a")  # two for each task
     borders = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b")
-    return found.where("key is null").select("a", "b").unionByName(borders).where("a <> b").distinct()
+    return found.where("key is null").select("a", "b").unionByName(borders).where("a <> b")
 
 
 def _clusters(signed: DataFrame) -> DataFrame:
@@ -248,17 +250,19 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _cell_links(node: np.ndarray, sets: list[np.ndarray], group: np.ndarray, asks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between sets of different groups, one of which at least asks."""
+    """Sets linked with others of other groups, where one of the two at least asks, and the least that each reaches."""
     size = np.array([len(x) for x in sets], np.int64)
     both = shared_counts(sets)
     linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     i, j = np.nonzero(np.triu(linked & (group[:, None] != group[None, :]) & (asks[:, None] | asks[None, :]), 1))
-    keep = spanning(node[i], node[j])
-    return node[i[keep]], node[j[keep]]
+    return rooted(node[i], node[j])
 
 
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the cells of ``rows`` (cluster, cell, node, group, asks, elements); a cell is held by one task."""
+    """(cluster, a, b): in each cell of ``rows`` (cluster, cell, node, group, asks, elements) the sets a linked with others, and the least b that each reaches.
+
+    A cell is held by one task.
+    """
     names = ["cluster", "cell", "node", "group", "asks", "elements"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +274,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
                 node, group, asks = (np.array([x[k] for x in held]) for k in (2, 3, 4))
                 a, b = _cell_links(node, [np.frombuffer(x[5], np.uint64) for x in held], group, asks, percent)
                 if len(a):
-                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield pa.record_batch([pa.array(np.full(len(a), held[0][0])), pa.array(a), pa.array(b)], names=["cluster", "a", "b"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in names)):
@@ -281,11 +285,11 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
         yield from met()
 
     dealt = rows.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
-    return dealt.select(*names).mapInArrow(run, "a long, b long")
+    return dealt.select(*names).mapInArrow(run, "cluster long, a long, b long")
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links between ``members`` (node, cluster, n, elements)."""
+def _linked(members: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of those ``members`` (node, cluster, n, elements) that have links and aren't the least they reach."""
     size = members.groupBy("cluster").agg(F.count("*").alias("__sets"), F.sum("n").alias("__elements"))
     blocks = F.greatest(F.ceil(F.col("__sets") / BLOCK_SETS), F.ceil(F.col("__elements") / BLOCK_ELEMENTS))
     wide = cut(size.select("cluster", blocks.cast("int").alias("blocks")).where("blocks > 1"))
@@ -295,10 +299,11 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     # The representative, the least of its cluster, goes to every block.
     everywhere = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")).cast("array<bigint>")
     first = placed.select("cluster", "node", F.explode(everywhere).alias("cell"), F.col("node").alias("group"), F.lit(True).alias("asks"), "elements")
-    links = cut(_compared(first, percent))
+    stars = cut(_compared(first, percent))
     if wide.isEmpty():
-        return links
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # Wide clusters of several groups: what is outside the largest group meets everything.
+    links = stars.join(side, "cluster", "left_semi").select("a", "b")
     own = placed.where("blocks > 1").join(connected_components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
     own = cut(own.select("cluster", "node", "group", "n", "blocks", "block", "elements"))
     sizes = own.groupBy("cluster", "group").agg(F.count("*").alias("__in"))
@@ -313,24 +318,24 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     as_block = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: (r * F.col("blocks") + F.col("block")).cast("bigint"))
     cells = F.array_distinct(F.concat(as_row, as_block))
     met = asking.select("cluster", "node", F.explode(cells).alias("cell"), "group", "asks", "elements")
-    return links.unionByName(cut(_compared(met, percent)))
+    joined = connected_components(links.unionByName(_compared(met, percent).select("a", "b"))).where("node <> component")
+    rest = stars.join(side, "cluster", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return rest.unionByName(joined)
 
 
 def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is the smallest id that its links reach."""
     signed = cut(_signed(docs, width, percent))
-    rows = signed.select("doc_id", "id1", "id2", "n")
-    ids = ["id1", "id2"]
+    rows, ids = signed.select("doc_id", "id1", "id2", "n"), ["id1", "id2"]
     known = signed.where("doc_id is not null and n > 0")
-    links = cut(_links(cut(_sets(docs, _clusters(known), width)), percent))
-    copied = cut(rows.where("doc_id is not null and n > 0").groupBy(*ids).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("__most")).where("node < __most").select(*ids, "node"))
+    groups = cut(_linked(cut(_sets(docs, _clusters(known), width)), percent))
+    copied = cut(known.groupBy(*ids).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("__most")).where("node < __most").select(*ids, "node"))
     named = rows.join(F.broadcast(copied) if small_enough(copied, MAX_BROADCAST) else copied, ids, "left").withColumn("node", F.coalesce("node", "doc_id"))
     # A document of several texts links their sets.
-    several = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct(*ids)).alias("x"), F.max(F.struct(*ids)).alias("y")).where("x <> y").select("doc_id")
+    several = known.groupBy("doc_id").agg(F.min(F.struct(*ids)).alias("x"), F.max(F.struct(*ids)).alias("y")).where("x <> y").select("doc_id")
     if not several.isEmpty():
-        ends = named.where("n > 0").join(several, "doc_id").select("doc_id", "node").distinct()
-        links = links.unionByName(ends.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"))
-    groups = connected_components(links)
+        ends = named.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+        groups = connected_components(ends.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     out = named.join(F.broadcast(groups) if small_enough(groups, MAX_BROADCAST) else groups, "node", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
