@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
 from ratelake.llm.common import cut, small_enough, table
-from ratelake.llm.components import connected_components, rooted
+from ratelake.llm.components import reached, rooted
 
 WIDTH, PERCENT = 3, 90
 #: Cells of a part, of which all but one make a signature.
@@ -182,16 +182,18 @@ def _chained(rows: DataFrame) -> DataFrame:
     return found.where("key is null").select("a", "b").unionByName(borders).where("a <> b")
 
 
-def _clusters(signed: DataFrame) -> DataFrame:
-    """(node, cluster, id1, id2): the sets that share a signature with another one, by the least of each cluster."""
+def _clusters(signed: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, cluster, id1, id2, n): the sets that share a signature with another one, by the least of each cluster.
+
+    ``copies`` are the sets of several rows, with the least of their documents as ``node``.
+    """
     ids = ["id1", "id2"]
-    copies = cut(signed.groupBy(*ids).agg(F.min("doc_id").alias("node"), F.count("*").alias("__rows")).where("__rows > 1").select(*ids, "node"))
-    side = F.broadcast(copies) if small_enough(copies, MAX_BROADCAST) else copies
-    once = signed.join(side, ids, "left_anti").select(F.col("doc_id").alias("node"), "keys")
+    once = signed.join(copies, ids, "left_anti").select(F.col("doc_id").alias("node"), "keys")
     # Copies are merged before the shuffle, so that a text that a third of all rows hold is one row for each task.
-    merged = signed.join(side, ids).groupBy("node").agg(F.first("keys").alias("keys"))
+    merged = signed.join(copies, ids).groupBy("node").agg(F.first("keys").alias("keys"))
     links = _chained(once.unionByName(merged).select(F.explode("keys").alias("key"), "node"))
-    found = cut(connected_components(links).withColumnRenamed("component", "cluster"))
+    found = cut(reached(links).withColumnRenamed("component", "cluster"))
+    found = found.unionByName(found.select(F.col("cluster").alias("node"), "cluster").distinct())
     side = F.broadcast(found) if small_enough(found, MAX_BROADCAST) else found
     return signed.join(side, signed["doc_id"] == side["node"]).select("node", "cluster", *ids, "n").distinct()
 
@@ -304,7 +306,7 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
         return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # Wide clusters of several groups: what is outside the largest group meets everything.
     links = stars.join(side, "cluster", "left_semi").select("a", "b")
-    own = placed.where("blocks > 1").join(connected_components(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
+    own = placed.where("blocks > 1").join(reached(links), "node", "left").withColumn("group", F.coalesce("component", "node"))
     own = cut(own.select("cluster", "node", "group", "n", "blocks", "block", "elements"))
     sizes = own.groupBy("cluster", "group").agg(F.count("*").alias("__in"))
     largest = sizes.groupBy("cluster").agg(F.max_by("group", F.struct("__in", "group")).alias("__largest"), F.count("*").alias("__groups")).where("__groups > 1")
@@ -318,7 +320,7 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     as_block = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: (r * F.col("blocks") + F.col("block")).cast("bigint"))
     cells = F.array_distinct(F.concat(as_row, as_block))
     met = asking.select("cluster", "node", F.explode(cells).alias("cell"), "group", "asks", "elements")
-    joined = connected_components(links.unionByName(_compared(met, percent).select("a", "b"))).where("node <> component")
+    joined = reached(links.unionByName(_compared(met, percent).select("a", "b")))
     rest = stars.join(side, "cluster", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("component"))
     return rest.unionByName(joined)
 
@@ -328,14 +330,15 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     signed = cut(_signed(docs, width, percent))
     rows, ids = signed.select("doc_id", "id1", "id2", "n"), ["id1", "id2"]
     known = signed.where("doc_id is not null and n > 0")
-    groups = cut(_linked(cut(_sets(docs, _clusters(known), width)), percent))
-    copied = cut(known.groupBy(*ids).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("__most")).where("node < __most").select(*ids, "node"))
-    named = rows.join(F.broadcast(copied) if small_enough(copied, MAX_BROADCAST) else copied, ids, "left").withColumn("node", F.coalesce("node", "doc_id"))
+    copies = cut(known.groupBy(*ids).agg(F.min("doc_id").alias("node"), F.count("*").alias("__rows")).where("__rows > 1").select(*ids, "node"))
+    copies = F.broadcast(copies) if small_enough(copies, MAX_BROADCAST) else copies
+    groups = cut(_linked(cut(_sets(docs, _clusters(known, copies), width)), percent))
+    named = rows.join(copies, ids, "left").withColumn("node", F.coalesce("node", "doc_id"))
     # A document of several texts links their sets.
     several = known.groupBy("doc_id").agg(F.min(F.struct(*ids)).alias("x"), F.max(F.struct(*ids)).alias("y")).where("x <> y").select("doc_id")
     if not several.isEmpty():
         ends = named.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-        groups = connected_components(ends.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        groups = reached(ends.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     out = named.join(F.broadcast(groups) if small_enough(groups, MAX_BROADCAST) else groups, "node", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_edges import CLASHING
 from test_llm import WORD, make_docs, rows_of
 
-from ratelake.llm import fill_middle, ngram_join, spelling, textkernel
+from ratelake.llm import components, fill_middle, ngram_join, spelling, textkernel
 
 SCHEMA = "doc_id long, text string"
 
@@ -205,9 +205,11 @@ def test_op13_brute_force(spark, near_rows):
     assert rows_of(ngram_join.jaccard_groups(df.limit(0))) == []
 
 
-def test_op13_blocks(spark, near_rows, monkeypatch):
-    """Clusters of many blocks, some of whose sets are similar and some not."""
+@pytest.mark.parametrize("links", [components.MAX_LINKS, 0])
+def test_op13_blocks(spark, near_rows, monkeypatch, links):
+    """Clusters of many blocks, some of whose sets are similar and some not, joined up in one task and by rounds."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(components, "MAX_LINKS", links)
     rng = random.Random(9)
     base = [f"v{k}" for k in range(120)]
     crowd = []
