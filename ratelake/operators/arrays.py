@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,13 +73,79 @@ def layer_of(df: DataFrame, layer: int) -> DataFrame:
     return df.join(last, ["path", "layer"], "left_semi")
 
 
-def attention_pool(frames: DataFrame, key: str, score: str, values: Sequence[str]) -> DataFrame:
-    """(key, pooled values): softmax of the frames' scores over time, then weighted sums.
+#: What a task knows of a key's frames: their highest score, and relative to it the weights' sum and the weighted values.
+_PARTIAL = "top double, weight double, sums array<double>"
+
+
+def _merged(partials: Column) -> Column:
+    """The partial of all frames from those of parts, each rescaled to the common highest score."""
+    scaled = lambda p, top: F.struct(top.alias("top"), (p["weight"] * F.exp(p["top"] - top)).alias("weight"), F.transform(p["sums"], lambda v: v * F.exp(p["top"] - top)).alias("sums"))
+
+    def merge(a: Column, b: Column) -> Column:
+        top = F.greatest(a["top"], b["top"])
+        x, y = scaled(a, top), scaled(b, top)
+        return F.struct(top.alias("top"), (x["weight"] + y["weight"]).alias("weight"), F.zip_with(x["sums"], y["sums"], lambda u, v: u + v).alias("sums"))
+
+    return F.aggregate(F.slice(partials, 2, F.greatest(F.size(partials) - 1, F.lit(1))), F.get(partials, F.lit(0)), merge)
+
 
-    Two grouped aggregates (the maximum, then sums), joined on the key; no window and no collected frames.
+def _pooled(rows: DataFrame, kind: str) -> DataFrame:
+    """(key, pooled) of rows (key, scores, values): a block's scores, and its frames' values, one frame after another.
+
+    Each task makes one partial for each run of a key's rows that it reads, and the parts of a key are merged after the
+    only shuffle; a part is one vector, however many frames it stands for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Carries a key's partial on through its run of rows."""
+        held: list = []
+
+        def out(done: list) -> pa.RecordBatch:
+            columns = [pa.array([d[0] for d in done], batches_type[0]), *[pa.array([d[k] for d in done], pa.float64()) for k in (1, 2)], pa.array([d[3] for d in done], pa.list_(pa.float64()))]
+            return pa.record_batch(columns, names=["key", "top", "weight", "sums"])
+
+        batches_type: list = []
+        for batch in batches:
+            batches_type[:] = [batch.schema.field(0).type]
+            done = []
+            for key, scores, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                score = scores.values.to_numpy(zero_copy_only=False)
+                if not len(score):
+                    continue
+                frames = values.values.to_numpy(zero_copy_only=False).reshape(len(score), -1)
+                top = score.max()
+                weights = np.exp(score - top)
+                part = [key, top, weights.sum(), weights @ frames]
+                if held and held[0] == key:
+                    both = max(top, held[1])
+                    a, b = np.exp(held[1] - both), np.exp(top - both)
+                    held = [key, both, held[2] * a + part[2] * b, held[3] * a + part[3] * b]
+                else:
+                    if held:
+                        done.append(held)
+                    held = part
+            if done:
+                yield out(done)
+        if held:
+            yield out([held])
+
+    parts = rows.mapInArrow(run, f"key {kind}, {_PARTIAL}")
+    whole = parts.groupBy("key").agg(_merged(F.collect_list(F.struct("top", "weight", "sums"))).alias("p"))
+    return whole.select("key", F.transform("p.sums", lambda v: v / F.col("p.weight")).alias("pooled"))
+
+
+def attention_pool_blocks(blocks: DataFrame, key: str, scores: str, values: str) -> DataFrame:
+    """(key, pooled): softmax over a key's frames by their scores, then the weighted mean of their vectors.
+
+    A row is a block of a key's frames: ``scores`` has one entry for each, ``values`` their vectors flattened. Blocks may
+    lie anywhere; one shuffle of a vector for each key and task that has any.
     """
-    top = frames.groupBy(key).agg(F.max(score).alias("__top"))
-    weighed = frames.join(top, key).withColumn("__w", F.exp(F.col(score) - F.col("__top")))
-    sums = [F.sum(F.col("__w") * F.col(v)).alias(f"__{v}") for v in values]
-    by = weighed.groupBy(key).agg(F.sum("__w").alias("__sum"), *sums)
-    return by.select(key, *[(F.col(f"__{v}") / F.col("__sum")).alias(v) for v in values])
+    rows = blocks.select(F.col(key).alias("key"), F.col(scores).cast("array<double>").alias("scores"), F.col(values).cast("array<double>").alias("values"))
+    return _pooled(rows, rows.schema["key"].dataType.simpleString()).withColumnRenamed("key", key)
+
+
+def attention_pool(frames: DataFrame, key: str, score: str, values: Sequence[str]) -> DataFrame:
+    """(key, pooled values): softmax of the frames' scores over time, then weighted means; one row per frame."""
+    rows = frames.select(F.col(key).alias("key"), F.array(F.col(score).cast("double")).alias("scores"), F.array(*[F.col(v).cast("double") for v in values]).alias("values"))
+    pooled = _pooled(rows, rows.schema["key"].dataType.simpleString())
+    return pooled.select(F.col("key").alias(key), *[F.get("pooled", F.lit(k)).alias(v) for k, v in enumerate(values)])

@@ -28,11 +28,6 @@ def still_to_do(wanted: DataFrame, store: DataFrame, *extra: str) -> DataFrame:
     return keyed.join(store.select("cache_key", *extra).distinct(), ["cache_key", *extra], "left_anti")
 
 
-def append_features(features: DataFrame, folder: str) -> None:
-    """Appends to the feature store; Spark's commit makes it all or nothing."""
-    features.write.mode("append").parquet(folder)
-
-
 def read_features(wanted: DataFrame, store: DataFrame) -> DataFrame:
     """Features of every wanted path; a path without any fails the query."""
     keyed = wanted.withColumn("cache_key", content_key(F.col("path")))

@@ -6,12 +6,11 @@ two scalar heads. The frozen encoder is replaced by its features, which come as
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ratelake.operators.signal import mel_db
 
@@ -93,21 +92,45 @@ def forward(features: np.ndarray, w: Weights, mel: np.ndarray | None = None) ->
     return float(pooled @ w["acr_w"] + w["acr_b"][0]), float(pooled @ w["ccr_w"] + w["ccr_b"][0])
 
 
-def score_clips(clips: DataFrame, weights: Weights, width: int) -> DataFrame:
-    """(path, acr, ccr) of (path, features), features being frames of ``width`` values laid end to end.
+def weights_table(spark: SparkSession, checkpoints: dict[str, Weights]) -> DataFrame:
+    """(checkpoint, param, shape, values): every array of every checkpoint, flattened."""
+    rows = [(name, param, list(map(int, w[param].shape)), w[param].astype(float).ravel().tolist()) for name, w in checkpoints.items() for param in sorted(w)]
+    return spark.createDataFrame(rows, "checkpoint string, param string, shape array<int>, values array<double>")
+
+
+def weights_of(table: DataFrame) -> dict[str, Weights]:
+    """The checkpoints of a weights table, which is as large as the models, whatever the number of clips."""
+    out: dict[str, Weights] = {}
+    for row in table.collect():
+        out.setdefault(row["checkpoint"], {})[row["param"]] = np.array(row["values"], float).reshape(row["shape"])
+    return dict(sorted(out.items()))
+
 
-    Where the weights have a mel branch, ``samples`` (16 kHz) are needed too. Make paths distinct first: the forward pass
-    is the costly step.
+def score_checkpoints(clips: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """(checkpoint, path, acr, ccr) of (path, features), features being frames of ``width`` values laid end to end.
+
+    Every clip is read once and scored by all checkpoints of the weights table. Where one has a mel branch, ``samples``
+    (16 kHz) are needed too, and the spectrogram is made once. Make paths distinct first: the forward pass is the costly step.
     """
-    with_mel = "mel_w" in weights
+    models = weights_of(table)
+    shared = clips.sparkSession.sparkContext.broadcast(models)
+    with_mel = any("mel_w" in w for w in models.values())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            mels = (mel_db(np.asarray(v, np.float32)) for v in f["samples"]) if with_mel else itertools.repeat(None)
-            scores = [forward(np.asarray(v, np.float64).reshape(-1, width), weights, m) for v, m in zip(f["features"], mels)]
-            yield pd.DataFrame({"path": f["path"], "acr": [a for a, _ in scores], "ccr": [c for _, c in scores]})
+            rows = []
+            for k, (path, flat) in enumerate(zip(f["path"], f["features"])):
+                features = np.asarray(flat, np.float64).reshape(-1, width)
+                mel = mel_db(np.asarray(f["samples"].iloc[k], np.float32)) if with_mel else None
+                rows += [(name, path, *forward(features, w, mel if "mel_w" in w else None)) for name, w in shared.value.items()]
+            yield pd.DataFrame(rows, columns=["checkpoint", "path", "acr", "ccr"])
+
+    return clips.select("path", "features", *(["samples"] if with_mel else [])).mapInPandas(run, "checkpoint string, path string, acr double, ccr double")
 
-    return clips.select("path", "features", *(["samples"] if with_mel else [])).mapInPandas(run, "path string, acr double, ccr double")
+
+def score_clips(clips: DataFrame, weights: Weights, width: int) -> DataFrame:
+    """(path, acr, ccr) of (path, features) by one checkpoint."""
+    return score_checkpoints(clips, weights_table(clips.sparkSession, {"": weights}), width).drop("checkpoint")
 
 
 def trainable(parameters: DataFrame, frozen: str = "encoder.") -> DataFrame:

@@ -20,34 +20,61 @@ def pearson(x: str, y: str) -> Column:
     return F.when((F.count("*") < 2) | (spread == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), spread))
 
 
-#: Bins between a group's least and greatest value that are ranked apart from each other.
-BINS = 1024
+#: Distinct values of a group that one window may hold; more are cut into this many ranges by splitters.
+RANGE_VALUES, RANGES = 1 << 16, 1024
+#: Errors of the splitters' places, as a share of a range: a tenth either way.
+_ACCURACY = 10 * RANGES
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """(group, value, rank): one row per distinct value; ties share the mean of their ranks.
+def _range(splitters: str, value: str) -> Column:
+    """How many of the ascending splitters lie below the value, by binary search; 0 without splitters."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((RANGES - 1).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(F.col(splitters), at + step - 1) < F.col(value), step).otherwise(0))
+    return F.when(F.col(splitters).isNull(), F.lit(0)).otherwise(at)
 
-    Ties are counted first. A group's distinct values fall into BINS equal ranges, each ranked in a task of its own and
-    shifted by the counts of the ranges below, so that a group that holds all rows is spread too.
+
+def splitters(counts: DataFrame, group: list[str], value: str, most: int = RANGE_VALUES) -> DataFrame:
+    """(group, __splitters): RANGES - 1 ascending values that cut a group's distinct values into ranges of equal number.
+
+    Quantile sketches of the parts are merged. Only groups with more than ``most`` distinct values have splitters. As
+    each distinct value is one row, ties never cross a border, and an outlier takes up one place, not many ranges.
+    """
+    wide = counts.groupBy(*group).agg(F.count("*").alias("__values")).where(F.col("__values") > most)
+    shares = [k / RANGES for k in range(1, RANGES)]
+    return join_same(counts, wide, group, "left_semi").groupBy(*group).agg(F.percentile_approx(value, shares, _ACCURACY).alias("__splitters"))
+
+
+def placed_values(df: DataFrame, group: list[str], value: str, most: int = RANGE_VALUES) -> DataFrame:
+    """(group, value, __n, __before): each distinct value of a group, how many rows have it, and how many a lower one.
+
+    Ties are counted first. A wide group's values are ranked by ranges, each in a task of its own, and shifted by the
+    counts of the ranges below, so that a group that holds all rows is spread too.
     """
     counts = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
-    ends = df.groupBy(*group).agg(F.min(value).alias("__least"), F.max(value).alias("__most"))
-    share = F.try_divide(F.col(value) - F.col("__least"), F.col("__most") - F.col("__least"))
-    bin_ = F.coalesce(F.when(~F.isnan(share), F.floor(share * BINS).cast("int")), F.lit(0))
-    placed = join_same(counts, ends, group).withColumn("__bin", bin_).drop("__least", "__most")
-    by_bin = placed.groupBy(*group, "__bin").agg(F.sum("__n").alias("__in"))
-    up = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS + 1 rows at most
-    below = by_bin.select(*group, "__bin", F.coalesce(F.sum("__in").over(up), F.lit(0)).alias("__below"))
-    within = F.sum("__n").over(Window.partitionBy(*group, "__bin").orderBy(value))
-    rank = F.col("__below") + F.col("__upto") - (F.col("__n") - 1) / 2.0
-    return join_same(placed.withColumn("__upto", within), below, [*group, "__bin"]).select(*group, value, rank.alias(name))
+    placed = join_same(counts, splitters(counts, group, value, most), group, "left").withColumn("__range", _range("__splitters", value)).drop("__splitters")
+    by_range = placed.groupBy(*group, "__range").agg(F.sum("__n").alias("__in"))
+    up = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    below = by_range.select(*group, "__range", F.coalesce(F.sum("__in").over(up), F.lit(0)).alias("__below"))
+    within = F.sum("__n").over(Window.partitionBy(*group, "__range").orderBy(value))
+    joined = join_same(placed.withColumn("__upto", within), below, [*group, "__range"])
+    return joined.select(*group, value, "__n", (F.col("__below") + F.col("__upto") - F.col("__n")).alias("__before"))
+
+
+def average_ranks(df: DataFrame, group: list[str], value: str, name: str, most: int = RANGE_VALUES) -> DataFrame:
+    """(group, value, rank): one row per distinct value; ties share the mean of their ranks."""
+    rank = F.col("__before") + (F.col("__n") + 1) / 2.0
+    return placed_values(df, group, value, most).select(*group, value, rank.alias(name))
 
 
 def compute(df: DataFrame, group: list[str], pred: str, target: str) -> DataFrame:
-    """(group, n, srcc, lcc, mse) over valid pairs; NaN where fewer than two."""
+    """(group, n, srcc, lcc, mse) over valid pairs; NaN where fewer than two. Both sides are ranked in one pass."""
     pairs = valid_pairs(df, pred, target).select(*group, F.col(pred).alias("__p"), F.col(target).alias("__t"))
-    ranked = join_same(pairs, average_ranks(pairs, group, "__p", "__rp"), [*group, "__p"])
-    ranked = join_same(ranked, average_ranks(pairs, group, "__t", "__rt"), [*group, "__t"])
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("__side"), F.col(c).alias("__value")) for k, c in enumerate(("__p", "__t"))])).alias("__s")
+    ranks = average_ranks(pairs.select(*group, sides).select(*group, "__s.*"), [*group, "__side"], "__value", "__rank")
+    ranked = pairs
+    for k, (value, name) in enumerate((("__p", "__rp"), ("__t", "__rt"))):
+        own = ranks.where(F.col("__side") == k).select(*group, F.col("__value").alias(value), F.col("__rank").alias(name))
+        ranked = join_same(ranked, own, [*group, value])
     mse = F.when(F.count("*") < 2, F.lit(float("nan"))).otherwise(F.avg(F.pow(F.col("__p") - F.col("__t"), 2)))
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), pearson("__rp", "__rt").alias("srcc"), pearson("__p", "__t").alias("lcc"), mse.alias("mse"))
 

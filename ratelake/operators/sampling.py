@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,57 @@ def with_batches(df: DataFrame, key: str, size: int) -> DataFrame:
     return placed.withColumn("batch_id", F.floor(F.col("__position") / size).cast("long")).drop("__position")
 
 
+#: Rounds of the permutation of positions.
+ROUNDS = 6
+
+
+def _round(value: Column, key: Column, number: Column) -> Column:
+    """32 bits that depend on all three."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key, number.cast("string"), value.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def permuted(position: Column, n: int, key: Column) -> Column:
+    """Where each of ``n`` positions goes under the permutation named by ``key`` (a string).
+
+    A Feistel network over a rectangle that is hardly larger than n: a position is a row and a column, and each round
+    shifts one of them by a hash of the other. A result beyond n is put through again until it lies below, which takes a
+    second walk for about one position in the root of n. So each row finds its place by itself, whatever its neighbours
+    and its partition, and nothing is sorted.
+    """
+    across = max(1, isqrt(max(n - 1, 0)) + 1)
+    down = max(1, -(-n // across))
+
+    def walk(x: Column) -> Column:
+        start = F.struct((x % across).alias("left"), F.floor(x / across).cast("long").alias("right"))
+
+        def step(state: Column, number: Column) -> Column:
+            side = F.when(number % 2 == 0, F.lit(across)).otherwise(F.lit(down)).cast("long")
+            return F.struct(state["right"].alias("left"), ((state["left"] + _round(state["right"], key, number)) % side).alias("right"))
+
+        # After an even number of rounds left is a column again, and right a row.
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda state: state["left"] + state["right"] * across)
+
+    first = walk(position.cast("long"))
+    # No walk passes through more positions beyond n than there are.
+    again = F.sequence(F.lit(1), F.lit(max(1, across * down - n)))
+    return F.aggregate(F.array(F.lit(0)), first, lambda x, _: F.when(x < n, x).otherwise(F.aggregate(again, x, lambda y, _: F.when(y < n, y).otherwise(walk(y)))))
+
+
+def shuffled_batches(df: DataFrame, key: str, size: int, epochs: Iterable[int], seed: int = 0) -> DataFrame:
+    """Every row once in each of ``epochs``, with ``epoch``, ``batch_id`` and ``slot`` (its place in the batch).
+
+    Batches have ``size`` rows each, but for the last. Places in key order are taken once, by a range sort; each epoch
+    permutes them by ``permuted``, so rows are neither sorted nor moved again, and any batch of any epoch can be made
+    anew. Equal keys take their places in any order.
+    """
+    placed = with_position(df, key, name="__position")
+    n = placed.count()
+    epoch = F.explode(F.array(*[F.lit(int(e)) for e in epochs])).alias("epoch")
+    at = permuted(F.col("__position"), n, F.concat_ws("/", F.lit(str(seed)), F.col("epoch").cast("string")))
+    out = placed.select("*", epoch).withColumn("__at", at)
+    return out.withColumns({"batch_id": F.floor(F.col("__at") / size).cast("long"), "slot": (F.col("__at") % size).cast("long")}).drop("__at", "__position")
+
+
 def dense_ids(df: DataFrame, value: str, batch: str) -> DataFrame:
     """Adds ``source_id``: 0-based place of the value among the batch's sorted distinct values."""
     place = F.dense_rank().over(Window.partitionBy(batch).orderBy(value)) - 1

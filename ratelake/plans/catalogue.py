@@ -7,13 +7,15 @@ lineitem has clip pairs, embeddings are waveforms or frames.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.functions import columns as C
-from ratelake.operators import arrays, existence, heads, metrics, normalize, ranking, runs, sampling, scoring
-from ratelake.plans import manifest
+from ratelake.operators import arrays, checkpoint_table, existence, feature_store, heads, metrics, normalize, ranking, runs, sampling, scoring
+from ratelake.operators.shared import ensure_checkpoint_dir
+from ratelake.plans import inference, manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -201,6 +203,22 @@ def batch_assign(spark, sf):
     return sampling.with_batches(t(spark, sf, "labels").select("doc_id"), "doc_id", 16)
 
 
+#: One walk of the permutation of positions, for a grid of ``across`` columns and ``down`` rows.
+_WALK = """list_reduce([[{x} % across, {x} // across], [0], [1], [2], [3], [4], [5]],
+    lambda s, r: [s[2], (s[1] + ('0x' || substr(md5('7/' || epoch::varchar || ':' || r[1]::varchar || ':' || s[2]::varchar), 1, 8))::bigint) % case r[1] % 2 when 0 then across else down end])"""
+_SHUFFLED = f"""with recursive g as (select count(*) as n, floor(sqrt(count(*) - 1))::bigint + 1 as across from labels),
+    p as (select doc_id, epoch, row_number() over (partition by epoch order by doc_id) - 1 as place, n, across, (n + across - 1) // across as down from labels, g, range(3) e(epoch)),
+    w as (select doc_id, epoch, n, across, down, {_WALK.format(x="place")} as s from p
+        union all select doc_id, epoch, n, across, down, {_WALK.format(x="(s[1] + s[2] * across)")} from w where s[1] + s[2] * across >= n)
+    select doc_id, epoch::integer as epoch, (s[1] + s[2] * across) // 16 as batch_id, (s[1] + s[2] * across) % 16 as slot from w where s[1] + s[2] * across < n"""
+
+
+@query(_SHUFFLED)
+def shuffled_batches(spark, sf):
+    """Three epochs of batches of 16, each in another order."""
+    return sampling.shuffled_batches(t(spark, sf, "labels").select("doc_id"), "doc_id", 16, range(3), seed=7)
+
+
 _LINES = "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem"
 
 
@@ -331,17 +349,6 @@ def mos_loss(spark, sf):
     return out.withColumn("total_loss", F.round("total_loss", 5))
 
 
-@query("select e as epoch, round(least(0.5::double, e * 0.05::double), 6) as weight from range(1, 31) r(e)")
-def ramp_schedule(spark, sf):
-    return spark.range(1, 31).select(F.col("id").alias("epoch"), r6(C.ramp(F.col("id"), 0.5, 10)).alias("weight"))
-
-
-@query("select e as epoch, round(0.001::double * power(0.95::double, e - 1), 9) as rate, 'epoch_' || lpad(e::varchar, 3, '0') as name from range(1, 31) r(e)")
-def lr_decay(spark, sf):
-    e = F.col("id")
-    return spark.range(1, 31).select(e.alias("epoch"), F.round(C.decayed_rate(e, 0.001, 0.95), 9).alias("rate"), C.epoch_name(e).alias("name"))
-
-
 def _history(spark, sf):
     daily = t(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").cast("long").alias("epoch"))
     return daily.agg(r6(metrics.pearson("value", "user_id")).alias("dev")).withColumn("dev", C.missing_as_null(F.col("dev")))
@@ -356,6 +363,16 @@ def _stopped_sql(patience: int) -> str:
     return f"select * from (select *, min(case when no_improve >= {patience} then epoch end) over (partition by run) as stop from ({_PROGRESS})) where stop is null or epoch <= stop"
 
 
+@query(f"select run, epoch, round(least(0.5::double, epoch * 0.05::double), 6) as weight from ({_HISTORY})")
+def ramp_schedule(spark, sf):
+    return _history(spark, sf).select("run", "epoch", r6(C.ramp(F.col("epoch"), 0.5, 10)).alias("weight"))
+
+
+@query(f"select run, epoch, round(0.001::double * power(0.95::double, epoch - 1), 9) as rate, 'epoch_' || lpad(epoch::varchar, 3, '0') as name from ({_HISTORY})")
+def lr_decay(spark, sf):
+    return _history(spark, sf).select("run", "epoch", F.round(C.decayed_rate(F.col("epoch"), 0.001, 0.95), 9).alias("rate"), C.epoch_name(F.col("epoch")).alias("name"))
+
+
 @query(f"select run, max(epoch) filter (improved) as best_epoch, max(dev) filter (improved) as best_dev from ({_PROGRESS}) group by run")
 def best_epoch(spark, sf):
     return runs.best_epoch(_history(spark, sf))
@@ -408,6 +425,18 @@ def attn_pool(spark, sf):
     return arrays.attention_pool(frames, "vec_id", "score", ["x", "at"]).select("vec_id", r6("x").alias("x"), r6("at").alias("at"))
 
 
+@query(f"""with b as (select vec_id, i // 16 as f, list(x order by i) as v from ({_EMB}) group by all),
+    w as (select *, exp(v[1] - max(v[1]) over (partition by vec_id)) as e from b)
+    select vec_id, i, round(sum(e * v[i + 1]) / sum(e), 6) as x from w, range(16) r(i) group by vec_id, i""")
+def attn_pool_blocks(spark, sf):
+    """Four frames of 16 values, read as two blocks of two; a frame's first value is its score."""
+    x = F.col("embedding").cast("array<double>")
+    block = lambda k: F.struct(F.array(F.get(x, F.lit(32 * k)), F.get(x, F.lit(32 * k + 16))).alias("scores"), F.slice(x, 32 * k + 1, 32).alias("frames"))
+    blocks = t(spark, sf, "embeddings").select("vec_id", F.explode(F.array(block(0), block(1))).alias("b")).select("vec_id", "b.*")
+    pooled = arrays.attention_pool_blocks(blocks, "vec_id", "scores", "frames")
+    return pooled.select("vec_id", F.posexplode("pooled").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
+
+
 @query(f"select vec_id, round(sum(x * ((i % 7)::double - 3.0::double) / 10.0::double) + 3.0::double, 6) as acr from ({_EMB}) group by vec_id")
 def linear_head(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", r6(arrays.head(F.col("embedding"), [(i % 7 - 3) / 10 for i in range(64)], 3.0)).alias("acr"))
@@ -418,9 +447,11 @@ def layer_norm(spark, sf):
     return _long(t(spark, sf, "embeddings"), arrays.layer_norm(F.col("embedding")))
 
 
-@query("select param, value from (values ('encoder.w', 1.0::double), ('head.w', 2.0::double), ('adapter.b', 3.0::double)) v(param, value) where not starts_with(param, 'encoder.')")
+@query("select p_brand || '.' || p_partkey::varchar as param, p_retailprice as value from part where not starts_with(p_brand, 'Brand#1')")
 def trainable_state(spark, sf):
-    return heads.trainable(spark.createDataFrame([("encoder.w", 1.0), ("head.w", 2.0), ("adapter.b", 3.0)], "param string, value double"))
+    """Parameters worth saving; those of one maker stand for the frozen encoder's."""
+    parameters = t(spark, sf, "part").select(F.concat_ws(".", "p_brand", F.col("p_partkey").cast("string")).alias("param"), F.col("p_retailprice").alias("value"))
+    return heads.trainable(parameters, frozen="Brand#1")
 
 
 @query("select c_custkey, case c_mktsegment when 'BUILDING' then 384 when 'MACHINERY' then 512 else 1024 end as size from customer")
@@ -484,7 +515,7 @@ def mel_db(spark, sf):
 _WEIGHTS = heads.make_weights(16, 8)
 
 
-def _forward_sql(w: heads.Weights, width: int, frames: int, n: int) -> str:
+def _forward_sql(w: heads.Weights, width: int, frames: int, n: int, digits: int = 6) -> str:
     """The forward pass over lists, its recurrence written out step by step."""
     names = ("adapter_w", "adapter_b", "norm_gain", "norm_bias", "pool_w", "acr_w", "ccr_w", *(f"{d}_{k}" for d in ("forward", "backward") for k in "xhb"))
     given = ", ".join(f"{w[k].tolist()}::double{'[]' * w[k].ndim} as {k}" for k in names)
@@ -500,7 +531,7 @@ def _forward_sql(w: heads.Weights, width: int, frames: int, n: int) -> str:
     {d}h{t} as (select vec_id, x, c, list_transform(range(1, {n + 1}), lambda j: tanh(c[j]) / (1 + exp(-z[{3 * n} + j]))) as h from {d}c{t})"""
             before = f"{d}h{t}"
     parts = " union all ".join(f"select a.vec_id, list_concat(a.h, b.h) as h from forwardh{t} a join backwardh{t} b using (vec_id)" for t in range(1, frames + 1))
-    heads_ = ", ".join(f"round(sum(e * list_dot_product(h, {k}_w)) / sum(e) + {w[f'{k}_b'][0]}::double, 6) as {k}" for k in ("acr", "ccr"))
+    heads_ = ", ".join(f"round(sum(e * list_dot_product(h, {k}_w)) / sum(e) + {w[f'{k}_b'][0]}::double, {digits}) as {k}" for k in ("acr", "ccr"))
     return f"{sql} select vec_id::varchar as path, {heads_} from (select vec_id, h, exp(list_dot_product(h, pool_w)) as e, acr_w, ccr_w from ({parts}), w) group by vec_id"
 
 
@@ -510,12 +541,48 @@ def model_forward(spark, sf):
     return heads.score_clips(clips, _WEIGHTS, 16).select("path", r6("acr").alias("acr"), r6("ccr").alias("ccr"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then len(embedding) end as n_feats, doc_id % 3 <> 0 as lacks, 1 as n_wave from documents d left join embeddings e on e.vec_id = d.doc_id and d.doc_id % 3 = 0 where doc_id < (select count(*) from embeddings)")
+_CHECKPOINTS = {"first": _WEIGHTS, "second": heads.make_weights(16, 8, seed=1)}
+_SCORED = " union all ".join(f"select '{name}' as checkpoint, path, acr from ({_forward_sql(w, 16, 4, 8, 12)})" for name, w in _CHECKPOINTS.items())
+
+
+@query(f"""with s as materialized ({_SCORED})
+    select checkpoint, 'r' || path as sample_id, round(least(5.0::double, greatest(1.0::double, acr)), 5) as pred_score from s
+    union all select a.checkpoint, 'p' || a.path, round(least(3.0::double, greatest(-3.0::double, a.acr - b.acr)), 5) from s a join s b on a.checkpoint = b.checkpoint and b.path = (a.path::bigint // 2)::varchar""")
+def predict_checkpoints(spark, sf):
+    """Rated and compared clips by two checkpoints, from one scan of the features."""
+    clips = t(spark, sf, "embeddings")
+    path = F.col("vec_id").cast("string")
+    store = clips.select(C.content_key(path).alias("cache_key"), F.col("embedding").alias("features"))
+    rated = clips.select(F.concat(F.lit("r"), path).alias("sample_id"), path.alias("path"))
+    compared = clips.select(F.concat(F.lit("p"), path).alias("sample_id"), path.alias("path_a"), F.expr("cast(vec_id div 2 as string)").alias("path_b"))
+    out = inference.predict(rated, compared, store, heads.weights_table(spark, _CHECKPOINTS), 16)
+    return out.withColumn("pred_score", F.round("pred_score", 5))
+
+
+@query("select 'emb/' || vec_id::varchar as path, (vec_id % 5)::float as acr, case when vec_id % 2 = 0 then 0.5::float end as ccr, 'unknown' as source, len(embedding) as n_feats, round(embedding[1]::double, 6) as first, 1 as n_wave from embeddings")
 def cached_or_not(spark, sf):
-    """Which features an item has, and the placeholder of its waveform, which nothing decodes."""
-    feats = t(spark, sf, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), F.size("embedding").alias("n_feats"))
-    rows = t(spark, sf, "documents").select("doc_id").where(F.col("doc_id") < t(spark, sf, "embeddings").count())
-    return rows.join(feats, "doc_id", "left").select("doc_id", "n_feats", F.col("n_feats").isNull().alias("lacks"), F.size(F.array(F.lit(0.0))).alias("n_wave"))
+    """Items whose features are stored: one kind of features, and a placeholder for the waveform, so that no clip is opened."""
+    path = C.join_path(F.lit("emb"), F.col("vec_id").cast("string"))
+    rows = t(spark, sf, "embeddings")
+    made = rows.select(path.alias("path"), (F.col("vec_id") % 5).alias("acr"), F.when(F.col("vec_id") % 2 == 0, 0.5).otherwise(F.lit(float("nan"))).alias("ccr"))
+    store = rows.select(C.content_key(path).alias("cache_key"), F.col("embedding").alias("features"))
+    items = inference.items(made, store, load_waveform=False)
+    return items.select("path", "acr", "ccr", "source", F.size("encoder_feats").alias("n_feats"), r6(F.get("encoder_feats", F.lit(0)).cast("double")).alias("first"), F.size("waveform").alias("n_wave"))
+
+
+@query("select 'emb/' || vec_id::varchar as path, len(embedding) as n, round(embedding[1]::double, 6) as first from embeddings")
+def store_round_trip(spark, sf):
+    """Features written by three appends, one of them run twice and one left without its commit, and read by path."""
+    path = C.join_path(F.lit("emb"), F.col("vec_id").cast("string")).alias("path")
+    rows = t(spark, sf, "embeddings").select(path, F.col("embedding").alias("features"), "vec_id")
+    store = feature_store.FeatureStore(spark, _scratch(spark, "store"), feature_store.store_schema(), buckets=16)
+    store.append("even", rows.where("vec_id % 2 = 0"))
+    store.write_part(rows.where("vec_id % 4 = 1"))  # its job dies here
+    for _ in range(2):
+        store.append("odd", rows.where("vec_id % 2 = 1"))
+    left = existence.still_to_do(rows.select("path"), store.read())
+    found = existence.read_features(rows.select("path"), store.read()).join(left, "path", "left_anti")
+    return found.select("path", F.size("features").alias("n"), r6(F.get("features", F.lit(0)).cast("double")).alias("first"))
 
 
 _WANTED = ("click", "purchase", "absent")
@@ -524,13 +591,7 @@ _WANTED = ("click", "purchase", "absent")
 @query(f"select path, source from ({_CLIPS}) where source in {_WANTED}")
 def source_gate(spark, sf):
     """Sources that are both asked for and there."""
-    clips = _clips(spark, sf).select("path", "source")
-    there = [r[0] for r in clips.select("source").distinct().collect()]  # a handful of sources
-    parts = manifest.chosen({s: clips.where(F.col("source") == s) for s in sorted(there)}, _WANTED)
-    empty = clips.limit(0)
-    for part in parts.values():
-        empty = empty.unionByName(part)
-    return empty
+    return _clips(spark, sf).select("path", "source").where(F.col("source").isin(*_WANTED))
 
 
 @query("select count(*) as n, count(distinct event_type) as n_types from events")
@@ -566,8 +627,92 @@ def literal_set(spark, sf):
     return spark.range(1).select(F.lit(same).alias("equal"))
 
 
-@query(f"select path, round(avg(acr), 6) as acr from ({_CLIPS}) group by path")
+@query(f"select *, count(*) over (partition by batch_id) as n_in_batch from (select path, (row_number() over (order by path) - 1) // 16 as batch_id, round(acr, 6) as acr from ({_CLIPS}))")
 def batched_predictions(spark, sf):
-    """Predictions of all batches stay rows; collecting them is a projection."""
+    """Predictions batch by batch, in order, the last batch short; collecting them is a union of rows."""
     batched = sampling.with_batches(_clips(spark, sf).select("path", "acr"), "path", 16)
-    return batched.groupBy("path").agg(r6(F.avg("acr")).alias("acr"))
+    sizes = batched.groupBy("batch_id").agg(F.count("*").alias("n_in_batch"))
+    return batched.join(sizes, "batch_id").select("path", "batch_id", r6("acr").alias("acr"), "n_in_batch")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared storage."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Manifest rows with the file's name for its path, which is another one at every run."""
+    return rows.select(C.base_name(F.col("path")).alias("clip"), r6("acr").alias("acr"), "ccr", "language", "system", "split", "source")
+
+
+def _listening_tests(spark: SparkSession, sf: str) -> manifest.Parsed:
+    """Events as ratings without a header, in two tables; of 50 lines one has no number, one too many values, one no score."""
+    e, folder = t(spark, sf, "events"), _scratch(spark, "ratings")
+    clip = F.concat(F.col("event_type"), F.lit("-"), F.col("user_id").cast("string"), F.lit(".wav"))
+    kind = F.col("event_id") % 50
+    score = F.when(kind == 0, "loud").when(kind == 2, "").otherwise(F.col("value").cast("string"))
+    line = F.concat_ws(",", F.col("event_type"), clip, score, F.lit("s"), F.when(kind == 1, "young,left").otherwise("old"))
+    label = F.when(F.col("event_id") % 2 == 0, "train").otherwise("dev")
+    e.select(line.alias("value"), label.alias("label")).write.partitionBy("label").text(folder)
+    there = e.where("user_id % 3 <> 0").select(C.join_path(F.lit("wav"), clip).alias("path"))
+    return manifest.parse_bvcc(spark, {x: f"{folder}/label={x}" for x in ("train", "dev")}, "wav", there)
+
+
+@query("""select event_type || '-' || user_id::varchar || '.wav' as clip, round(avg(value) filter (event_id % 50 <> 2), 6) as acr, null::double as ccr, 'en' as language, event_type as system, case when event_id % 2 = 0 then 'train' else 'dev' end as split, 'bvcc' as source
+    from events where event_id % 50 not in (0, 1) and user_id % 3 <> 0 group by event_type, user_id, event_id % 2""")
+def parse_listening_tests(spark, sf):
+    return _shown(_listening_tests(spark, sf).rows)
+
+
+@query("select case when event_id % 50 = 0 then 'score is not double' else 'columns' end as reason, case when event_id % 2 = 0 then 'label=train' else 'label=dev' end as folder, count(*) as n from events where event_id % 50 in (0, 1) group by all")
+def rejected_lines(spark, sf):
+    """The lines that the parser put aside."""
+    bad = _listening_tests(spark, sf).rejected
+    return bad.groupBy("reason", F.element_at(F.split("file", "/"), -2).alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query("select l_returnflag || '_' || l_suppkey::varchar || '.wav' as clip, round(avg(l_quantity), 6) as acr, null::double as ccr, 'zh' as language, l_returnflag as system, 'train' as split, 'tmhint' as source from lineitem where l_linenumber <> 7 and l_suppkey % 4 <> 0 group by l_returnflag, l_suppkey")
+def parse_named_clips(spark, sf):
+    rows, folder = t(spark, sf, "lineitem"), _scratch(spark, "named")
+    name = F.concat_ws("_", "l_returnflag", F.col("l_suppkey").cast("string"))
+    score = F.when(F.col("l_linenumber") == 7, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    rows.select(name.alias("file_name"), F.lit("x").alias("rater"), score.alias("quality_score")).write.option("header", True).csv(folder)
+    there = rows.where("l_suppkey % 4 <> 0").select(C.join_path(F.lit("wav"), F.concat(name, F.lit(".wav"))).alias("path"))
+    return _shown(manifest.parse_tmhint(spark, folder, "wav", there).rows)
+
+
+@query("select 'c' || p_partkey::varchar || '.wav' as clip, round(p_retailprice / 300.0::double, 6) as acr, null::double as ccr, 'en' as language, 'unknown' as system, 'train' as split, 'audiomos' as source from part where p_partkey % 10 <> 3 and p_partkey % 5 <> 0")
+def parse_single_scores(spark, sf):
+    rows, folder = t(spark, sf, "part"), _scratch(spark, "single")
+    name = F.concat(F.lit("c"), F.col("p_partkey").cast("string"), F.lit(".wav"))
+    rate = F.when(F.col("p_partkey") % 10 == 3, "16k").otherwise("16000")
+    rows.select(name.alias("filename"), (F.col("p_retailprice") / 300.0).cast("string").alias("mos"), rate.alias("sr")).write.option("header", True).csv(folder)
+    there = rows.where("p_partkey % 5 <> 0").select(C.join_path(F.lit("wav"), name).alias("path"))
+    return _shown(manifest.parse_audiomos(spark, folder, "wav", there).rows)
+
+
+@query("select 'c' || p_partkey::varchar || '.wav' as clip, round(p_retailprice / 300.0::double, 6) as acr, null::double as ccr, 'en' as language, case p_partkey % 3 when 0 then 'NISQA_TRAIN_SIM' else 'NISQA_VAL_LIVE' end as system, 'train' as split, 'nisqa' as source from part where p_partkey % 3 <> 2 and p_partkey % 7 <> 0")
+def parse_subsets(spark, sf):
+    """The corpus' table is found among others by its columns, and its test subset is left out."""
+    rows, folder = t(spark, sf, "part"), _scratch(spark, "subsets")
+    name = F.concat(F.lit("deg/c"), F.col("p_partkey").cast("string"), F.lit(".wav"))
+    subset = F.element_at(F.array(F.lit("NISQA_TRAIN_SIM"), F.lit("NISQA_VAL_LIVE"), F.lit("NISQA_TEST_P501")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows.limit(1).select(subset.alias("db"), F.lit(1).alias("con")).write.option("header", True).csv(f"{folder}/a")
+    # One file, as the corpus has it; a table of millions would be a folder of its own for ``checked_csv``.
+    rows.select(subset.alias("db"), name.alias("filepath_deg"), (F.col("p_retailprice") / 300.0).cast("string").alias("mos")).coalesce(1).write.option("header", True).csv(f"{folder}/b")
+    there = rows.where("p_partkey % 7 <> 0").select(C.join_path(F.lit(folder), name).alias("path"))
+    return _shown(manifest.parse_nisqa(spark, folder, there, "*.csv").rows)
+
+
+@query(f"""select run, max(epoch) + 1 as next_epoch, max(best) filter (epoch = last) as best_dev, round(max(w) filter (epoch = last), 6) as weight from (
+    select h.*, w, max(h.epoch) over (partition by h.run) as last, greatest(-1.0::double, coalesce(max(dev) over (partition by h.run order by h.epoch), -1.0::double)) as best
+    from ({_HISTORY}) h join (select event_type as run, day(ts)::bigint as epoch, avg(value) as w from events group by all) using (run, epoch) where epoch <= 20) group by run""")
+def resume_after_abort(spark, sf):
+    """Where runs go on after two saves and a third one that died before its pointer moved."""
+    weight = t(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").cast("long").alias("epoch")).agg(F.array(F.avg("value")).alias("values"))
+    rows = _history(spark, sf).join(weight, ["run", "epoch"]).withColumn("param", F.lit("head.w"))
+    table = checkpoint_table.CheckpointTable(spark, _scratch(spark, "runs"))
+    table.save(rows.where("epoch <= 10"))
+    table.save(rows.where("epoch > 9 and epoch <= 20"))
+    table.write(rows.where("epoch > 20"))
+    return table.resume().select("run", "next_epoch", "best_dev", r6(F.get("values", F.lit(0))).alias("weight"))

@@ -38,33 +38,52 @@ def items(manifest: DataFrame, store: DataFrame | None = None, files: DataFrame
     return with_features(rows, store, files, load_waveform)
 
 
-def score_paths(paths: DataFrame, store: DataFrame, weights: heads.Weights, width: int, files: DataFrame | None = None) -> DataFrame:
-    """(path, acr, ccr): every distinct path scored once."""
-    own = with_features(paths.select("path").distinct(), store, files, load_waveform="mel_w" in weights)
-    return heads.score_clips(own.select("path", F.col("encoder_feats").alias("features"), F.col("waveform").alias("samples")), weights, width)
+def score_paths(paths: DataFrame, store: DataFrame, table: DataFrame, width: int, files: DataFrame | None = None) -> DataFrame:
+    """(checkpoint, path, acr, ccr): every distinct path, with its features read once, scored by every checkpoint."""
+    with_mel = not table.where("param = 'mel_w'").isEmpty()
+    own = with_features(paths.select("path").distinct(), store, files, load_waveform=with_mel)
+    return heads.score_checkpoints(own.select("path", F.col("encoder_feats").alias("features"), F.col("waveform").alias("samples")), table, width)
 
 
 def predictions(rated: DataFrame, compared: DataFrame, scores: DataFrame, mode: str = "clamp") -> DataFrame:
-    """(sample_id, pred_score) of rated (sample_id, path) and compared (sample_id, path_a, path_b) clips.
+    """(checkpoint, sample_id, pred_score) of rated (sample_id, path) and compared (sample_id, path_a, path_b) clips.
 
-    A comparison is the difference of its clips' scores. Both kinds are held within their range (``clamp``), or mapped
-    onto it in their order (``rescale``).
+    ``scores`` are (checkpoint, path, acr). A comparison is the difference of its clips' scores by the same checkpoint.
+    Both kinds are held within their range (``clamp``), or mapped onto it in their order, by checkpoint (``rescale``). A
+    clip that a checkpoint has no score of fails the query.
     """
-    fit = {"clamp": scoring.clamped, "rescale": scoring.rescaled}[mode]
-    acr = scoring.lookup(rated, scores, "path", "path", "acr", "pred_score")
-    ccr = scoring.pair_difference(compared, scores, "path_a", "path_b", "path", "acr").withColumnRenamed("diff", "pred_score")
-    return scoring.stacked(fit(acr, "pred_score", *ACR_RANGE), fit(ccr, "pred_score", *CCR_RANGE))
+    every = scores.select("checkpoint").distinct()  # a handful
+    per = lambda rows: rows.join(F.broadcast(every))
+    side = scores.select(F.struct("checkpoint", "path").alias("__clip"), "acr")
+    clip = lambda path: F.struct("checkpoint", F.col(path).alias("path"))
+    acr = scoring.lookup(per(rated).withColumn("__at", clip("path")), side, "__at", "__clip", "acr", "pred_score").select("checkpoint", "sample_id", "pred_score")
+    both = per(compared).withColumns({"__a": clip("path_a"), "__b": clip("path_b")})
+    ccr = scoring.pair_difference(both, side, "__a", "__b", "__clip", "acr").select("checkpoint", "sample_id", F.col("diff").alias("pred_score"))
+    if mode == "clamp":
+        parts = [scoring.clamped(x, "pred_score", *to) for x, to in ((acr, ACR_RANGE), (ccr, CCR_RANGE))]
+    elif mode == "rescale":
+        parts = [scoring.rescaled(x, "pred_score", *to, group=["checkpoint"]) for x, to in ((acr, ACR_RANGE), (ccr, CCR_RANGE))]
+    else:
+        raise ValueError(f"neither clamp nor rescale: {mode}")
+    return parts[0].unionByName(parts[1])
 
 
-def predict(rated: DataFrame, compared: DataFrame, store: DataFrame, weights: heads.Weights, width: int, files: DataFrame | None = None, mode: str = "clamp") -> DataFrame:
-    """From manifests and features to predictions; scores are computed once and looked up three times."""
+def predict(rated: DataFrame, compared: DataFrame, store: DataFrame, table: DataFrame, width: int, files: DataFrame | None = None, mode: str = "clamp") -> DataFrame:
+    """From manifests, features and a table of checkpoints to predictions; scores are computed once and looked up three times."""
     paths = required(rated, "rated clips").select("path").unionByName(scoring.paths_of_pairs(compared, "path_a", "path_b"))
-    return predictions(rated, compared, cut(score_paths(paths, store, weights, width, files)), mode)
+    return predictions(rated, compared, cut(score_paths(paths, store, table, width, files)), mode)
+
 
+def submissions(rated: DataFrame, compared: DataFrame, store: DataFrame, table: DataFrame, width: int, folder: str, files: DataFrame | None = None, mode: str = "clamp") -> dict[str, str]:
+    """A zipped table of predictions for each checkpoint, all from one plan; the archives' paths by checkpoint.
 
-def submissions(rated: DataFrame, compared: DataFrame, store: DataFrame, checkpoints: dict[str, heads.Weights], width: int, folder: str, files: DataFrame | None = None, mode: str = "clamp") -> dict[str, str]:
-    """A zipped table of predictions for each named checkpoint; the files' paths by name."""
-    return {name: writers.zip_predictions(predict(rated, compared, store, w, width, files, mode), f"{folder}/submission_{name}.zip") for name, w in checkpoints.items()}
+    Predictions are written once, partitioned by checkpoint, below ``folder``.
+    """
+    spark, whole = rated.sparkSession, f"{folder}/predictions"
+    predict(rated, compared, store, table, width, files, mode).write.mode("overwrite").partitionBy("checkpoint").parquet(whole)
+    rows = spark.read.parquet(whole).withColumn("checkpoint", F.col("checkpoint").cast("string"))
+    names = [r[0] for r in table.select("checkpoint").distinct().orderBy("checkpoint").collect()]
+    return {name: writers.zip_predictions(rows.where(F.col("checkpoint") == name), f"{folder}/submission_{name}.zip") for name in names}
 
 
 def cache_keys(rows: DataFrame) -> DataFrame:

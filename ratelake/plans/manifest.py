@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ QUALITY_COLUMNS = {"db", "filepath_deg", "mos"}
 SOURCE_ORDER = ("bvcc", "tmhint", "audiomos", "nisqa")
 
 
+class Parsed(NamedTuple):
+    """A corpus' manifest rows, and (file, line, reason) of the lines of its tables that could not be read."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    counts: DataFrame | None = None
+
+
 def mean_rating(ratings: DataFrame, key: str, score: str) -> DataFrame:
     """(key, acr): mean over raters; missing keys and scores don't count."""
     return ratings.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(score).alias("acr"))
@@ -33,37 +42,40 @@ def project(rated: DataFrame, path: Column, acr: Column, language: str, system:
     return rated.select(path.alias("path"), acr.cast("double").alias("acr"), F.lit(None).cast("double").alias("ccr"), F.lit(language).alias("language"), system.alias("system"), F.lit(split).alias("split"), F.lit(source).alias("source"))
 
 
-def parse_bvcc(spark: SparkSession, tables: dict[str, str], wav_dir: str, listing: DataFrame) -> DataFrame:
+def parse_bvcc(spark: SparkSession, tables: dict[str, str], wav_dir: str, listing: DataFrame) -> Parsed:
     """Headerless listener ratings by split label (train, dev)."""
-    parts = []
+    parts, bad = [], []
     for label, path in tables.items():
-        rated = mean_rating(readers.csv(spark, path, readers.LISTENER_RATINGS, header=False), "filename", "score")
+        ratings, rejected = readers.checked_csv(spark, path, readers.LISTENER_RATINGS, "filename", header=False)
+        rated = mean_rating(ratings, "filename", "score")
         parts.append(project(rated, join_path(F.lit(wav_dir), "filename"), F.col("acr"), "en", first_token(F.col("filename"), "-"), "bvcc", label))
-    return existence.existing(reduce(DataFrame.unionByName, parts), listing, "path")
+        bad.append(rejected)
+    return Parsed(existence.existing(reduce(DataFrame.unionByName, parts), listing, "path"), reduce(DataFrame.unionByName, bad))
 
 
-def parse_tmhint(spark: SparkSession, table: str, wav_dir: str, listing: DataFrame) -> DataFrame:
-    rated = mean_rating(readers.csv(spark, table, "file_name string, quality_score double"), "file_name", "quality_score")
+def parse_tmhint(spark: SparkSession, table: str, wav_dir: str, listing: DataFrame) -> Parsed:
+    ratings, rejected = readers.checked_csv(spark, table, "file_name string, quality_score double", "file_name")
+    rated = mean_rating(ratings, "file_name", "quality_score")
     path = join_path(F.lit(wav_dir), F.concat("file_name", F.lit(".wav")))
-    return existence.existing(project(rated, path, F.col("acr"), "zh", first_token(F.col("file_name"), "_"), "tmhint"), listing, "path")
+    return Parsed(existence.existing(project(rated, path, F.col("acr"), "zh", first_token(F.col("file_name"), "_"), "tmhint"), listing, "path"), rejected)
 
 
-def parse_audiomos(spark: SparkSession, table: str, wav_dir: str, listing: DataFrame) -> DataFrame:
+def parse_audiomos(spark: SparkSession, table: str, wav_dir: str, listing: DataFrame) -> Parsed:
     """One row per clip already."""
-    rows = readers.csv(spark, table, "filename string, mos double, sr integer")
-    return existence.existing(project(rows, join_path(F.lit(wav_dir), "filename"), F.col("mos"), "en", F.lit("unknown"), "audiomos"), listing, "path")
+    rows, rejected = readers.checked_csv(spark, table, "filename string, mos double, sr integer", "filename")
+    return Parsed(existence.existing(project(rows, join_path(F.lit(wav_dir), "filename"), F.col("mos"), "en", F.lit("unknown"), "audiomos"), listing, "path"), rejected)
 
 
-def parse_nisqa(spark: SparkSession, folder: str, listing: DataFrame, pattern: str = "NISQA_corpus*.csv") -> tuple[DataFrame, DataFrame] | None:
-    """Rows of the usable subsets, and (subset, n_kept, n_missing); None if the corpus isn't there."""
+def parse_nisqa(spark: SparkSession, folder: str, listing: DataFrame, pattern: str = "NISQA_corpus*.csv") -> Parsed | None:
+    """Rows of the usable subsets, with (subset, n_kept, n_missing) as ``counts``; None if the corpus isn't there."""
     table = readers.discover(spark, folder, pattern, QUALITY_COLUMNS)
     if table is None:
         return None
-    rows = readers.csv(spark, table, "db string, filepath_deg string, mos double")
+    rows, rejected = readers.checked_csv(spark, table, "db string, filepath_deg string, mos double", "filepath_deg")
     usable = reduce(lambda a, b: a | b, [F.col("db").startswith(p) for p in QUALITY_SUBSETS])
     made = project(rows.where(usable), join_path(F.lit(folder), "filepath_deg"), F.col("mos"), "en", F.col("db"), "nisqa")
     counts = existence.kept_and_missing(made, listing, "path", "system")
-    return existence.existing(made, listing, "path"), counts
+    return Parsed(existence.existing(made, listing, "path"), rejected, counts)
 
 
 def chosen(parts: dict[str, DataFrame], wanted: Iterable[str], folders: dict[str, str] | None = None) -> dict[str, DataFrame]:

@@ -43,6 +43,41 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool
     return df.withColumns({c: missing_as_null(F.col(c)) for c in doubles}) if doubles else df
 
 
+_BROKEN = "__broken"
+
+
+def checked_csv(spark: SparkSession, path: str, schema: T.StructType | str, key: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): a CSV by an explicit schema, and (file, line, reason) of the lines that don't fit it.
+
+    All values are read as text and cast afterwards, so that a line whose number is none is told from one whose number is
+    missing (empty or NaN), which stays with NULL. A line with more or fewer values than columns is rejected whole, and so
+    is one without its ``key``.
+    """
+    if isinstance(schema, str):
+        schema = _schema(schema)
+    there = spark.read.option("header", True).csv(path).columns if header else schema.names
+    if lacking := set(schema.names) - set(there):
+        raise AssertionError(f"no columns {sorted(lacking)} in {path}; seen {there}")
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*there, _BROKEN]])
+    # With columns pruned Spark would not count a line's values.
+    read = spark.read.schema(texts).option("mode", "PERMISSIVE").option("columnPruning", False).option("columnNameOfCorruptRecord", _BROKEN).option("enforceSchema", not header)
+    lines = read.csv(path, header=header).withColumn("__file", F.col("_metadata.file_path"))
+    reason = F.when(F.col(_BROKEN).isNotNull(), F.lit("columns"))
+    for f in schema.fields:
+        text = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            continue
+        wrong = text.isNotNull() & (F.lower(F.trim(text)) != "nan") & text.try_cast(f.dataType).isNull()
+        reason = F.coalesce(reason, F.when(wrong, F.lit(f"{f.name} is not {f.dataType.simpleString()}")))
+    reason = F.coalesce(reason, F.when(F.col(f"`{key}`").isNull(), F.lit(f"no {key}")))
+    marked = lines.withColumn("__reason", reason)
+    line = F.coalesce(F.col(_BROKEN), F.concat_ws(",", *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in there]))
+    rejected = marked.where(F.col("__reason").isNotNull()).select(F.col("__file").alias("file"), line.alias("line"), F.col("__reason").alias("reason"))
+    good = marked.where(F.col("__reason").isNull()).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return good.withColumns({c: missing_as_null(F.col(c)) for c in doubles}) if doubles else good, rejected
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest CSV; a file without ``source`` reads as unknown."""
     df = csv(spark, path, MANIFEST)

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratelake.functions import columns as C
-from ratelake.operators import arrays, existence, heads, metrics, normalize, ranking, runs, sampling, scoring, signal
+from ratelake.operators import arrays, checkpoint_table, existence, feature_store, heads, metrics, normalize, ranking, runs, sampling, scoring, signal
 from ratelake.plans import manifest
-from ratelake.sources import readers, writers
+from ratelake.sources import files, readers, writers
 
 
 def one(df):
@@ -366,20 +366,23 @@ def test_predict(spark, tmp_path):
     compared = spark.createDataFrame([(f"p{i}", f"/c{i}.wav", f"/c{7 - i}.wav") for i in range(8)], "sample_id string, path_a string, path_b string")
     w = heads.make_weights(4, 4)
     raw = {p: heads.forward(np.float32(v).astype(float).reshape(-1, 4), w)[0] for p, v in feats.items()}
-    got = {r.sample_id: r.pred_score for r in inference.predict(rated, compared, store, w, 4).collect()}
+    both = heads.weights_table(spark, {"one": w, "two": heads.make_weights(4, 4, seed=1)})
+    made = inference.predict(rated, compared, store, both, 4)
+    assert made.where("checkpoint = 'two'").count() == 17
+    got = {r.sample_id: r.pred_score for r in made.where("checkpoint = 'one'").collect()}
     exp = {f"r{i}": min(5.0, max(1.0, raw[f"/c{i % 6}.wav"])) for i in range(9)} | {f"p{i}": min(3.0, max(-3.0, raw[f"/c{i}.wav"] - raw[f"/c{7 - i}.wav"])) for i in range(8)}
     assert got == pytest.approx(exp)
-    scaled = {r.sample_id: r.pred_score for r in inference.predict(rated, compared, store, w, 4, mode="rescale").collect()}
+    scaled = {r.sample_id: r.pred_score for r in inference.predict(rated, compared, store, both, 4, mode="rescale").where("checkpoint = 'one'").collect()}
     for kind, lo, hi in (("r", 1, 5), ("p", -3, 3)):
         own = {k: v for k, v in scaled.items() if k[0] == kind}
         assert min(own.values()) == pytest.approx(lo) and max(own.values()) == pytest.approx(hi)
         values = {f"r{i}": raw[f"/c{i % 6}.wav"] for i in range(9)} | {f"p{i}": raw[f"/c{i}.wav"] - raw[f"/c{7 - i}.wav"] for i in range(8)}
         order = sorted(own, key=values.get)
         assert all(own[a] <= own[b] + 1e-9 for a, b in zip(order, order[1:]))
-    zips = inference.submissions(rated, compared, store, {"one": w, "two": heads.make_weights(4, 4, seed=1)}, 4, str(tmp_path))
+    zips = inference.submissions(rated, compared, store, both, 4, str(tmp_path))
     assert all(len(zipfile.ZipFile(z).read("predictions.csv").decode().splitlines()) == 18 for z in zips.values()) and len(zips) == 2
     with pytest.raises(AssertionError, match="rated clips is empty"):
-        inference.predict(rated.limit(0), compared, store, w, 4)
+        inference.predict(rated.limit(0), compared, store, both, 4)
 
 
 def test_small_operators(spark):
@@ -493,24 +496,52 @@ def test_parsers(spark, tmp_path):
         (wavs / n).write_bytes(wav(np.zeros(160), 16000))
     (tmp_path / "t.csv").write_text("file_name,quality_score\nsys1_utt001,3.0\nsys1_utt001,4.0\nsys1_utt002,4.0\nsys9_gone,1.0\n")
     listing = readers.listing(spark, str(wavs))
-    rows = {r.path: r for r in manifest.parse_tmhint(spark, str(tmp_path / "t.csv"), str(wavs), listing).collect()}
+    rows = {r.path: r for r in manifest.parse_tmhint(spark, str(tmp_path / "t.csv"), str(wavs), listing).rows.collect()}
     assert len(rows) == 2 and rows[f"{wavs}/sys1_utt001.wav"].acr == 3.5 and rows[f"{wavs}/sys1_utt001.wav"].system == "sys1"
     (tmp_path / "b.csv").write_text("s1,a.wav,2,x,y\ns1,a.wav,4,x,y\n")
-    assert one(manifest.parse_bvcc(spark, {"dev": str(tmp_path / "b.csv")}, str(wavs), listing)).acr == 3.0
+    assert one(manifest.parse_bvcc(spark, {"dev": str(tmp_path / "b.csv")}, str(wavs), listing).rows).acr == 3.0
     (tmp_path / "m.csv").write_text("filename,mos,sr\na.wav,3.2,16000\n")
-    assert one(manifest.parse_audiomos(spark, str(tmp_path / "m.csv"), str(wavs), listing)).acr == 3.2
+    assert one(manifest.parse_audiomos(spark, str(tmp_path / "m.csv"), str(wavs), listing).rows).acr == 3.2
     corpus = tmp_path / "nisqa"
     (corpus / "deg").mkdir(parents=True)
     for n in "abc":
         (corpus / "deg" / f"{n}.wav").write_bytes(b"x")
     (corpus / "NISQA_corpus_con.csv").write_text("db,con,mos\nNISQA_TRAIN_SIM,1,3.0\n")
     (corpus / "NISQA_corpus_file.csv").write_text("db,filepath_deg,mos\nNISQA_TRAIN_SIM,deg/a.wav,3.1\nNISQA_VAL_LIVE,deg/b.wav,4.2\nNISQA_TEST_P501,deg/c.wav,2.0\n")
-    found, counts = manifest.parse_nisqa(spark, str(corpus), readers.listing(spark, str(corpus)))
+    found, _, counts = manifest.parse_nisqa(spark, str(corpus), readers.listing(spark, str(corpus)))
     assert sorted(r.system for r in found.collect()) == ["NISQA_TRAIN_SIM", "NISQA_VAL_LIVE"] and sum(r.n_kept for r in counts.collect()) == 2
-    whole = manifest.build({"tmhint": manifest.parse_tmhint(spark, str(tmp_path / "t.csv"), str(wavs), listing), "nisqa": found}, per_source_z=True)
+    whole = manifest.build({"tmhint": manifest.parse_tmhint(spark, str(tmp_path / "t.csv"), str(wavs), listing).rows, "nisqa": found}, per_source_z=True)
     assert whole.columns == readers.MANIFEST.names and whole.count() == 4
 
 
+def test_rejected_lines(spark, tmp_path):
+    """Lines that don't fit are told apart from missing values, with their file and reason."""
+    (tmp_path / "t.csv").write_text('file_name,quality_score,note\na,3.0,x\nb,,x\nc,NaN,x\nd,four,x\n,2.0,x\ne,5.0\nf,1.0,x,y\n"g,h",2.5,"x ""q"""\n')
+    rows, rejected = readers.checked_csv(spark, str(tmp_path / "t.csv"), "file_name string, quality_score double", "file_name")
+    assert {(r.file_name, r.quality_score) for r in rows.collect()} == {("a", 3.0), ("b", None), ("c", None), ("g,h", 2.5)}
+    assert {(r.line, r.reason) for r in rejected.collect()} == {("d,four,x", "quality_score is not double"), (",2.0,x", "no file_name"), ("e,5.0", "columns"), ("f,1.0,x,y", "columns")}
+    assert {r.file.rpartition("/")[2] for r in rejected.collect()} == {"t.csv"} and rejected.count() == 4
+    with pytest.raises(AssertionError, match="no columns"):
+        readers.checked_csv(spark, str(tmp_path / "t.csv"), "file_name string, score double", "file_name")
+
+
+def test_checkpoint_table(spark, tmp_path):
+    """What a run resumes from is whole, whatever died in between."""
+    table = checkpoint_table.CheckpointTable(spark, f"file://{tmp_path}/runs")
+    epochs = lambda lo, hi, dev, w: spark.createDataFrame([("r", e, dev.get(e, 0.1), "head.w", [w + e, 1.0]) for e in range(lo, hi)], checkpoint_table.SCHEMA)
+    assert table.versions() == [] and table.resume().count() == 0
+    table.save(epochs(1, 4, {2: 0.5}, 0.0))
+    assert one(table.resume()) == ("r", 4, 0.5, "head.w", [3.0, 1.0])
+    lost = table.write(epochs(4, 7, {5: 0.9}, 100.0))  # dies before the pointer moves
+    assert one(table.resume()) == ("r", 4, 0.5, "head.w", [3.0, 1.0])
+    table.save(epochs(3, 6, {4: 0.7}, 10.0))  # goes on, with epoch 3 again
+    assert one(table.resume()) == ("r", 6, 0.7, "head.w", [15.0, 1.0])
+    got = {(r.kind, r.epoch, r.values[0]) for r in table.kept(2).collect()}
+    assert got == {("last", 5, 15.0), ("best", 4, 14.0), ("periodic", 2, 2.0), ("periodic", 4, 14.0)}
+    table.vacuum()
+    assert lost not in files.names(spark, f"{table.folder}/versions") and one(table.resume())[1] == 6
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("/a.wav", 3.5)], "path string, acr double")
     writers.write_manifest(df, str(tmp_path / "m"), single=True)
@@ -523,13 +554,134 @@ def test_sinks(spark, tmp_path):
 
 
 def test_feature_store(spark, tmp_path):
-    store = str(tmp_path / "store")
-    rows = spark.createDataFrame([("/a.wav", [1.0]), ("/b.wav", [2.0])], "path string, features array<double>")
-    existence.append_features(rows.where("path = '/a.wav'").select(C.content_key(F.col("path")).alias("cache_key"), "features"), store)
-    left = existence.still_to_do(rows.select("path"), spark.read.parquet(store))
-    assert [r.path for r in left.collect()] == ["/b.wav"]
+    """A retried append counts once, one without its commit not at all, and reads shuffle nothing of the store."""
+    store = feature_store.FeatureStore(spark, f"file://{tmp_path}/store", feature_store.store_schema(), buckets=4)
+    rows = spark.createDataFrame([(f"/{i}.wav", [float(i), 0.5]) for i in range(40)], "path string, features array<float>")
+    early, late = rows.where("features[0] < 25"), rows.where("features[0] >= 20")
+    assert store.read().count() == 0 and store.commits() == {}
+    lost = store.write_part(late)  # its job dies before the commit
+    assert store.append("early", early) and not store.append("early", early) and store.read().count() == 25
+    again = store.write_part(early.limit(3))
+    assert not store.commit("early", again) and store.read().count() == 25  # two jobs of one name: the first counts
+    assert sorted(r.path for r in existence.still_to_do(rows.select("path"), store.read()).collect()) == sorted(f"/{i}.wav" for i in range(25, 40))
     with pytest.raises(Exception, match="no features"):
-        existence.read_features(rows.select("path"), spark.read.parquet(store)).collect()
+        existence.read_features(rows.select("path"), store.read()).collect()
+    assert store.append("late", late)  # five keys again
+    read = existence.read_features(rows.select("path"), store.read())
+    assert {r.path: r.features for r in read.collect()} == {f"/{i}.wav": [float(i), 0.5] for i in range(40)}
+    assert sorted(store.commits()) == ["early", "late"] and lost not in store.commits().values()
+    with pytest.raises(ValueError, match="not a name"):
+        store.commit("a/b", lost)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = existence.read_features(rows.select("path"), store.read())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "Exchange" not in plan[plan.index("Window") :]
+    other = feature_store.FeatureStore(spark.newSession(), store.folder, store.schema, 4)
+    assert other.read().count() == 40
+
+
+def test_shuffled_batches(spark):
+    """Every row once in each epoch, epochs differ, and partitions don't matter."""
+    for n in (0, 1, 2, 5, 17, 64, 1000):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        got = sampling.shuffled_batches(df, "k", 8, range(3), seed=3).collect()
+        for e in range(3):
+            assert sorted(r.batch_id * 8 + r.slot for r in got if r.epoch == e) == list(range(n))
+            assert sorted(r.k for r in got if r.epoch == e) == list(range(n))
+        if n == 1000:
+            order = [[r.k for r in sorted((r for r in got if r.epoch == e), key=lambda r: (r.batch_id, r.slot))] for e in range(3)]
+            assert all(sum(a == b for a, b in zip(x, y)) < 20 for x, y in ((order[0], order[1]), (order[1], order[2]), (order[0], sorted(order[0]))))
+            # No trace of the order: the mean distance of neighbours is that of random places.
+            assert abs(np.abs(np.diff(order[0])).mean() - 1000 / 3) < 40
+            again = sampling.shuffled_batches(df.repartition(7), "k", 8, [2], seed=3).collect()
+            assert sorted((r.k, r.batch_id, r.slot) for r in again) == sorted((r.k, r.batch_id, r.slot) for r in got if r.epoch == 2)
+
+
+def brute_rank(rows):
+    """Pairs of unequal targets and their mean hinge, for rows (pred, target)."""
+    lost, n = 0.0, 0
+    for i, (p, t) in enumerate(rows):
+        for q, u in rows[:i]:
+            if t != u:
+                n += 1
+                lost += max(0.0, (q - p) * (1 if t > u else -1))
+    return n, lost / n if n else 0.0
+
+
+def test_pair_rank_without_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [("tied", float(rng.integers(0, 4)), float(rng.integers(0, 3)), "a") for _ in range(60)]
+    rows += [("wide", float(rng.normal()), float(rng.normal()), "ab"[i % 2]) for i in range(90)]
+    rows += [("one", 1.0, 2.0, "a"), ("equal", 1.0, 2.0, "a"), ("equal", 3.0, 2.0, "a"), ("none", 1.0, None, "a"), ("alone", 1.0, 1.0, "a"), ("alone", 0.0, 2.0, "b")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, b string, p double, t double, s string")
+    for source in (None, "s"):
+        for most in (1 << 16, 7):  # groups in several ranges of predictions
+            got = {r.b: (r.n_pairs, r.rank_loss) for r in ranking.pair_rank(df, "b", "k", "p", "t", source, range_rows=most).collect()}
+            for b in {r[0] for r in rows}:
+                parts = [brute_rank([(p, t) for x, p, t, s in rows if x == b and t is not None and (source is None or s == one_)]) for one_ in ("ab" if source else "a")]
+                n = sum(k for k, _ in parts)
+                assert got[b][0] == n and got[b][1] == pytest.approx(sum(k * v for k, v in parts) / n if n else 0.0, abs=1e-9)
+    odd = spark.createDataFrame([(1, "x", float("nan"), 1.0), (2, "x", 1.0, 2.0), (3, "y", float("nan"), 1.0), (4, "y", 1.0, 1.0), (5, "z", None, 1.0), (6, "z", 9.0, 0.0)], "k long, b string, p double, t double")
+    got = {r.b: (r.n_pairs, r.rank_loss) for r in ranking.pair_rank(odd, "b", "k", "p", "t").collect()}
+    assert got["x"][0] == 1 and math.isnan(got["x"][1]) and got["y"] == (0, 0.0) and got["z"] == (1, 0.0)
+
+
+def test_pair_rank_large_batch(spark):
+    """A batch of 60,000 rows (1.8 thousand million pairs)."""
+    n = 60_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit(0).alias("b"), ((F.col("id") * 7919) % n).cast("double").alias("p"), ((F.col("id") * 104729) % 1009).cast("double").alias("t"))
+    r = one(ranking.pair_rank(df, "b", "k", "p", "t", range_rows=1 << 13))
+    i = np.arange(n)
+    p, t = (i * 7919 % n).astype(float), i * 104729 % 1009
+    order = np.lexsort((p, t))
+    p, t = p[order], t[order]
+    lost = pairs_ = 0
+    below = np.zeros(0)
+    for value in np.unique(t):  # rows of one target against all lower ones, in order of predictions
+        own = p[t == value]
+        at = np.searchsorted(below, own)
+        upto = np.concatenate([[0], np.cumsum(below)])
+        lost += ((upto[-1] - upto[at]) - (len(below) - at) * own).sum()
+        pairs_ += len(own) * len(below)
+        below = np.sort(np.concatenate([below, own]))
+    assert r.n_pairs == pairs_ and r.rank_loss == pytest.approx(lost / pairs_, rel=1e-9)
+
+
+def test_ranks_by_splitters(spark):
+    """Lognormal values with one far outlier: ranges of distinct values are even, ties and borders are right."""
+    rng = np.random.default_rng(12)
+    values = np.round(rng.lognormal(0, 2, 30_000), 3).tolist() + [1e300, -1e300] + [1.5] * 5000
+    df = spark.createDataFrame([("g", v) for v in values] + [("h", 1.0), ("h", 1.0), (None, 3.0)], "g string, v double")
+    counts = df.groupBy("g", "v").count()
+    cuts = metrics.splitters(counts, ["g"], "v", most=1000)
+    (row,) = cuts.collect()
+    sizes = np.bincount(np.searchsorted(row["__splitters"], np.unique(values)), minlength=metrics.RANGES)
+    assert row.g == "g" and sizes.max() < 2 * sizes.mean() and sizes.sum() == len(set(values))
+    got = {(r.g, r.v): r.k for r in metrics.average_ranks(df, ["g"], "v", "k", most=1000).collect()}
+    ranks = {("h", 1.0): 1.5, (None, 3.0): 1.0}
+    at = 0
+    for v, n in zip(*np.unique(values, return_counts=True)):
+        ranks["g", v] = at + (n + 1) / 2
+        at += n
+    assert got == ranks
+
+
+def test_attention_in_one_pass(spark):
+    """Clips of 1,500 frames of 1,024 values in blocks, one shuffle; extreme scores; blocks anywhere."""
+    rng = np.random.default_rng(13)
+    clips = {f"c{k}": (rng.normal(size=1500) * (200 if k else 1), rng.normal(size=(1500, 1024)).astype(np.float32)) for k in range(2)}
+    rows = [(c, s[i : i + 100].tolist(), v[i : i + 100].ravel().tolist()) for c, (s, v) in clips.items() for i in range(0, 1500, 100)] + [("empty", [], [])]
+    df = spark.createDataFrame(rows, "c string, s array<double>, v array<float>").repartition(5)
+    pooled = arrays.attention_pool_blocks(df, "c", "s", "v")
+    got = {r.c: r.pooled for r in pooled.collect()}
+    for c, (s, v) in clips.items():
+        w = np.exp(s - s.max())
+        assert got[c] == pytest.approx((w @ v.astype(float) / w.sum()).tolist(), rel=1e-6, abs=1e-9)
+    assert set(got) == set(clips)
+    plan = arrays.attention_pool_blocks(spark.createDataFrame(rows, "c string, s array<double>, v array<float>"), "c", "s", "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_stream_resumes(spark, tmp_path):
