@@ -1,5 +1,6 @@
 """Hand-computed values of the rating operators."""
 
+import csv
 import io
 import math
 import wave
@@ -553,6 +554,25 @@ def test_sinks(spark, tmp_path):
     assert readers.valid_zip(z) and readers.extract(z, str(tmp_path / "x")) == ["predictions.csv"]
 
 
+def test_zip_by_partitions(spark, tmp_path, monkeypatch):
+    """An archive put together from many tasks' pieces is the one a single writer makes."""
+    import zipfile
+    import zlib
+
+    monkeypatch.setattr(writers, "_PIECE", 500)
+    rows = [(f's"{k}",é' if k % 9 == 0 else f"s{k}", None if k % 50 == 0 else k / 7) for k in range(700)]
+    df = spark.createDataFrame(rows, "sample_id string, pred_score double").orderBy(F.rand(1))
+    df = spark.createDataFrame(df.collect(), df.schema).repartition(5)
+    for part in (df, df.limit(0)):
+        z = zipfile.ZipFile(writers.zip_predictions(part, str(tmp_path / "p.zip")))
+        assert z.testzip() is None and z.namelist() == ["predictions.csv"]
+        with z.open("predictions.csv") as f:
+            got = list(csv.reader(io.TextIOWrapper(f, "utf-8")))
+        assert got[0] == ["sample_id", "pred_score"] and sorted(got[1:]) == sorted([r[0], "" if r[1] is None else str(r[1])] for r in part.collect())
+    for a, b in ((b"", b""), (b"x", b""), (b"", b"yz"), (b"left" * 99, b"right" * 1001)):
+        assert writers.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_feature_store(spark, tmp_path):
     """A retried append counts once, one without its commit not at all, and reads shuffle nothing of the store."""
     store = feature_store.FeatureStore(spark, f"file://{tmp_path}/store", feature_store.store_schema(), buckets=4)
