@@ -3,19 +3,23 @@
 A text becomes tokens: numbers, words, runs of number words, runs of capitalised words inside a sentence, and single
 characters of scripts without spaces. Numbers, capitalised names inside sentences and units after numbers become typed
 placeholders; other tokens are lower-cased. Windows of WINDOW tokens of such templates are hash-joined with those of the
-benchmark. What is joined on only finds where an item may lie: an item's windows with MIN_LITERALS ordinary tokens that
-the fewest items share (of those shared by more than MAX_SHARED items only if it has no other).
+benchmark, which finds the places where an item may lie. A window with fewer than MIN_LITERALS ordinary tokens says little
+about which question it is from (any row of numbers would fit), so such a window must also agree in its plain tokens.
+All windows of all items are joined on, however many items share them; under a run of matching windows only its first
+makes a row, so a passage that many items share costs a row for each item and place.
 
 Each place found is then aligned with the whole item. Windows whose templates agree count; between the first and the
 last of them every slot is looked at, and each value of the item must stand for one value of the document and the other
 way round, as in a question whose numbers or names were exchanged. A document is contaminated by an item if consistent
 windows cover MIN_COVERAGE of the item's windows, at one place, or at several whose slots agree with each other.
 
-Items without a window to join on (short ones, or such of numbers and names) are found verbatim, by windows of their
-plain tokens (WINDOW, or all of a shorter item); items under SHORT tokens, which are no sentence, only as a whole text.
+Items without a window of MIN_LITERALS ordinary tokens (short ones, or such of numbers and names) are found verbatim, by
+windows of their plain tokens (WINDOW, or all of a shorter item); items under SHORT tokens, which are no sentence, only as
+a whole text.
 
-Join windows are broadcast if there are at most MAX_BROADCAST of them (24 bytes each), and joined by a shuffle otherwise.
-Documents are exploded into windows in place, as numbers; only matches are shuffled.
+Join windows are broadcast if there are at most MAX_BROADCAST of them (32 bytes each), and joined by a shuffle otherwise.
+Documents are exploded into windows in place, as numbers; only places are shuffled, and only documents that have any are
+read again for their tokens.
 
 Defined cases: null and empty texts match nothing, items without a token either; rows are judged by id and text, so rows
 of one id with different texts, or with a null ``doc_id``, don't share a verdict; equal items each match; a null
@@ -24,7 +28,9 @@ of one id with different texts, or with a null ``doc_id``, don't share a verdict
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.llm.common import cut, small_enough, table
@@ -33,8 +39,6 @@ WINDOW = 8
 SHORT = 4
 MIN_LITERALS = 5
 MIN_COVERAGE = 0.25
-#: Items that may share a window which is joined on, if they have less common ones.
-MAX_SHARED = 16
 MAX_BROADCAST = 1 << 18
 
 NUMBER, NAME, UNIT = "#number", "#name", "#unit"
@@ -96,9 +100,10 @@ def _hash(hashes: str, at: Column, width: int) -> Column:
 
 
 def _windows(df: DataFrame, hashes: str, width: int, *keys: str) -> DataFrame:
-    """(keys, at, hash) of every window; ``keys`` may be arrays, which are not copied before a join in place."""
+    """(keys, hashes, at, hash) of every window; the array is not copied before a join in place."""
     # An outer explode, because for an inner one the optimizer adds a filter that computes all tokens once more.
-    return df.select(*keys, *({hashes} - set(keys)), F.posexplode_outer(hashes).alias("at", "__")).where(F.col("at") <= F.size(hashes) - width).select(*keys, "at", _hash(hashes, F.col("at"), width).alias("hash"))
+    rows = df.select(*keys, hashes, F.posexplode_outer(hashes).alias("at", "__")).where(F.col("at") <= F.size(hashes) - width)
+    return rows.select(*keys, hashes, "at", _hash(hashes, F.col("at"), width).alias("hash"))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -113,32 +118,49 @@ def _literal(token: Column) -> Column:
     return (token >= "a") & (token == F.lower(token)) & ~F.contains(token, F.lit(" ")) & ~token.rlike(r"^\p{N}") & ~_plain(token).isin(*NUMBER_WORDS, *UNITS)
 
 
-def _join_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item, at, hash) to look for templates by, and (item, at, hash, width) of the items that have none."""
-    flagged = items.select("item", "soft", "n", F.transform("raw", _literal).alias("plain"))
-    count = F.size(F.filter(F.slice("plain", F.col("at") + 1, WINDOW), lambda x: x))
-    found = _windows(flagged, "soft", WINDOW, "item", "plain", "n").where(count >= MIN_LITERALS).select("item", "at", "hash")
-    shared = found.join(found.groupBy("hash").agg(F.count_distinct("item").alias("__shared")), "hash")
-    least = F.min("__shared").over(Window.partitionBy("item"))
-    soft = shared.withColumn("__least", least).where((F.col("__shared") <= MAX_SHARED) | (F.col("__shared") == F.col("__least"))).select("item", "at", "hash")
+def _plain_hash(raw: str, at: Column, width: int) -> Column:
+    return F.xxhash64(F.lit(width), *[F.xxhash64(F.lower(_plain(F.get(raw, at + k)))) for k in range(width)])
+
+
+def _sides(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows to join on: (item, item_at, hash, before, plain) by templates, and (item, item_at, hash, before, plain, width) verbatim.
+
+    ``before`` is the hash of the item's window one token earlier, if that alone makes a place; ``plain`` is the hash of
+    the plain tokens where those must agree too.
+    """
+    at = F.col("at")
+    flagged = items.where(F.col("n") >= WINDOW).select("item", "raw", "soft", "n", F.transform("raw", _literal).alias("literal"))
+    rich = lambda i: F.size(F.filter(F.slice("literal", i + 1, WINDOW), lambda x: x)) >= MIN_LITERALS
+    windows = flagged.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - WINDOW)).alias("at")).withColumn("rich", rich(at))
+    before = F.when((at > 0) & rich(F.greatest(at - 1, F.lit(0))), _hash("soft", at - 1, WINDOW))
+    told = windows.join(windows.where("rich").select("item").distinct(), "item", "left_semi")
+    soft = told.select("item", at.alias("item_at"), _hash("soft", at, WINDOW).alias("hash"), before.alias("before"), F.when(~F.col("rich"), _plain_hash("raw", at, WINDOW)).alias("plain"))
     rest = items.join(soft.select("item").distinct(), "item", "left_anti").select("item", "hard", "n")
-    hard = [_windows(rest.where(F.col("n") >= WINDOW), "hard", WINDOW, "item").withColumn("width", F.lit(WINDOW))]
-    hard += [_windows(rest.where(F.col("n") == w), "hard", w, "item").withColumn("width", F.lit(w)) for w in range(1, WINDOW)]
-    whole = hard[0]
-    for part in hard[1:]:
-        whole = whole.unionByName(part)
-    return soft, whole
-
-
-def _places(docs: DataFrame, sides: DataFrame, hashes: str, width: int) -> DataFrame:
-    """(doc, doc_id, item, shift, raw, soft, hard): documents' tokens with the places where an item may lie."""
-    sides, kept = sides.select("item", F.col("at").alias("item_at"), "hash"), ["doc", "doc_id", "raw", "soft"]
-    if small_enough(sides, MAX_BROADCAST):
-        joined = _windows(docs, hashes, width, *kept, *({hashes} - {"soft"})).join(F.broadcast(sides), "hash")
+    verbatim = []
+    for width in range(1, WINDOW + 1):
+        own = rest.where(F.col("n") >= WINDOW) if width == WINDOW else rest.where(F.col("n") == width)
+        rows = own.select("item", "hard", F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("at"))
+        before = F.when(at > 0, _hash("hard", at - 1, width))
+        verbatim.append(rows.select("item", at.alias("item_at"), _hash("hard", at, width).alias("hash"), before.alias("before"), F.lit(None).cast("long").alias("plain"), F.lit(width).alias("width")))
+    return soft, reduce(DataFrame.unionByName, verbatim)
+
+
+def _places(rows: DataFrame, sides: DataFrame, hashes: str, width: int) -> DataFrame:
+    """(doc, item, shift, width): the places where an item may lie in a row's tokens.
+
+    A window that follows one of the same place is passed over, so a run of windows gives one row for each place.
+    """
+    sides, at = sides.select("item", "item_at", "hash", "before", "plain"), F.col("at")
+    windows, earlier, own = _windows(rows, hashes, width, "doc", "raw"), F.when(at > 0, _hash(hashes, at - 1, width)), _plain_hash("raw", at, width)
+    if small_enough(sides, MAX_BROADCAST):  # both are computed for joined rows alone
+        joined = windows.join(F.broadcast(sides), "hash")
+        fits, follows = F.col("plain") == own, F.col("before") == earlier
     else:
-        slim = _windows(docs, hashes, width, "doc").join(sides, "hash").select("doc", "item", "at", "item_at").distinct()
-        joined = docs.join(slim, "doc")
-    return joined.select(*kept, *({hashes} - {"soft"}), "item", (F.col("at") - F.col("item_at")).alias("shift"))
+        joined = windows.select("doc", "at", "hash", earlier.alias("__earlier"), own.alias("__own")).join(sides, "hash")
+        fits, follows = F.col("plain") == F.col("__own"), F.col("before") == F.col("__earlier")
+    # Both sides' nulls: no plain tokens are asked for, nothing lies before.
+    starts = joined.where((F.col("plain").isNull() | fits) & ~F.coalesce(follows, F.lit(False)))
+    return starts.select("doc", "item", (at - F.col("item_at")).alias("shift"), F.lit(width).alias("width")).distinct()
 
 
 def _aligned(places: DataFrame, items: DataFrame, hashes: str) -> DataFrame:
@@ -174,16 +196,24 @@ def _consistent(slots: str) -> Column:
 def _found(docs: DataFrame, benchmark: DataFrame, min_coverage: float) -> DataFrame:
     """(doc, doc_id, item_id, n_windows, coverage, n_slots): the items found in each row, ``doc`` naming its id and text."""
     items = cut(_items(benchmark))
-    soft, hard = (cut(x) for x in _join_windows(items))
-    rows = _tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("doc")), "doc", "doc_id")
-    parts = [_matched(_aligned(_places(rows, soft, "soft", WINDOW), items, "soft"), F.lit(WINDOW))]
+    soft, verbatim = (cut(x) for x in _sides(items))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("doc"))
+    rows = _tokens(named, "doc", "doc_id")
     exact = rows.withColumn("hard", _verbatim("raw"))
-    for (width,) in hard.select("width").distinct().collect():  # WINDOW widths at most
+    places = [_places(rows, soft, "soft", WINDOW).withColumn("form", F.lit("soft"))]
+    widths = [w for (w,) in verbatim.select("width").distinct().collect()]  # WINDOW at most
+    for width in widths:
         own = exact if width >= SHORT else exact.where(F.size("hard") == width)
-        parts.append(_matched(_aligned(_places(own, hard.where(F.col("width") == width), "hard", width), items, "hard"), F.lit(width)))
-    matched = parts[0]
-    for part in parts[1:]:
-        matched = matched.unionByName(part)
+        places.append(_places(own, verbatim.where(F.col("width") == width), "hard", width).withColumn("form", F.lit("hard")))
+    found = cut(reduce(DataFrame.unionByName, places))
+    # Only rows with a place are read again for their tokens, equal ones once.
+    wanted = found.select("doc").distinct()
+    wanted = F.broadcast(cut(wanted)) if small_enough(wanted, MAX_BROADCAST) else wanted
+    again = _tokens(named.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "doc", "doc_id")
+    full = again.withColumn("hard", _verbatim("raw")).join(found, "doc")
+    parts = [_matched(_aligned(full.where("form = 'soft'"), items, "soft"), F.lit(WINDOW))]
+    parts += [_matched(_aligned(full.where((F.col("form") == "hard") & (F.col("width") == width)), items, "hard"), F.lit(width)) for width in widths]
+    matched = reduce(DataFrame.unionByName, parts)
     sizes = items.select("item", "item_id", F.greatest(F.col("n") - (WINDOW - 1), F.lit(1)).alias("__total"))
     sizes = F.broadcast(sizes) if small_enough(items, MAX_BROADCAST) else sizes
     single = matched.where(_consistent("slots")).withColumns({"n": F.size("found"), "k": F.size("slots")})
