@@ -10,8 +10,8 @@ A shard is a hash range of one source with a bounded share of words and of docum
 all rows is many shards. The driver only sees sums.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source of its own, last in
-order; rows with equal ids are documents of their own, and equal rows share one layout position each; an empty table
-gives an empty mix; other columns are ignored.
+order; rows with equal ids are documents of their own, and so are equal rows, which are numbered in any order and lie in
+places of their own; an empty table gives an empty mix; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratelake.llm.common import cut, n_words, small_enough, table
-from ratelake.operators.shared import with_position
+from ratelake.operators.shared import join_same, with_position
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -53,6 +53,30 @@ def order_hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
+def _numbered(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """Adds ``__copy``: the 0-based number of each row among those with equal keys, in any order.
+
+    A range sort by the keys and a random number, which is written first, gives the places, so that rows of one key are
+    spread over tasks, however many there are.
+    """
+    placed = with_position(cut(df.withColumn("__tie", F.rand(seed))), *keys, "__tie", name="__place")
+    first = placed.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    return join_same(placed, first, keys).withColumn("__copy", F.col("__place") - F.col("__first")).drop("__tie", "__place", "__first")
+
+
+def _told_apart(sized: DataFrame, seed: int) -> DataFrame:
+    """Gives equal rows, all but one of each, hashes of their own; ``__key`` is the hash they share."""
+    keys = ["doc_id", *_SOURCE, "__hash"]
+    sized = sized.withColumn("__key", F.col("__hash"))
+    equal = cut(sized.groupBy(*keys).agg(F.count("*").alias("__rows")).where("__rows > 1").select(*keys))
+    if equal.isEmpty():
+        return sized
+    side = F.broadcast(equal) if small_enough(equal, MAX_BROADCAST) else equal
+    several = _numbered(join_same(sized, side, keys, "left_semi"), keys, seed)
+    several = several.withColumn("__hash", F.when(F.col("__copy") == 0, F.col("__hash")).otherwise(F.xxhash64("__hash", "__copy"))).drop("__copy")
+    return cut(join_same(sized, side, keys, "left_anti").unionByName(several))
+
+
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """Adds ``target`` to (__null, __source, source_size): shares by weight, filled up to ``repeats`` times the size."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -133,9 +157,9 @@ def _overlap(start: Column, end: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(end, hi) - F.greatest(start, lo))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and __hash (its seeded place)."""
-    sized = cut(_sized(docs, seed))
+def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int, block: int, seed: int) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, and __key (the hash of its id and text)."""
+    sized = _told_apart(cut(_sized(docs, seed)), seed)
     sources = sized.groupBy(*_SOURCE).agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
     sources = cut(with_targets(sources, weights, repeats))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -159,23 +183,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
     run = _overlap(F.col("__start"), F.col("__end"), F.col("__first"), F.least(stop, n)) + _overlap(F.col("__start"), F.col("__end"), F.lit(0).cast("long"), stop - n)
     taken = F.when(F.col("size") > 0, F.expr("__words div greatest(shard_size, 1)") * F.col("size") + run).otherwise(F.lit(0))
     source = F.when(~F.col("__null"), F.col("__source")).alias("source")
-    return laid.select("doc_id", source, "size", "source_size", "target", taken.cast("long").alias("taken"), "__hash")
+    return laid.select("doc_id", source, "size", "source_size", "target", taken.cast("long").alias("taken"), "__key")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken."""
+    return _mixed(docs, weights, repeats, block, seed).drop("__key")
 
 
-def apply_mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mixed documents with their own columns: each as many times as the mix takes it, to the nearest whole.
 
-    Only the document at either end of a shard's run is taken in part. Equal rows are taken alike.
+    Only the document at either end of a shard's run is taken in part. Rows of equal id, source and text share out what
+    the mix takes of them all.
     """
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    chosen = mix(docs, seed=seed, **options).groupBy("doc_id", "source", "__hash").agg(F.max(copies).alias("copies")).where("copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("__hash").alias("order"), "copies")
+    taken = _mixed(docs, weights, repeats, block, seed).groupBy("doc_id", "source", "__key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)
+    chosen = cut(taken.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("__key").alias("order"), copies.alias("copies"), "rows").where("copies > 0"))
     # The document's own columns stay in one struct, so that none can clash with what is joined.
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", order_hash(seed).alias("hash"))
     same = F.col("hash").eqNullSafe(F.col("order")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of"))
-    joined = keyed.join(chosen, same)
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    out = keyed.join(chosen.where("rows = 1"), same).select("row", "copies")
+    several = chosen.where("rows > 1")
+    if not several.isEmpty():
+        side = F.broadcast(several) if small_enough(several, MAX_BROADCAST) else several
+        own = _numbered(keyed.join(side, same).select("row", "doc_id", "source", "hash", "copies", "rows"), ["doc_id", "source", "hash"], seed)
+        share = F.expr("(__copy + 1) * copies div rows - __copy * copies div rows")
+        out = out.unionByName(own.select("row", share.alias("copies")).where("copies > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("__hash")
+    return mix(table(spark, sf_dir, "documents"))
