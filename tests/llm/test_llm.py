@@ -153,6 +153,23 @@ def test_op2(spark, docs, nothing):
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def test_op2_equal_rows(spark):
+    """A source of 2,000 equal rows: spread over shards, and taken to within a document of its target."""
+    rows = [(7, "same words in every row of it " * 8 + "end", "a", k) for k in range(2000)] + [(100 + k, f"w{k} " * 40, "b", k) for k in range(700)] + [(None, None, None, 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k int").repartition(5)
+    out = mixing.mix(df).collect()
+    own = [r for r in out if r.source == "a"]
+    size, target = own[0].size, own[0].target
+    assert size == 57 and len(own) == 2000 and abs(sum(r.taken for r in own) - target) <= mixing.BLOCK and max(r.taken for r in own) <= 3 * size
+    mixed = mixing.apply_mix(df).collect()
+    taken = [r for r in mixed if r.source == "a"]
+    assert abs(len(taken) * size - target) <= size + mixing.BLOCK
+    per = np.bincount([r.k for r in taken], minlength=2000)
+    assert per.max() - per.min() <= 1  # each row has its share
+    assert rows_of(mixing.mix(df.repartition(3))) == sorted(map(tuple, out), key=repr)
+    assert len(mixing._told_apart(mixing._sized(df, 1), 1).select("__hash").distinct().collect()) == 2000 + 700 + 3
+
+
 def test_op2_clashing_names(spark, docs):
     """Columns of any name come back as they were."""
     odd = docs.selectExpr("*", "doc_id * 3 as __hash", "'x' as __id", "doc_id as copy", "doc_id as copies", "1 as row", "2 as shard")
@@ -344,6 +361,64 @@ def test_op5_gradient():
             assert likelihood(other, model.cuts) < best
 
 
+def test_op5_against_another_optimiser():
+    """The fit against plain gradient ascent over a dense matrix, on the same penalised likelihood."""
+    rng = np.random.default_rng(14)
+    n, width = 900, 6
+    x = rng.random((n, width)) < 0.4
+    latent = x @ np.array([2.0, -2.0, 1.5, -1.5, 1.0, 0.0]) + rng.logistic(size=n)
+    grades = (latent > -0.5).astype(int) + (latent > 1.0)
+    rows = [np.flatnonzero(r) for r in x]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = ordinal_classifier.fit(grades, np.concatenate(rows), at)
+    chosen = ordinal_classifier.telling(grades, np.concatenate(rows), at)[:width]
+    dense = x[:, chosen].astype(float)
+    weights, cuts = np.zeros(dense.shape[1]), np.array([-0.5, 0.5])
+
+    def probability(w, c):
+        upto = 1 / (1 + np.exp(-(np.concatenate([[-50.0], c, [50.0]])[None, :] - (dense @ w)[:, None])))
+        return upto[np.arange(n), grades + 1] - upto[np.arange(n), grades]
+
+    value = lambda w, c: np.log(np.maximum(probability(w, c), 1e-12)).mean() - ordinal_classifier._DECAY / 2 * (w**2).sum()
+    step = 1e-5
+    for _ in range(1500):
+        both = np.concatenate([weights, cuts])
+        grow = np.array([(value(*np.split(both + step * e, [len(weights)])) - value(*np.split(both - step * e, [len(weights)]))) / (2 * step) for e in np.eye(len(both))])
+        weights, cuts = weights + 2.0 * grow[: len(weights)], cuts + 2.0 * grow[len(weights) :]
+    tails = 1 / (1 + np.exp(-(dense @ weights)[:, None] + cuts[None, :]))
+    got = model.tail(np.array([model.weights[r].sum() for r in rows]))
+    # Batches leave some noise: the likelihood is within a fifth of a percent of the best one, probabilities within a tenth.
+    best, own = value(weights, cuts), value(model.weights[:width][chosen], model.cuts)
+    assert chosen.sum() >= 4 and best - 0.002 * abs(best) <= own <= best + 1e-6
+    assert np.abs(got - tails).max() < 0.1 and np.abs(got - tails).mean() < 0.02
+
+
+def test_op5_brute_force_scores(spark):
+    """Cells are those of a text's distinct words, one by one, and of their last three bytes; scores are their weights' sums."""
+    texts = [t for _, t in make_docs(12)] + ["ends ends Ends! é né", "x" * 5000]
+    alone = lambda w: ordinal_classifier.features(next(textkernel.chunks(pa.array([w]))))[0].tolist()
+
+    def cells(text):
+        words = {w for w in WORD.findall(text or "")}
+        out = {c for w in words for c in alone(w)}
+        return sorted(out)
+
+    found = {}
+    for c in textkernel.chunks(pa.array([t or "" for t in texts]), 400):
+        got, first = ordinal_classifier.features(c)
+        for k in range(c.lo, c.hi):
+            found[k] = got[first[k - c.lo] : first[k - c.lo + 1]].tolist()
+    assert [found[k] for k in range(len(texts))] == [cells(t) for t in texts]
+    assert len(alone("abcdef")) == 2 and set(alone("xxdef")) & set(alone("abcdef")) and not set(alone("abcdef")) & set(alone("abcdeg"))
+    rng = np.random.default_rng(15)
+    model = ordinal_classifier.OrdinalModel(rng.normal(0, 0.3, ordinal_classifier.DIMENSIONS), np.array([-1.0, 0.5]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in ordinal_classifier.score(df, model).collect():
+        total = model.weights[cells(texts[r.doc_id])].astype(np.float32).astype(float).sum()
+        tails = 1 / (1 + np.exp(model.cuts - total))
+        assert r.p_good == pytest.approx(tails[1], abs=1e-6) and r.expected_grade == pytest.approx(tails.sum(), abs=1e-6) and r.kept == (r.p_good >= 0.5)
+
+
 def test_op5_tails():
     model = ordinal_classifier.OrdinalModel(np.zeros(4), np.array([-1.0, 1.0]))
     tail = model.tail(np.array([0.0, 5.0]))
@@ -671,6 +746,27 @@ def test_op10(spark, docs, nothing):
     assert decontamination.matches(df, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("items", [16, 17, 400])
+def test_op10_shared_preamble(spark, items):
+    """However many items share a passage, a document that holds it is found for each."""
+    preamble = "read the following passage about old stone walls and the seven clever ravens that watch them every day and then answer"
+    ends = [f"which bird{chr(97 + k % 26)}{chr(97 + k // 26)} sat there" for k in range(items)]
+    bench = spark.createDataFrame([(k, f"{preamble} {e}") for k, e in enumerate(ends)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"before it . {preamble} and nothing else"), (2, f"{preamble} {ends[3]}"), (3, "only old stone walls and the seven clever ravens")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()}
+    assert got == {(i, k) for i in (1, 2) for k in range(items)}
+
+
+def test_op10_parts_of_numbers(spark):
+    """The part of an item that is numbers and names is found as it stands, other numbers in its place are not."""
+    words = "the clerk of the old mill wrote the sums of that week into her long book before"
+    tail = " ".join(str(31 + 7 * k) for k in range(9)) + " for Anna 12 13 Bela 15 16 17 18 19"
+    other = " ".join(str(50 + 3 * k) for k in range(9)) + " for Carl 22 23 Dora 25 26 27 28 29"
+    bench = spark.createDataFrame([(1, f"{words} {tail}")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"{words} {tail}"), (2, f"so {tail}"), (3, f"so {other}"), (4, f"{words} {other}"), (5, words)], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(df, bench).collect()} == {1, 2, 4, 5}
+
+
 def shape(raw):
     """Templates by plain rules, for texts of one sentence without units and number words."""
     return ["#number" if t[0].isdigit() else "#name" if t[0].isupper() and k else t.lower() for k, t in enumerate(raw)]
@@ -718,7 +814,8 @@ def test_op10_brute_force(spark, monkeypatch, most):
         for shift in range(-len(b), len(a)):
             same = [0 <= shift + j < len(a) and a[shift + j] == b[j] for j in range(len(b))]
             whole = [i for i in range(len(b) - w + 1) if all(same[i : i + w])]
-            if not set(whole) & set(good):
+            # A place is told by a window of ordinary words, or one of the very same tokens.
+            if not any(i in good or [t.lower() for t in doc[shift + i : shift + i + w]] == [t.lower() for t in item[i : i + w]] for i in whole):
                 continue
             pairs = {(b[j], item[j].lower(), doc[shift + j].lower()) for j in range(whole[0], whole[-1] + w) if same[j] and b[j][0] == "#"}
             if one_to_one(pairs):

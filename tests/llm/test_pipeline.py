@@ -104,7 +104,7 @@ def test_decontamination(spark, folder, docs):
 
 def test_mixing(spark, folder, docs):
     """Quotas by counting seat after seat; a shard's run of blocks by walking over its words."""
-    rows = docs.select("*", mixing.order_hash(mixing.SEED).alias("place"), F.pmod(F.xxhash64(F.lit(mixing.SEED), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.lit(0).cast("long")), F.lit(1 << 40)).alias("_")).collect()
+    rows = docs.select("*", mixing.order_hash(mixing.SEED).alias("place"), F.pmod(F.xxhash64(F.lit(mixing.SEED), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.lit(0).cast("long")), F.lit(1 << 40)).alias("_"), F.array(*[F.xxhash64(mixing.order_hash(mixing.SEED), F.lit(k).cast("long")) for k in range(9)]).alias("later")).collect()
     size = lambda r: len(WORD.findall(r.text or ""))
     sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(size(r) for r in rows if r.source == s) for s in sources}
@@ -120,18 +120,23 @@ def test_mixing(spark, folder, docs):
     starts = {r.source: r.first for r in docs.select("source").distinct().select("source", F.xxhash64(F.lit(mixing.SEED), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.lit(0).cast("long")).alias("first")).collect()}
     exp = []
     for s in sources:
-        own = sorted((r for r in rows if r.source == s), key=lambda r: (r.place, r.doc_id or -1, size(r)))
+        # Equal rows, all but one of each, have places of their own.
+        own, met = [], {}
+        for r in (r for r in rows if r.source == s):
+            n = met[r.doc_id, r.place] = met.get((r.doc_id, r.place), -1) + 1
+            own.append((r.later[n] if n else r.place, r.doc_id or -1, size(r), r))
+        own = [x[-1] for x in sorted(own, key=lambda x: x[:3])]
         words = [k for k, r in enumerate(own) for _ in range(size(r))]
         taken, n = [0] * len(own), len(words)
         first = starts[s] % max(-(-n // block), 1) * block
         for w in range(min(quota[s] * block, 3 * n)):
             taken[words[(first + w) % n if first + w < n else (first + w - n) % n]] += 1
-        # Rows of equal id and text have one place, and the more of their copies.
-        copies = {}
+        # Equal rows share out what is taken of them all.
+        shares = {}
         for k, r in enumerate(own):
-            c = int(taken[k] / max(size(r), 1) + 0.5)
-            copies[r.doc_id, r.place] = max(c, copies.get((r.doc_id, r.place), 0))
-        exp += [key(r) for r in own for _ in range(copies[r.doc_id, r.place])]
+            shares.setdefault((r.doc_id, r.place), []).append((taken[k], r))
+        for parts in shares.values():
+            exp += [key(parts[0][1])] * int(sum(n for n, _ in parts) / max(size(parts[0][1]), 1) + 0.5)
     assert everything(corpus_pipeline.mixed(spark, docs, folder)) == sorted(exp, key=repr) and exp
 
 
