@@ -16,6 +16,7 @@ from ratelake.functions import columns as C
 from ratelake.operators import arrays, checkpoint_table, existence, feature_store, heads, metrics, normalize, ranking, runs, sampling, scoring
 from ratelake.operators.shared import ensure_checkpoint_dir
 from ratelake.plans import inference, manifest
+from ratelake.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -447,6 +448,44 @@ def layer_norm(spark, sf):
     return _long(t(spark, sf, "embeddings"), arrays.layer_norm(F.col("embedding")))
 
 
+@query(f"""with v as (select vec_id, i, case when i % 5 = 3 then null else x end as x from ({_EMB}))
+    select vec_id, count(x) as n, round(sum(x), 6) as total from v group by vec_id""")
+def valid_values(spark, sf):
+    """What is left of a vector with missing values, some null and some not a number."""
+    gaps = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when(i % 5 != 3, x).when(i % 2 == 0, F.lit(float("nan"))))
+    rows = t(spark, sf, "embeddings").select("vec_id", arrays.without_missing(gaps).alias("x"))
+    return rows.select("vec_id", F.size("x").cast("long").alias("n"), r6(arrays.total(F.col("x"))).alias("total"))
+
+
+@query(f"""with f as (select vec_id, i // 16 as f, list(x order by i) as x from ({_EMB}) group by all),
+    m as (select vec_id, list(x order by i) as y from (select vec_id, i % 4 as i, avg(x) as x from ({_EMB}) group by all) group by vec_id)
+    select vec_id, f, o, round(case o when 0 then list_sum(list_transform(list_concat(x, y), lambda v, k: v * (k % 3 - 1))) + 0.5 else list_sum(list_transform(list_concat(x, y), lambda v, k: v * k / 10.0)) end, 6) as x
+    from f join m using (vec_id), range(2) r(o)""")
+def dense_layer(spark, sf):
+    """Frames of 16 values, each with the clip's vector of four behind it, through a layer with two outputs."""
+    x = F.col("embedding").cast("array<double>")
+    frames = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda f: F.slice(x, f * 16 + 1, F.lit(16)))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: arrays.total(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.get(x, j * 4 + k))) / 16)
+    whole = t(spark, sf, "embeddings").select("vec_id", F.posexplode(arrays.with_repeated(frames, vector)).alias("f", "v"))
+    # A list's places count from one in the SQL.
+    weights = [[float((k + 1) % 3 - 1) for k in range(20)], [(k + 1) / 10 for k in range(20)]]
+    out = whole.select("vec_id", "f", F.posexplode(arrays.affine(F.col("v"), weights, [0.5, 0.0])).alias("o", "x"))
+    return out.select("vec_id", F.col("f").cast("long").alias("f"), F.col("o").cast("long").alias("o"), r6("x").alias("x"))
+
+
+@query("select 'clip' || vec_id::varchar as sample_id, md5('sound of ' || vec_id::varchar) as sound from embeddings")
+def clips_kept_once(spark, sf):
+    """Undecoded clips of a table with embedded audio, kept as files' bytes; a second run finds them there."""
+    table, kept = _scratch(spark, "embedded"), _scratch(spark, "clips")
+    audio = F.struct(F.encode(F.concat(F.lit("sound of "), F.col("vec_id").cast("string")), "UTF-8").alias("bytes"), F.lit(None).cast("string").alias("path"))
+    t(spark, sf, "embeddings").select(F.concat(F.lit("clip"), F.col("vec_id").cast("string")).alias("sample_id"), audio.alias("audio")).write.parquet(table)
+    clips = readers.embedded_audio(spark, table)
+    writers.save_clips(clips.where("sample_id < 'clip5'"), kept)
+    for _ in range(2):
+        writers.save_clips(clips, kept)
+    return spark.read.parquet(kept).select("sample_id", F.md5("content").alias("sound"))
+
+
 @query("select p_brand || '.' || p_partkey::varchar as param, p_retailprice as value from part where not starts_with(p_brand, 'Brand#1')")
 def trainable_state(spark, sf):
     """Parameters worth saving; those of one maker stand for the frozen encoder's."""
@@ -716,3 +755,22 @@ def resume_after_abort(spark, sf):
     table.save(rows.where("epoch > 9 and epoch <= 20"))
     table.write(rows.where("epoch > 20"))
     return table.resume().select("run", "next_epoch", "best_dev", r6(F.get("values", F.lit(0))).alias("weight"))
+
+
+@query(f"select path, acr, null::double as ccr, null::varchar as language, system, null::varchar as split, case when starts_with(source, 'c') then 'unknown' else source end as source from (select path, round(acr, 6) as acr, system, source from ({_CLIPS}))")
+def manifest_csv(spark, sf):
+    """A manifest of fewer columns through CSV and back: missing ones are empty, a missing source reads as unknown."""
+    folder = _scratch(spark, "manifest")
+    rows = _clips(spark, sf).withColumns({"acr": r6("acr"), "source": F.when(~F.startswith("source", F.lit("c")), F.col("source"))})
+    writers.write_manifest(rows, folder)
+    return readers.manifest(spark, folder)
+
+
+@query("select 'p,' || p_partkey::varchar as sample_id, round(p_retailprice / 7.0::double, 6) as pred_score from part")
+def predictions_csv(spark, sf):
+    """Predictions through CSV and back, with commas in the ids."""
+    folder = _scratch(spark, "predictions")
+    rows = t(spark, sf, "part").select(F.concat(F.lit("p,"), F.col("p_partkey").cast("string")).alias("sample_id"), r6(F.col("p_retailprice") / 7.0).alias("pred_score"))
+    writers.write_predictions(rows, folder)
+    good, _ = readers.checked_csv(spark, folder, "sample_id string, pred_score double", "sample_id")
+    return good
