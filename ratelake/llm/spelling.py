@@ -8,8 +8,8 @@ three neighbouring places (one edit could not have changed them all); two words
 gram as a key. So words meet under (length, gram, place) of their rare grams only, and mostly under two or three.
 
 Under one key a task holds an inverted index of the words of that length, from (gram, place) to ascending postings. Each
-word, of that length or one longer, merges the postings of its own grams through a heap, skipping ahead where too few
-lists are left to reach the bound, and candidates at the bound are verified. Keys with more than BLOCK_WORDS words are
+word, of that length or one longer, merges the shorter postings of its own grams through a heap, looks entries up in the
+longer ones, as far as the bound can still be reached, and candidates at the bound are verified. Keys with more than BLOCK_WORDS words are
 dealt as blocks of index entries, each of which all probes visit; probes are streamed, so a task holds one block at most.
 
 Counting words is pre-aggregated where texts are read. Gram counts, the only table that is collected, are bounded by the
@@ -27,7 +27,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heapreplace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,27 +119,36 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """The entries that are in ``least`` of the ascending ``lists`` or more; those that can't be are skipped."""
-    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
+    """The entries that are in ``least`` of the ascending ``lists`` or more, in order.
+
+    Such an entry misses len(lists) - least lists at most, so it is in one of that many shortest lists and one more. Those
+    are merged through a heap; whether an entry is in enough of the longer ones is looked up there.
+    """
+    spare = len(lists) - least
+    if spare < 0:
+        return
+    lists = sorted(lists, key=len)
+    longer = lists[spare + 1 :]
+    heap = [(x[0], k, 0) for k, x in enumerate(lists[: spare + 1])]
     heapify(heap)
-    while len(heap) >= least:
-        entry, popped = heap[0][0], []
+    while heap:
+        entry, missing = heap[0][0], least
         while heap and heap[0][0] == entry:
-            popped.append(heappop(heap))
-        if len(popped) >= least:
+            _, k, at = heap[0]
+            missing -= 1
+            if at + 1 < len(lists[k]):
+                heapreplace(heap, (lists[k][at + 1], k, at + 1))
+            else:
+                heappop(heap)
+        left = len(longer)
+        for x in longer:
+            if not 0 < missing <= left:
+                break
+            at = bisect_left(x, entry)
+            missing -= at < len(x) and x[at] == entry
+            left -= 1
+        if missing <= 0:
             yield entry
-            target = entry + 1
-        else:
-            while heap and len(popped) < least - 1:
-                popped.append(heappop(heap))
-            if not heap:
-                return
-            target = heap[0][0]  # less than that is in too few lists
-        for _, k, at in popped:
-            x = lists[k]
-            at = bisect_left(x, target, at)
-            if at < len(x):
-                heappush(heap, (x[at], k, at))
 
 
 class Index:
