@@ -284,6 +284,103 @@ def test_op4_most_frequent(spark):
         assert url_filter.most_frequent(df, size) == {w: counts[w] for w in exp}
 
 
+def test_op4_ordinary_words(spark):
+    """Names that are ordinary words stay whole, whatever listed word stands in them; words that were never listed are found."""
+    text = " ".join(f"{a}{b}{c}" for a in "tnsr" for b in "aeiou" for c in ("th", "nd", "ing", "ment", "eau", "keit", "schen", "ando", "ique", "ough"))  # 200 others, so "es" is one word in 200
+    words = url_filter.vocabulary(spark.createDataFrame([(1, "u", f"<p>es the er in {text}</p>")], "page_id long, url string, html string"), url_filter.training_names())
+    s = url_filter.Segmenter(words)
+    for name in ("essex", "sussex", "therapist", "cryptography", "adulthood"):
+        assert s.split(name) == [name]
+    assert s.split("freemoviestorrent") == ["free", "movies", "torrent"] and s.split("museumofmodernart") == ["museum", "of", "modern", "art"]
+    assert s.split("schoollibrary") == ["school", "library"] and s.split("casinojackpot") == ["casino", "jackpot"]
+
+
+def brute_judge(rows):
+    """(host, path, verdict, score) by plain rules: all ways to split, counts of words instead of buckets."""
+    import functools
+    import json
+    import math
+
+    lower = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    names = url_filter.training_names()
+    with open(url_filter.words_path(), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    ordinary = {}
+    for token, i in ids.items():
+        if re.fullmatch("\u0120[A-Za-z]+", token):
+            ordinary[token[1:].lower()] = max(ordinary.get(token[1:].lower(), 0), 1 / (i + 1))
+    text, made = {}, {}
+    for _, html in rows:
+        for w in re.findall("[a-z]{2,}", re.sub("<[^>]*>", " ", html or "").lower()):
+            text[w] = text.get(w, 0) + 1
+    for _, ws in names:
+        for w in ws:
+            made[w] = made.get(w, 0) + 1
+    parts = [(a, c, sum(c.values())) for a, c in ((0.7, ordinary), (0.29, text), (0.01, made))]
+    log = {w: math.log(sum(a * c.get(w, 0) / n for a, c, n in parts)) for w in {*ordinary, *text, *made}}
+    floor = min(log.values()) - 2
+
+    @functools.cache
+    def split(name):
+        if not name:
+            return 0.0, ()
+        found = []
+        for k in range(1, len(name) + 1):
+            w, (rest, after) = name[:k], split(name[k:])
+            found.append((log.get(w, floor - math.log(10) * k) + rest, (w, *after)))
+        return max(found)
+
+    tokens = lambda host, path: [("h", w) for n in re.findall("[a-z]+", host) for w in split(n)[1]] + [("p", w) for n in re.findall("[a-z]+", path.lower()) for w in split(n)[1]] + [("p", "0")] * len(re.findall("[0-9]+", path))
+    urls = []
+    for url, _ in rows:
+        m = re.match("[^:]*(?::(?!//)[^:]*)*://([^/?#]*)([^?#]*)", url or "")
+        urls.append((lower(m[1]), m[2]) if m else ("", ""))
+    places = sorted({u for u in urls if u[0]})
+    random.Random(4).shuffle(places)
+    often = {}
+    for host, _ in places:
+        for label in set(host.split(".")):
+            often[label] = often.get(label, 0) + 1
+    first = ({}, {})
+    for k, (unwanted, ws) in enumerate(names):
+        host, path = places[k % len(places)]
+        rarest = min(host.split("."), key=lambda x: (often[x], x))
+        for token in [*tokens(".".join(x for x in host.split(".") if x != rarest), ""), *(("h", w) for w in ws), *tokens("", path)]:
+            first[unwanted][token] = first[unwanted].get(token, 0) + 1
+
+    def odds(bad, good):
+        used, n, m = len({*bad, *good}), sum(bad.values()), sum(good.values())
+        return {t: math.log((bad.get(t, 0) + 0.5) / (n + 0.5 * used)) - math.log((good.get(t, 0) + 0.5) / (m + 0.5 * used)) for t in {*bad, *good}}
+
+    one = odds(first[1], first[0])
+    found = ({}, {})
+    for u in urls:
+        own = tokens(*u)
+        bad = sum(one.get(t, 0) for t in own) >= 3
+        for t in own:
+            found[bad][t] = found[bad].get(t, 0) + 1
+    weight = min(1.0, sum(first[1].values()) / sum(found[1].values())) if found[1] else 0.0
+    both = odds({t: first[1].get(t, 0) + weight * found[1].get(t, 0) for t in {*first[1], *found[1]}}, {t: first[0].get(t, 0) + found[0].get(t, 0) for t in {*first[0], *found[0]}})
+    out = []
+    for host, path in urls:
+        score = sum(both.get(t, 0) for t in tokens(host, path))
+        fits = [(len(h) + len(p), kind) for kind, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        out.append((host, path, max(fits)[1] if fits else "block" if score >= 3 else "allow", score))
+    return out
+
+
+def test_op4_brute_force(spark):
+    rng = random.Random(21)
+    heads, tails = ["casino-win", "tionther", "freebets", "essex", "www.newsmuseum", "m.thther", "schoolpoker", "blog.xyzzyq", "CASINO"], ["example.com", "example.net", "example.org", "com"]
+    rows = [(f"http://{rng.choice(heads)}.{rng.choice(tails)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(9999)}{rng.choice(['', '?a=1', '#top', '.html'])}", "<p>the casino er es tion</p>" if k % 3 else None) for k in range(150)]
+    rows += [(None, None), ("no url", "<p>ther ther</p>"), ("x://", ""), ("http://Ünï.example.com/en/7", None)] * 2
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    for k, (host, path, verdict, score) in enumerate(brute_judge(rows)):
+        assert (got[k].host, got[k].path, got[k].verdict) == (host, path, verdict) and got[k].score == pytest.approx(score, abs=1e-6)
+    assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
+
+
 def test_op4_model(spark):
     """Odds against plain counting; names that were not learnt from, written in one; no word decides alone."""
     hosts = [f"{p}{a}{b}.example.{t}" for p in ("", "www.") for a in ("tion", "thth", "ther") for b in ("her", "on", "ing") for t in ("com", "org")]
