@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
-from ratelake.llm.common import table
+from ratelake.llm.common import cut, small_enough, table
 
 WINDOW = 50
 #: Cells in a row of the sketch: 2**28 bits are 32 MB of broadcast, twice.
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 28
 _BLOCK = 1 << 20
+#: Documents with repeats (16 bytes each) that are broadcast, so that the others are not shuffled; with more, all texts are.
+MAX_IDS = 1 << 20
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -224,7 +226,15 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 kept.append(b" ".join(words))
             yield pa.record_batch([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = _keyed(docs).join(repeats, ["doc_id", "tag"], "left").select("doc_id", "text", "places")
+    keys, keyed = ["doc_id", "tag"], _keyed(docs)
+    repeats = cut(repeats)
+    ids = repeats.select(*keys)
+    if small_enough(ids, MAX_IDS):  # only texts that lose something are shuffled
+        ids = F.broadcast(ids)
+        some = keyed.join(ids, keys, "left_semi").join(repeats, keys).select("doc_id", "text", "places")
+        joined = some.unionByName(keyed.join(ids, keys, "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places")))
+    else:
+        joined = keyed.join(repeats, keys, "left").select("doc_id", "text", "places")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 

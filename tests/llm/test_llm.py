@@ -783,7 +783,7 @@ def test_op8_short_lines(spark):
     assert len({(r.class_id, exp[i]) for i, r in got.items()}) == len({r.class_id for r in got.values()}) == len(set(exp.values()))
 
 
-def test_op9(spark, docs, nothing):
+def test_op9(spark, docs, nothing, monkeypatch):
     least = {}
     rows = [(i, (t or "").split()) for i, t in make_docs()]
     for i, w in rows:
@@ -800,6 +800,9 @@ def test_op9(spark, docs, nothing):
         exp.append((i, len(w), len(gone), kept))
     assert rows_of(substring_dedup.without_repeats(docs)) == sorted(exp, key=repr) and any(x[2] for x in exp)
     assert substring_dedup.without_repeats(nothing).count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "MAX_IDS", 0)  # too many to broadcast
+        assert rows_of(substring_dedup.without_repeats(docs)) == sorted(exp, key=repr)
     windows = lambda most: sorted((r.doc_id, r.tag, *sorted(set(r.places))) for r in substring_dedup.repeated_windows(docs, max_cells=most).collect())
     assert windows(1 << 28) == windows(1)  # a sketch dealt to tasks
 
