@@ -98,24 +98,36 @@ def _pooled(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Carries a key's partial on through its run of rows."""
-        held: list = []
+        held: tuple | list = []
 
         def out(done: list) -> pa.RecordBatch:
             columns = [pa.array([d[0] for d in done], batches_type[0]), *[pa.array([d[k] for d in done], pa.float64()) for k in (1, 2)], pa.array([d[3] for d in done], pa.list_(pa.float64()))]
             return pa.record_batch(columns, names=["key", "top", "weight", "sums"])
 
+        def parts_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            """A partial for each block; for rows of one frame each, for each run of equal keys."""
+            keys, sizes = batch.column(0).to_pylist(), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            if len(keys) and (sizes == 1).all():
+                score = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                frames = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(score), -1)
+                first = np.flatnonzero([True, *(a != b for a, b in zip(keys, keys[1:]))])
+                top = np.maximum.reduceat(score, first)
+                weights = np.exp(score - np.repeat(top, np.diff([*first, len(score)])))
+                yield from zip([keys[i] for i in first.tolist()], top, np.add.reduceat(weights, first), np.add.reduceat(weights[:, None] * frames, first, axis=0))
+                return
+            for key, scores, values in zip(keys, batch.column(1), batch.column(2)):
+                if scores.is_valid and len(scores):
+                    score = scores.values.to_numpy(zero_copy_only=False)
+                    frames = values.values.to_numpy(zero_copy_only=False).reshape(len(score), -1)
+                    weights = np.exp(score - score.max())
+                    yield key, score.max(), weights.sum(), weights @ frames
+
         batches_type: list = []
         for batch in batches:
             batches_type[:] = [batch.schema.field(0).type]
             done = []
-            for key, scores, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                score = scores.values.to_numpy(zero_copy_only=False)
-                if not len(score):
-                    continue
-                frames = values.values.to_numpy(zero_copy_only=False).reshape(len(score), -1)
-                top = score.max()
-                weights = np.exp(score - top)
-                part = [key, top, weights.sum(), weights @ frames]
+            for part in parts_of(batch):
+                key, top = part[:2]
                 if held and held[0] == key:
                     both = max(top, held[1])
                     a, b = np.exp(held[1] - both), np.exp(top - both)

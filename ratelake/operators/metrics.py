@@ -21,7 +21,7 @@ def pearson(x: str, y: str) -> Column:
 
 
 #: Distinct values of a group that one window may hold; more are cut into this many ranges by splitters.
-RANGE_VALUES, RANGES = 1 << 16, 1024
+RANGE_VALUES, RANGES = 1 << 20, 1024
 #: Errors of the splitters' places, as a share of a range: a tenth either way.
 _ACCURACY = 10 * RANGES
 
