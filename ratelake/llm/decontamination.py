@@ -50,11 +50,13 @@ UNITS = (
 )
 _COUNTED = f"(?:{'|'.join(NUMBER_WORDS)})"
 _CAPITALISED = r"\p{Lu}[\p{Ll}\p{M}]+"
+# Groups are repeated possessively: otherwise the engine descends once more for each repetition, and a run of some
+# thousand numbers or names overflows a task's stack. Nothing after such a group ever needs one of its repetitions back.
 TOKEN = "|".join(
     [
-        r"\p{N}+(?:[.,:/]\p{N}+)*(?:[ -](?:hundred|thousand|million)\b)*",
-        rf"{_COUNTED}(?:[ -]{_COUNTED})+\b",
-        rf"(?=\p{{Lu}})(?<=[^.!?\s]\s){_CAPITALISED}(?: {_CAPITALISED})+[.!?]?",
+        r"\p{N}+(?:[.,:/]\p{N}+)*+(?:[ -](?:hundred|thousand|million)\b)*+",
+        rf"{_COUNTED}(?:[ -]{_COUNTED}\b)++",
+        rf"(?=\p{{Lu}})(?<=[^.!?\s]\s){_CAPITALISED}(?: {_CAPITALISED})++[.!?]?",
         r"[฀-໿⺀-꓏豈-﫿]",
         r"[\p{L}\p{M}]+[.!?]?",
     ]

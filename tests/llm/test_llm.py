@@ -867,6 +867,18 @@ def test_op10_parts_of_numbers(spark):
     assert {r.doc_id for r in decontamination.matches(df, bench).collect()} == {1, 2, 4, 5}
 
 
+def test_op10_long_runs(spark):
+    """Runs of very many numbers, number words or names are one token and need no deep stack; shorter runs end where they did."""
+    runs = {"numbers": "1" + ".2" * 20_000, "counted": "one" + " two" * 20_000, "scaled": "5" + " hundred" * 20_000, "names": "so Anna" + " Bela" * 20_000}
+    ends = {"twenty one twox": ["twenty one", "twox"], "one twox": ["one", "twox"], "3 hundredx": ["3", "hundredx"], "1.5.x": ["1.5", "x"], "so Anna Bela x": ["so", "Anna Bela", "x"]}
+    df = spark.createDataFrame(list(enumerate([*runs.values(), *ends])), "doc_id long, text string")
+    got = [r.raw for r in decontamination._tokens(df, "doc_id").orderBy("doc_id").collect()]
+    assert [len(x) for x in got[: len(runs)]] == [1, 1, 1, 2] and got[len(runs) :] == list(ends.values())
+    item = "the old mill by the river turned all day and all night"
+    docs = spark.createDataFrame([(1, f"{runs['numbers']} {item}"), (2, runs["names"])], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {1}
+
+
 def shape(raw):
     """Templates by plain rules, for texts of one sentence without units and number words."""
     return ["#number" if t[0].isdigit() else "#name" if t[0].isupper() and k else t.lower() for k, t in enumerate(raw)]
