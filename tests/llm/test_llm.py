@@ -109,6 +109,26 @@ def test_op1_repeated_ids(spark, labels):
     assert quality_rules.threshold_of(df, sample, ratios) == pytest.approx(2 * np.quantile(scores, quality_rules.LOW) - np.median(scores))
 
 
+def test_op1_all_trusted(spark, monkeypatch):
+    """Every good document is trusted or held out, and the threshold is numpy's, however ids are joined."""
+    many = spark.range(30_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 10 = 0 as int) as toxic")
+    assert quality_rules.trusted_sample(many).count() == 27_000
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(40, 90)))) for i in range(500)]
+    df, sample = spark.createDataFrame(rows, "doc_id long, text string"), quality_rules.trusted_sample(many)
+    held = {r.doc_id for r in sample.where("not trusted and doc_id < 500").collect()}
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(quality_rules, "MAX_BROADCAST", most)
+        ratios = quality_rules.log_ratios(df, sample)
+        out = quality_rules.judge(pa.array([t for i, t in rows if i in held]), ratios, 0.0)
+        scores = np.sort(out["llr"][out["n_words"] >= 50])
+        assert quality_rules.threshold_of(df, sample, ratios) == pytest.approx(2 * np.quantile(scores, quality_rules.LOW) - np.median(scores), rel=1e-12)
+    values = np.array([-3.5, -0.0, 0.0, 1e-300, 2.0, 2.0, 2.0, -7.25, 1e9, -1e-9])
+    codes = spark.createDataFrame([(int(c),) for c in quality_rules._ordered(values)], "code long")
+    got = np.array(quality_rules.at_ranks(codes, range(10)), np.int64)
+    assert (quality_rules._ordered(got.view(np.float64)).view(np.float64) == np.sort(values)).all()
+
+
 def test_op1_ratio(docs, labels):
     """Log ratios from plain counting of hashed n-grams."""
     sample = quality_rules.trusted_sample(labels)
