@@ -27,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
+    Fingerprints by multi-index hashing first, bands of minima for pairs out of their reach, an exact comparison for both.
     Rows with a null id stay; rows that share an id are one document; texts without a word are near copies of nothing.
     """
     return drop_near_copies(docs)

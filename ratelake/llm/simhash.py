@@ -11,8 +11,10 @@ two groups not yet joined within the batch at hand, so a group of thousands of c
 as it has members, not their square. Keys with more than HOT_ROWS entries are split into blocks, every pair of blocks
 being met once.
 
-The pipeline's stage takes candidates from bands of minima of the shingle hashes and two sketches, and joins two texts
-only if their shingle sets have a Jaccard similarity of SIMILAR or more. The sketches only leave out pairs that lie five
+The pipeline's stage links texts whose fingerprints lie within NEAR_BITS by the same multi-index hashing, and keeps a link
+only if the two shingle sets have a Jaccard similarity of SIMILAR or more. Fingerprints of pairs just above SIMILAR
+differ in more bits than any index of balls can reach, so pairs not yet of one group go on to bands of minima of the shingle
+hashes and two sketches, and to the same exact comparison. The sketches only leave out pairs that lie five
 deviations and more below that. Crowds of texts under one band are compared by their sets in the task that holds them, and
 only links that make a forest leave it; the comparisons by sketches still grow with the square of a crowd.
 
@@ -48,6 +50,8 @@ BLOCK_PAIRS = 1 << 21
 BATCH_ROWS = 1 << 17
 BATCH_BYTES = 1 << 25
 
+#: Segments of a 64-bit fingerprint, the radii of the balls round their values, and the bits within which they link.
+SEGMENTS, RADII, NEAR_BITS = (21, 21, 22), (1, 1, 0), 4
 #: Jaccard similarity of shingle sets from which two texts are near copies.
 SIMILAR = 0.8
 #: Minima by set, and how many make a band: at 0.8 a pair shares none of the 25 bands with probability 5e-5.
@@ -238,7 +242,7 @@ def near_groups(fps: DataFrame, segments: Sequence[int], radii: Sequence[int], m
 def op6_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id; 4-word shingles, links at 4 bits."""
     fps = cut(fingerprints(docs, width=4, words=1))
-    groups = near_groups(fps, segments=(21, 21, 22), radii=(1, 1, 0), most=4)
+    groups = near_groups(fps, SEGMENTS, RADII, NEAR_BITS)
     text: Column = F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0"))
     return fps.join(groups, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
@@ -303,9 +307,9 @@ class OddSketches:
 
 
 def signatures(docs: DataFrame, width: int = 5, with_sets: bool = False) -> DataFrame:
-    """(doc_id, id, n, sketch, odd, bands) of each document's set of shingles.
+    """(doc_id, id, n, fp, sketch, odd, bands) of each document's set of shingles.
 
-    ``id`` is a 128-bit hash of the set and ``n`` its size. ``sketch`` has a bit of each of 128 minima under different
+    ``id`` is a 128-bit hash of the set, ``n`` its size and ``fp`` its fingerprint (each shingle has one vote). ``sketch`` has a bit of each of 128 minima under different
     hashes; two differ in (1 - J) / 2 of the bits on average. ``odd`` is the finer ``odd_sketch``. A band hashes
     BAND_ROWS of the minima. A text without a word has no band. With ``sets`` come the shingles' hashes themselves, cut to
     32 bits and sorted.
@@ -320,11 +324,12 @@ def signatures(docs: DataFrame, width: int = 5, with_sets: bool = False) -> Data
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
-        ids, n, least, odd = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64), np.full((rows, MINIMA), 2**64 - 1, np.uint64), []
+        ids, n, fp, least, odd = np.zeros((rows, 2), np.uint64), np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.full((rows, MINIMA), 2**64 - 1, np.uint64), []
         sets: list[bytes] = []
         for i, text in enumerate(batch.column(1)):
             hashes = np.unique(shingle_hashes(text.as_py(), width))
             ids[i], n[i] = np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.uint64), len(hashes)
+            fp[i] = majority(hashes) if len(hashes) else 0
             odd.append(odd_sketch(hashes).tobytes())
             if with_sets:
                 sets.append(np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes())
@@ -335,11 +340,11 @@ def signatures(docs: DataFrame, width: int = 5, with_sets: bool = False) -> Data
         ends = np.concatenate([[0], np.cumsum(np.where(n > 0, n_bands, 0))]).astype(np.int32)
         pair = pa.array(np.arange(0, 2 * rows + 1, 2, dtype=np.int32))
         lists = [pa.ListArray.from_arrays(pair, pa.array(x.view(np.int64).ravel())) for x in (ids, sketch)]
-        columns = [batch.column(0), lists[0], pa.array(n), lists[1], pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[n > 0].view(np.int64).ravel()))]
+        columns = [batch.column(0), lists[0], pa.array(n), pa.array(fp.view(np.int64)), lists[1], pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[n > 0].view(np.int64).ravel()))]
         more = [pa.array(sets, pa.binary())] if with_sets else []
-        return pa.record_batch([*columns, *more], names=["doc_id", "id", "n", "sketch", "odd", "bands", *(["sets"] if with_sets else [])])
+        return pa.record_batch([*columns, *more], names=["doc_id", "id", "n", "fp", "sketch", "odd", "bands", *(["sets"] if with_sets else [])])
 
-    kinds = "doc_id long, id array<long>, n long, sketch array<long>, odd binary, bands array<long>" + (", sets binary" if with_sets else "")
+    kinds = "doc_id long, id array<long>, n long, fp long, sketch array<long>, odd binary, bands array<long>" + (", sets binary" if with_sets else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
 
 
@@ -491,18 +496,33 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
     return full.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(named: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all ``named`` (node, n, fp) with fingerprints within NEAR_BITS.
+
+    Nodes of one fingerprint are linked to the least of them, which stands for it in the index.
+    """
+    full = named.where("n > 0").select("node", "fp")
+    classes = cut(full.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = full.join(classes, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    nodes = classes.select(F.col("least").alias("node"), F.array("fp").alias("fp"))
+    return equal.unionByName(hamming_links(nodes, SEGMENTS, RADII, NEAR_BITS)).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = CROWD_ROWS) -> DataFrame:
     """(doc_id, component_id) of rows with an id: the smallest id reached by pairs of similarity SIMILAR or more.
 
-    Equal sets of shingles are one node; nodes that share a band are candidates. Each round verifies by their texts the
-    candidates some places apart under a band. Keys with two components or more go on, at a longer reach, until every
+    Equal sets of shingles are one node. Links of fingerprints are verified by the texts first; then nodes that share a
+    band are candidates, unless they are of one group by then. Each round verifies by their texts the candidates some
+    places apart under a band. Keys with two components or more go on, at a longer reach, until every
     candidate pair has been tested or is of one component.
     """
     signed = cut(signatures(docs.where("doc_id is not null"), width))
-    named = cut(signed.groupBy("id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.first("bands").alias("bands")))
+    named = cut(signed.groupBy("id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.first("bands").alias("bands")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    rows = named.select(F.explode("bands").alias("key"), "node", F.col("node").alias("component"), "n", "sketch")
-    links = groups = crowd = None
+    links = cut(similar(cut(fingerprint_links(named)), texts, width))
+    groups, crowd = cut(connected_components(links)), None
+    banded = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = banded.select(F.explode("bands").alias("key"), "node", "component", "n", "sketch")
     lo, reach = 1, REACH
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("count"), F.min("component").alias("x"), F.max("component").alias("y"))
@@ -525,14 +545,12 @@ def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = CROWD_ROWS)
         found = None if pairs.isEmpty() else cut(similar(pairs, texts, width))
         rows = rows.drop("blocks")
         if found is not None and not found.isEmpty():
-            links = found if links is None else cut(links.unionByName(found))
-            groups = connected_components(links)
+            links = cut(links.unionByName(found))
+            groups = cut(connected_components(links))
             rows = rows.drop("component").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
         lo, reach = lo + reach, 8 * reach
-    classes = named.select("id", "node", F.col("node").alias("component_id"))
-    if groups is not None:
-        classes = named.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
-    return signed.select("doc_id", "id").join(classes.select("id", "component_id"), "id").select("doc_id", "component_id")
+    classes = named.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+    return signed.select("doc_id", "id").join(classes, "id").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -620,6 +620,33 @@ def test_near_copies_found(spark):
     assert [r.doc_id for r in simhash.drop_near_copies(docs).orderBy("doc_id").collect()] == list(range(0, 600, 2))
 
 
+def test_fingerprint_links(spark):
+    """Links of the stage's fingerprints join what all pairs within four bits do, also of equal ones."""
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [fps[k % 40] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for k in range(60)] + fps[:10]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    named = spark.createDataFrame([(k, 9, f) for k, f in enumerate(signed)] + [(900, 0, signed[0])], "node long, n long, fp long")
+    links = [tuple(r) for r in simhash.fingerprint_links(named).collect()]
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    assert components(range(len(fps)), links) == components(range(len(fps)), near) and len(near) > 60
+
+
+def test_near_copies_by_fingerprint(spark, monkeypatch):
+    """Texts whose fingerprints are near are joined by them, without bands."""
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(simhash, "_met", never)
+    rng = random.Random(14)
+    rows = []
+    for i in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[:-1])), (3 * i + 2, " ".join(words[1:]))]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i, _ in rows}
+
+
 @pytest.mark.parametrize("hot", [1 << 16, 20])
 def test_near_copies_kept_below(spark, hot):
     """Pairs below 0.8 stay apart, and a crowd of near copies gives the groups of all pairs."""
