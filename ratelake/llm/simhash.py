@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ratelake.llm import textkernel as tk
 from ratelake.llm.common import cut, small_enough, table
-from ratelake.llm.components import connected_components
+from ratelake.llm.components import connected_components, reached
 from ratelake.llm.textkernel import mix
 
 #: Table entries under one key that one task compares with each other and with their probes (some 22 times as many).
@@ -520,7 +520,7 @@ def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = CROWD_ROWS)
     named = cut(signed.groupBy("id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"), F.first("bands").alias("bands")))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     links = cut(similar(cut(fingerprint_links(named)), texts, width))
-    groups, crowd = cut(connected_components(links)), None
+    groups, crowd = cut(reached(links)), None
     banded = named.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = banded.select(F.explode("bands").alias("key"), "node", "component", "n", "sketch")
     lo, reach = 1, REACH
@@ -546,7 +546,7 @@ def similar_groups(docs: DataFrame, width: int = 5, hot_rows: int = CROWD_ROWS)
         rows = rows.drop("blocks")
         if found is not None and not found.isEmpty():
             links = cut(links.unionByName(found))
-            groups = cut(connected_components(links))
+            groups = cut(reached(links))
             rows = rows.drop("component").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
         lo, reach = lo + reach, 8 * reach
     classes = named.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
