@@ -144,6 +144,21 @@ def test_signal():
     assert signal.mel_db(quiet).shape[0] == 80 and signal.log_mel(quiet).shape == (80, 3000)
 
 
+def test_results_in_slices(spark, monkeypatch):
+    """Long results leave a task's Python in slices, in order, and are those of each row alone."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    clips = [rng.normal(size=n).astype(np.float32) for n in (5000, 0, 30_000, 1, 9000, 20_000)]
+    monkeypatch.setattr(signal, "SLICE_BYTES", 1 << 15)
+    parts = list(signal.trimmed.func(iter([pd.Series(clips[:4]), pd.Series(clips[4:])])))
+    assert len(parts) > 2 and all(sum(v.nbytes for v in p[:-1]) < 1 << 15 for p in parts)
+    assert all(np.array_equal(x, signal.trim(c)) for x, c in zip([v for p in parts for v in p], clips, strict=True))
+    df = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(clips)], "k int, x array<float>").coalesce(1)
+    got = df.select("k", signal.prepared("x").alias("x")).orderBy("k").collect()
+    assert all(np.array_equal(np.array(r.x, np.float32), signal.prepare(clips[r.k])) for r in got)
+
+
 def test_arrays(spark):
     df = spark.createDataFrame([([1.0, -2.0, 0.5],)], "x array<double>")
     r = one(df.select(arrays.peak_normalized(F.col("x")).alias("p"), arrays.pad_or_clip(F.col("x"), 5).alias("l"), arrays.pad_or_clip(F.col("x"), 2).alias("s"), arrays.dot(F.col("x"), [1, 1, 2]).alias("d")))
